@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, mixing, quality, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_byte_bpe": bpe.query,
+    "op6_simhash": simhash.query,
+    "op9_quality": quality.query,
 }
 
 SQL: dict[str, str] = {}
