@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, lm, mixing, quality, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_byte_bpe": bpe.query,
+    "op3_lm_score": lm.query,
     "op6_simhash": simhash.query,
     "op9_quality": quality.query,
 }
