@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, mixing, quality, simhash
+from . import bpe, lm, mixing, quality, simhash, suffix
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_byte_bpe": bpe.query,
     "op3_lm_score": lm.query,
+    "op4_suffix_dedup": suffix.query,
     "op6_simhash": simhash.query,
     "op9_quality": quality.query,
 }
