@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, mixing, quality, simhash, suffix
+from . import bpe, chat, lm, mixing, pivots, quality, simhash, suffix, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_byte_bpe": bpe.query,
     "op3_lm_score": lm.query,
     "op4_suffix_dedup": suffix.query,
+    "op5_top_k": topk.query,
     "op6_simhash": simhash.query,
+    "op7_chat_rotation": chat.query,
+    "op8_pivot_dedup": pivots.query,
     "op9_quality": quality.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_top_k": topk.SQL,
+    "op7_chat_rotation": chat.SQL,
+}
