@@ -101,6 +101,14 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     return queue.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)).cast("long").alias("taken"))
 
 
+def take_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kwargs) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as the mix takes it (up to max_passes times)."""
+    keyed = docs.withColumn("rk__", F.xxhash64(F.col(id_col), F.col(text_col)))
+    mix = mix_sources(keyed, id_col="rk__", source_col=source_col, text_col=text_col, **kwargs)
+    times = mix.filter("taken > 0").groupBy(F.col("doc_id").alias("rk__")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times__"))
+    return keyed.join(times, "rk__").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).drop("rk__", "times__", "copy__")
+
+
 def _last_taken(copies: DataFrame, total: int, n: int, few: int = 50_000):
     """The sort key at which the mix ends, and whether the copy with it still belongs to the mix. The driver sees one row
     of sums in each round."""

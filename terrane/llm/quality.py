@@ -181,7 +181,7 @@ def _arrays(source: DataFrame, kernel, extra: str) -> DataFrame:
             rows = [kernel(features(raw[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in pieces(off)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(rows) if rows else kernel(np.zeros((0, len(FEATURES))))], names=[*batch.schema.names[:-1], extra.split()[0]])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{kinds}, {extra}")
 
 
@@ -207,6 +207,12 @@ def score_documents(docs: DataFrame, model: Additive, *, id_col: str = "doc_id",
     return _arrays(source, lambda x: pa.array(model.score(x)), "score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **kwargs) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
+    model = train(docs, labels, text_col=text_col, **kwargs)
+    return _arrays(docs.select("*", F.col(text_col).alias("text__")), lambda x: pa.array(model.score(x)), "score__ double").filter(F.col("score__") >= threshold).drop("score__")
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, mixing, pivots, quality, simhash, suffix, topk
+from . import bpe, chat, lines, lm, mixing, pivots, quality, simhash, suffix, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_rotation": chat.query,
     "op8_pivot_dedup": pivots.query,
     "op9_quality": quality.query,
+    "op10_line_dedup": lines.query,
 }
 
 SQL: dict[str, str] = {

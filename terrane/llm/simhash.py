@@ -182,5 +182,17 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null last; of equal ids, by a hash of the row; of equal
+    rows, any). Columns stay as they are."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), key.alias("rk")).alias("row"), F.col(text_col).alias("text"))
+    fps = cut(fingerprints(rows, id_col="row"))
+    roots = fingerprint_components(fps.select("fp"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    stay = least.select(F.col("least.rk").alias("rk__"))
+    return docs.withColumn("rk__", key).join(stay, "rk__", "left_semi").dropDuplicates(["rk__"]).drop("rk__")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
