@@ -46,7 +46,7 @@ def hilbert(col: Column, row: Column, bits: int = MAX_ZOOM) -> Column:
     start = F.struct(col.cast("int").alias("x"), row.cast("int").alias("y"), F.lit(0).cast("long").alias("d"))
 
     def step(s: Column, i: Column) -> Column:
-        side = F.shiftleft(F.lit(1), i)
+        side = F.call_function("shiftleft", F.lit(1), i)
         rx, ry = F.when(s.x.bitwiseAND(side) > 0, 1).otherwise(0), F.when(s.y.bitwiseAND(side) > 0, 1).otherwise(0)
         d = s.d + side.cast("long") * side.cast("long") * ((rx * 3).bitwiseXOR(ry)).cast("long")
         n = F.lit((1 << bits) - 1)
