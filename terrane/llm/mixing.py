@@ -141,3 +141,35 @@ def _last_taken(copies: DataFrame, total: int, n: int, few: int = 50_000):
 
 def query(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS skey, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS u
+  FROM documents
+), s AS (
+  SELECT skey, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS BIGINT) AS w FROM d GROUP BY skey
+), o AS (
+  SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total,
+    coalesce(sum(3 * source_size) OVER (ORDER BY 3E0 * source_size / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (ORDER BY 3E0 * source_size / w, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM s
+), k AS (
+  SELECT *, CAST(cap AS DOUBLE) * rest <= CAST(total - before AS DOUBLE) * w AS capped FROM o
+), t AS (
+  SELECT skey, source_size, total,
+    CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(total - coalesce(sum(cap) FILTER (capped) OVER (), 0) AS DOUBLE) * w / CAST(sum(w) FILTER (NOT capped) OVER () AS DOUBLE) END AS target
+  FROM k
+), q AS (
+  SELECT d.*, source_size, target, total, sum(size) OVER (PARTITION BY d.skey ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN t ON d.skey = t.skey
+), c AS (
+  SELECT q.*, pass, CAST(cum + pass * source_size AS DOUBLE) / target AS f FROM q, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0 AND target > 0
+), r AS (
+  SELECT *, sum(size) OVER (ORDER BY f, skey, pass, u, doc_id, size ROWS UNBOUNDED PRECEDING) AS so_far FROM c
+), m AS (
+  SELECT doc_id, skey, size, cum, sum(size) AS taken FROM r WHERE so_far <= total GROUP BY ALL
+)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(m.taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN m ON q.doc_id = m.doc_id AND q.skey = m.skey AND q.size = m.size AND q.cum = m.cum
+"""
