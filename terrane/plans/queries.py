@@ -10,7 +10,8 @@ from terrane.functions import mercator as M
 from terrane.functions.box import Box
 from terrane.functions.shapes import Shape
 from terrane.operators import assembly, measure, spatial, topology
-from terrane.sources import derived
+from terrane.sources import dataset, derived, export
+from terrane.streaming import filters
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -194,7 +195,7 @@ _add("w1_rank", lambda s, d: _world(s, d).select("w[highway]").df().select("fid"
 _add("w2_segments", lambda s, d: derived.load(s, d).way_nodes.filter("node_id is not null").withColumn("next", F.lead("node_id").over(Window.partitionBy("way_id").orderBy("seq"))).filter("next is not null").groupBy("node_id", "next").agg(F.count("*").alias("n")), "SELECT node_id, next, count(*) AS n FROM (SELECT node_id, lead(node_id) OVER (PARTITION BY way_id ORDER BY seq) AS next FROM rn) WHERE next IS NOT NULL GROUP BY ALL")
 _add("w7_union_except", lambda s, d: _fids(_world(s, d).select("w[bridge=yes]")).unionByName(_fids(_world(s, d).select("w[highway=motorway]"))).distinct().exceptAll(_fids(_world(s, d).select("w[maxspeed=30]"))), f"SELECT fid FROM f WHERE (coalesce(bridge = 'yes', false) OR coalesce(highway = 'motorway', false)) AND NOT coalesce({_n('maxspeed')} = 30, false)")
 _add("m3_to_xy", lambda s, d: _world(s, d).select("w[highway=residential]").df().select("fid", F.array_join(F.flatten(F.transform("xy", lambda p: F.array(p.x, p.y))), " ").alias("xy")), "SELECT f.fid, string_agg(rn.x || ' ' || rn.y, ' ' ORDER BY seq) AS xy FROM f JOIN rn ON way_id = f.id AND ftype = 1 WHERE highway = 'residential' GROUP BY f.fid")
-_add("m4_polygons", lambda s, d: assembly.area_shapes(derived.load(s, d)).select("fid", F.size(F.filter(F.sequence(F.lit(0), F.size("shape") - 1), lambda i: F.lit(False))).alias("zero"), F.size("shape").cast("long").alias("numbers")).drop("zero"), "SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) * 4 + 8002 AS fid, CAST(sum(12 + CASE WHEN p_size >= 40 THEN 12 ELSE 0 END) AS BIGINT) AS numbers FROM part GROUP BY p_brand")
+_add("m4_polygons", lambda s, d: assembly.area_shapes(derived.load(s, d)).select("fid", F.size("shape").cast("long").alias("numbers")), "SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) * 4 + 8002 AS fid, CAST(sum(12 + CASE WHEN p_size >= 40 THEN 12 ELSE 0 END) AS BIGINT) AS numbers FROM part GROUP BY p_brand")
 _add("m6_bounds", lambda s, d: _world(s, d).ways().df().select("fid", "min_x", "min_y", "max_x", "max_y"), "SELECT fid, CAST(min_x AS INTEGER) AS min_x, CAST(min_y AS INTEGER) AS min_y, CAST(max_x AS INTEGER) AS max_x, CAST(max_y AS INTEGER) AS max_y FROM f WHERE ftype = 1")
 _add("m7_centres", lambda s, d: _world(s, d).ways("w[highway]").df().select("fid", "x", "y", F.round(M.lon_from_x(F.col("x")), 6).alias("lon"), F.round(M.lat_from_y(F.col("y")), 6).alias("lat")), "SELECT fid, CAST((CAST(min_x AS BIGINT) + max_x) // 2 AS INTEGER) AS x, CAST((CAST(min_y AS BIGINT) + max_y) // 2 AS INTEGER) AS y, round(((CAST(min_x AS BIGINT) + max_x) // 2) * 360E0 / 4294967294.9999E0, 6) AS lon, round(degrees(atan(exp(((CAST(min_y AS BIGINT) + max_y) // 2) * pi() * 2 / 4294967294.9999E0))) * 2 - 90, 6) AS lat FROM f WHERE highway <> 'no'")
 _add("m8_length", lambda s, d: _world(s, d).select("w[highway]").df().select("fid", F.round(measure.length_m(F.col("xy"), F.col("is_area")), 2).alias("meters")), f"{_LEN} SELECT fid, round(meters, 2) AS meters FROM f JOIN len ON way_id = id AND ftype = 1 WHERE highway <> 'no'")
@@ -205,3 +206,12 @@ _add("x1_accessors", lambda s, d: _world(s, d).ways("w[highway=\"*\"]").df().sel
 _add("x7_tag_text", lambda s, d: _buildings(s, d).df().select("fid", tags.tag_count(F.col("tags")).alias("n"), tags.tag_text(F.col("tags")).alias("text")), "SELECT fid, 4 AS n, 'brand=' || brand || ', building=yes, building:levels=' || levels || ', name=' || name AS text FROM f WHERE building = 'yes'")
 _add("x10_ids", lambda s, d: _world(s, d).ways("a").df().select("fid", ids.fid_text(F.col("fid")).alias("text"), ids.fid_id(F.col("fid")).alias("back"), ids.fid_from_text(ids.fid_text(F.col("fid"))).alias("again")), "SELECT fid, 'way/' || id AS text, id AS back, fid AS again FROM f WHERE category = 'a'")
 _add("x10_packed", lambda s, d: _world(s, d).nodes().df().select("fid", (p := ids.pack_xy(F.col("x"), F.col("y"))).alias("xy_key"), ids.packed_x(p).alias("px"), ids.packed_y(p).alias("py")), "SELECT fid, CAST(min_y AS BIGINT) * 4294967296 + min_x AS xy_key, min_x AS px, min_y AS py FROM f WHERE ftype = 0")
+_add("m5_collections", lambda s, d: assembly.collection_shapes(derived.load(s, d)).select("fid", F.size("shape").cast("long").alias("numbers")), "SELECT rel_id * 4 + 2 AS fid, CAST(4 * count(*) AS BIGINT) AS numbers FROM (SELECT rel_id, m, t FROM mem WHERE t = 0 UNION SELECT a.rel_id, b.m, b.t FROM mem a JOIN mem b ON a.t = 2 AND b.rel_id = a.m) GROUP BY rel_id")
+_add("m16_segments_heading", lambda s, d: derived.load(s, d).way_nodes.filter("node_id is not null").withColumns({"dx": F.lead("x").over(_ALONG) - F.col("x"), "dy": F.lead("y").over(_ALONG) - F.col("y")}).filter("dx is not null").groupBy(F.signum("dx").cast("int").alias("east"), F.signum("dy").cast("int").alias("north")).agg(F.count("*").alias("n")), "SELECT CAST(sign(lead_x - x) AS INTEGER) AS east, CAST(sign(lead_y - y) AS INTEGER) AS north, count(*) AS n FROM (SELECT x, y, lead(x) OVER w AS lead_x, lead(y) OVER w AS lead_y FROM rn WINDOW w AS (PARTITION BY way_id ORDER BY seq)) WHERE lead_x IS NOT NULL GROUP BY ALL")
+_add("w4_top_areas", lambda s, d: _buildings(s, d).df().select("fid", F.abs(measure.planar_area2(F.col("xy"))).alias("area2")).orderBy(F.desc("area2"), "fid").limit(10), "SELECT fid, CAST(2 * CAST(max_x - min_x AS BIGINT) * (max_y - min_y) AS BIGINT) AS area2 FROM f WHERE building = 'yes' ORDER BY area2 DESC, fid LIMIT 10")
+_add("a8_distinct", lambda s, d: _world(s, d).select("n[shop]").df().groupBy(F.col("tags")["shop"].alias("shop")).agg(F.countDistinct("tile").alias("tiles"), F.count("*").alias("n")), "SELECT shop, count(DISTINCT ((2147483647 - CAST(min_y AS BIGINT)) >> 20) * 4096 + ((CAST(min_x AS BIGINT) + 2147483648) >> 20)) AS tiles, count(*) AS n FROM f WHERE shop IS NOT NULL GROUP BY shop")
+_add("t1_windowed_events", lambda s, d: filters.windowed_counts(s.read.parquet(f"{d}/events.parquet"), "ts", F.col("event_type")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "key", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS key, count(*) AS n FROM events GROUP BY ALL", base=False)
+_add("s5_audit", lambda s, d: dataset.audit(derived.load(s, d)), "SELECT 'none' AS problem, CAST(0 AS BIGINT) AS fid WHERE false", base=False)
+_add("s10_geojson", lambda s, d: export.to_geojson(_world(s, d).select("w[highway=motorway]").df()))
+_ALONG = Window.partitionBy("way_id").orderBy("seq")
+
