@@ -207,11 +207,11 @@ _add("x7_tag_text", lambda s, d: _buildings(s, d).df().select("fid", tags.tag_co
 _add("x10_ids", lambda s, d: _world(s, d).ways("a").df().select("fid", ids.fid_text(F.col("fid")).alias("text"), ids.fid_id(F.col("fid")).alias("back"), ids.fid_from_text(ids.fid_text(F.col("fid"))).alias("again")), "SELECT fid, 'way/' || id AS text, id AS back, fid AS again FROM f WHERE category = 'a'")
 _add("x10_packed", lambda s, d: _world(s, d).nodes().df().select("fid", (p := ids.pack_xy(F.col("x"), F.col("y"))).alias("xy_key"), ids.packed_x(p).alias("px"), ids.packed_y(p).alias("py")), "SELECT fid, CAST(min_y AS BIGINT) * 4294967296 + min_x AS xy_key, min_x AS px, min_y AS py FROM f WHERE ftype = 0")
 _add("m5_collections", lambda s, d: assembly.collection_shapes(derived.load(s, d)).select("fid", F.size("shape").cast("long").alias("numbers")), "SELECT rel_id * 4 + 2 AS fid, CAST(4 * count(*) AS BIGINT) AS numbers FROM (SELECT rel_id, m, t FROM mem WHERE t = 0 UNION SELECT a.rel_id, b.m, b.t FROM mem a JOIN mem b ON a.t = 2 AND b.rel_id = a.m) GROUP BY rel_id")
-_add("m16_segments_heading", lambda s, d: derived.load(s, d).way_nodes.filter("node_id is not null").withColumns({"dx": F.lead("x").over(_ALONG) - F.col("x"), "dy": F.lead("y").over(_ALONG) - F.col("y")}).filter("dx is not null").groupBy(F.signum("dx").cast("int").alias("east"), F.signum("dy").cast("int").alias("north")).agg(F.count("*").alias("n")), "SELECT CAST(sign(lead_x - x) AS INTEGER) AS east, CAST(sign(lead_y - y) AS INTEGER) AS north, count(*) AS n FROM (SELECT x, y, lead(x) OVER w AS lead_x, lead(y) OVER w AS lead_y FROM rn WINDOW w AS (PARTITION BY way_id ORDER BY seq)) WHERE lead_x IS NOT NULL GROUP BY ALL")
+_add("m16_segments_heading", lambda s, d: derived.load(s, d).way_nodes.filter("node_id is not null").withColumns({"dx": F.lead("x").over(_along()) - F.col("x"), "dy": F.lead("y").over(_along()) - F.col("y")}).filter("dx is not null").groupBy(F.signum("dx").cast("int").alias("east"), F.signum("dy").cast("int").alias("north")).agg(F.count("*").alias("n")), "SELECT CAST(sign(lead_x - x) AS INTEGER) AS east, CAST(sign(lead_y - y) AS INTEGER) AS north, count(*) AS n FROM (SELECT x, y, lead(x) OVER w AS lead_x, lead(y) OVER w AS lead_y FROM rn WINDOW w AS (PARTITION BY way_id ORDER BY seq)) WHERE lead_x IS NOT NULL GROUP BY ALL")
 _add("w4_top_areas", lambda s, d: _buildings(s, d).df().select("fid", F.abs(measure.planar_area2(F.col("xy"))).alias("area2")).orderBy(F.desc("area2"), "fid").limit(10), "SELECT fid, CAST(2 * CAST(max_x - min_x AS BIGINT) * (max_y - min_y) AS BIGINT) AS area2 FROM f WHERE building = 'yes' ORDER BY area2 DESC, fid LIMIT 10")
 _add("a8_distinct", lambda s, d: _world(s, d).select("n[shop]").df().groupBy(F.col("tags")["shop"].alias("shop")).agg(F.countDistinct("tile").alias("tiles"), F.count("*").alias("n")), "SELECT shop, count(DISTINCT ((2147483647 - CAST(min_y AS BIGINT)) >> 20) * 4096 + ((CAST(min_x AS BIGINT) + 2147483648) >> 20)) AS tiles, count(*) AS n FROM f WHERE shop IS NOT NULL GROUP BY shop")
 _add("t1_windowed_events", lambda s, d: filters.windowed_counts(s.read.parquet(f"{d}/events.parquet"), "ts", F.col("event_type")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "key", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS key, count(*) AS n FROM events GROUP BY ALL", base=False)
 _add("s5_audit", lambda s, d: dataset.audit(derived.load(s, d)), "SELECT 'none' AS problem, CAST(0 AS BIGINT) AS fid WHERE false", base=False)
 _add("s10_geojson", lambda s, d: export.to_geojson(_world(s, d).select("w[highway=motorway]").df()))
-_ALONG = Window.partitionBy("way_id").orderBy("seq")
+_along = lambda: Window.partitionBy("way_id").orderBy("seq")
 
