@@ -4,8 +4,7 @@
    character shingles, cut into bands.
 2. Lines meet by band. A group of lines that share a band is known by its members; groups with equal members, which most
    bands of a group of near-copies are, count once.
-3. The lines of the groups are fetched from where they occur first, and their shingle sets compared exactly. Within a group, one line
-   after another is compared with those that aren't in its component yet. Large groups are cut into blocks, and each
+3. The lines of the groups are fetched from where they occur first, and their shingle sets compared exactly. Large groups are cut into blocks, and each
    two blocks meet in a task of their own.
 4. A distributed union-find joins the links; the first occurrence of a component stays, all others go.
 
@@ -21,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, connected_components, cut, pieces, ranges, shuffle_partitions, text_bytes
-from .words import _WHITE, xxh64
+from .common import binary_rows, connected_components, cut, local_components, pieces, ranges, shuffle_partitions, text_bytes
+from .words import _WHITE
 
 SHINGLE = 9
 #: A line pair at the threshold of 0.8 shares a band with probability 1 - (1 - 0.8**4)**10 = 0.995.
@@ -89,6 +88,24 @@ def split_lines(raw: np.ndarray, off: np.ndarray):
     return text, number, start, end, filled
 
 
+def line_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each raw[start:end]: two polynomial hashes by prefix sums, mixed."""
+    out = (end - start).astype(np.uint64)
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        power = np.full(len(raw) + 1, np.uint64(base))
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * power[:-1], out=sums[1:])
+        back = np.full(len(raw) + 1, np.uint64(pow(base, -1, 1 << 64)))
+        back[0] = 1
+        np.multiply.accumulate(back, out=back)
+        h = (sums[end] - sums[start]) * back[start]  # as if the line were all there is
+        out = (out ^ h ^ (h >> np.uint64(32))) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _scan(batches):
     """(lid, bands, occ) for the distinct lines that aren't blank."""
     for batch in batches:
@@ -101,8 +118,7 @@ def _scan(batches):
             text, number, start, end = text[filled], number[filled], start[filled], end[filled]
             if not len(start):
                 continue
-            padded = np.concatenate([part, np.zeros(8, np.uint8)])
-            lid = xxh64(padded, start, end, 0)
+            lid = line_hashes(part, start, end)
             distinct, first, at, counts = np.unique(lid, return_index=True, return_inverse=True, return_counts=True)
             codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             # code points before each byte place
@@ -112,7 +128,12 @@ def _scan(batches):
             by = np.argsort(at, kind="stable")
             occ = pa.StructArray.from_arrays([pa.array(ids[i:j][text[by]]), pa.array(keys[i:j][text[by]]), pa.array(number[by].astype(np.int32))], names=["d", "rk", "l"])
             bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), binary_rows(bands.ravel(), np.arange(len(distinct) + 1) * BANDS), pa.ListArray.from_arrays(pa.array(bounds), occ)], names=["lid", "bands", "occ"])
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), binary_rows(_six(bands.ravel()), np.arange(len(distinct) + 1) * BANDS * 6), pa.ListArray.from_arrays(pa.array(bounds), occ)], names=["lid", "bands", "occ"])
+
+
+def _six(keys: np.ndarray) -> np.ndarray:
+    """The lower six bytes of every key; lines that differ and share them are told apart by the comparison."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
 
 
 def _deal_bands(buckets: int):
@@ -121,7 +142,9 @@ def _deal_bands(buckets: int):
             if not batch.num_rows:
                 continue
             lid = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            wide = np.zeros((len(lid) * BANDS, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 6)
+            keys = wide.view("<u8").ravel()
             lids = np.repeat(lid, BANDS)
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -169,32 +192,27 @@ def shingles(line: str) -> set[str]:
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Exact similarities within a group, or of two blocks of one; links that join what all similar pairs would."""
-        lids, sides = table["lid"].to_pylist(), table["side"].to_pylist()
-        sets = [shingles(x) for x in table["line"].to_pylist()]
-        size = [len(x) for x in sets]
-        parent = list(range(len(lids)))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        links = []
-        order = sorted(range(len(lids)), key=lambda i: (sides[i], lids[i]))
-        for k, i in enumerate(order):
-            if sides[i] == 2:
-                break
-            others = order[k + 1 :] if sides[i] == 0 else [j for j in order[k + 1 :] if sides[j] == 2]
-            root = find(i)
-            for j in others:
-                if min(size[i], size[j]) >= threshold * max(size[i], size[j]) and find(j) != root:
-                    both = len(sets[i] & sets[j])
-                    if both >= threshold * (size[i] + size[j] - both):
-                        parent[find(j)] = root
-                        links.append((lids[i], lids[j]))
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        lids, side = table["lid"].to_numpy(), table["side"].to_numpy()
+        number: dict[str, int] = {}
+        sets = [np.fromiter((number.setdefault(x, len(number)) for x in shingles(line)), np.int64) for line in table["line"].to_pylist()]
+        size = np.array([len(x) for x in sets], np.float64)
+        row, at = np.repeat(np.arange(len(sets)), size.astype(np.int64)), np.concatenate(sets)
+        # shingles of one line only add nothing to what two lines have in common
+        kept = np.bincount(at, minlength=len(number)) > 1
+        row, at = row[kept[at]], (np.cumsum(kept) - 1)[at[kept[at]]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for k in range(0, int(kept.sum()), 2048):
+            i, j = np.searchsorted(at, (k, k + 2048))
+            held = np.zeros((len(sets), 2048), np.float32)
+            held[row[i:j], at[i:j] - k] = 1
+            both += held @ held.T
+        a, b = np.nonzero(np.triu(both >= threshold * (size[:, None] + size - both), 1))
+        meet = (side[a] == 0) | (side[a] != side[b])
+        root = local_components(len(sets), a[meet], b[meet])
+        moved = np.flatnonzero(root != np.arange(len(sets)))
+        return pa.table({"a": lids[moved], "b": lids[root[moved]]})
 
     return run
 
