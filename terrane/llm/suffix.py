@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
-Each 50-byte window belongs to the 16-byte string of least hash in it, its anchor; equal windows have equal anchors at equal places. So
+Each 50-byte window belongs to the 24-byte string of least hash in it, its anchor; equal windows have equal anchors at equal places. So
 windows meet by anchor, and a run of neighbouring windows with the same anchor travels as one segment:
 
 1. distinct anchor hashes of a block of documents meet by hash; a bit for each says whether another document has it;
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_rows, block_of, pieces, ranges, shuffle_partitions, text_bytes
 
-ANCHOR = 16
+ANCHOR = 24
 _R = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Stands for a null id, which is larger than any other.
@@ -36,9 +36,10 @@ def anchor_runs(raw: np.ndarray, off: np.ndarray, length: int):
     if len(raw) < length:
         return none, none, none, none, np.zeros(0, np.uint64)
     h, r, span = raw.astype(np.uint64) + np.uint64(1), _R, 1
-    while span < ANCHOR:  # polynomial hashes of 2, 4, 8, 16 bytes
+    while span < 8:  # polynomial hashes of 2, 4, 8 bytes
         h = h[:-span] * r + h[span:]
         r, span = np.uint64(int(r) * int(r) & 0xFFFFFFFFFFFFFFFF), span * 2
+    h = (h[:-16] * r + h[8:-8]) * r + h[16:]  # three of 8
     h ^= h >> np.uint64(32)
     h *= _MIX
     h ^= h >> np.uint64(29)
@@ -288,8 +289,10 @@ def _smaller(length: int):
         mine = np.flatnonzero(several)
         if len(mine):
             rows = ranges(offsets[mine], w[mine])
-            at = ranges(starts[first][mine], w[mine])
-            group = np.repeat(name[mine], w[mine]) * 256 + (np.repeat(spot[mine], w[mine]) - at)
+            part = buf[ranges(starts[first][mine], w[mine] + length - 1)]
+            begin = np.concatenate([[0], np.cumsum(w[mine] + length - 1)[:-1]])
+            at = ranges(begin, w[mine])
+            group = np.repeat(name[mine], w[mine]) * 256 + (np.repeat(begin + places[first][mine], w[mine]) - at)
             by = np.argsort(group, kind="stable")
             rows, at, group = rows[by], at[by], group[by]
             alone = np.ones(len(group), bool)
@@ -298,7 +301,7 @@ def _smaller(length: int):
             alone[:-1] &= ~same
             rows, at, group = rows[~alone], at[~alone], group[~alone]
             if len(at):
-                order, runs = Suffixes(np.append(buf, np.zeros(1, np.uint8)), length).verified_runs(at, group)
+                order, runs = Suffixes(np.append(part, np.zeros(1, np.uint8)), length).verified_runs(at, group)
                 best = np.minimum.reduceat(low[rows[order]], runs)
                 low[rows[order]] = np.repeat(best, np.diff(np.append(runs, len(order))))
 
@@ -350,9 +353,9 @@ def dedup_substrings(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id
 
     A null text counts as empty. A null id is larger than all others. Rows with equal ids never remove from each other.
     Texts shorter than ``length`` bytes stay as they are. An empty table gives no rows."""
-    n = shuffle_partitions(docs.sparkSession)
+    n = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    placed = rows.withColumn("blk", block_of(2 * n, "doc_id")).repartition(2 * n, "blk")
+    placed = rows.withColumn("blk", block_of(n, "doc_id")).repartition(n, "blk")
     anchors = placed.groupBy("blk").applyInArrow(_anchors(n, length), "bucket int, blk int, anchors binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "blk int, bucket int, bits binary")
     segments = placed.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_segments(n, length), "bucket int, blk int, docs binary, windows binary, places binary, text binary")
