@@ -90,15 +90,15 @@ class Block:
             low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
         self.several = low != high
 
-    def bucket_of(self, h: np.ndarray) -> np.ndarray:
-        return ((h & np.uint64(0xFFFFFF)) * np.uint64(self.buckets) >> np.uint64(24)).astype(np.int64)
+    def bucket_of(self, h: np.ndarray, buckets: int | None = None) -> np.ndarray:
+        return ((h & np.uint64(0xFFFFFF)) * np.uint64(buckets or self.buckets) >> np.uint64(24)).astype(np.int64)
 
-    def bounds(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, hashes: np.ndarray, buckets: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The buckets that occur and the bounds of their rows, of hashes in bucket order."""
-        ids, first = np.unique(self.bucket_of(hashes), return_index=True)
+        ids, first = np.unique(self.bucket_of(hashes, buckets), return_index=True)
         return ids, np.append(first, len(hashes))
 
-    def segments(self, shared: np.ndarray):
+    def segments(self, shared: np.ndarray, buckets: int):
         """Of the runs of windows with shared anchors, the distinct contents by bucket: (content of each such run, the runs,
         per content: smallest id, first window, last window, anchor, hash)."""
         runs = np.flatnonzero(shared[self.number])
@@ -111,7 +111,7 @@ class Block:
         np.minimum.at(least, key, doc)
         first = np.empty(len(seen), np.int64)
         first[key[::-1]] = np.arange(len(runs))[::-1]
-        order = np.lexsort((first, self.bucket_of(self.hash[runs][first])))
+        order = np.lexsort((first, self.bucket_of(self.hash[runs][first], buckets)))
         place = np.empty(len(seen), np.int64)
         place[order] = np.arange(len(seen))
         first = first[order]
@@ -151,13 +151,13 @@ def _answer(bounds, ids, replies: pa.Table, total: int, sizes=None) -> np.ndarra
     return out
 
 
-def _segments(buckets: int, length: int):
+def _segments(buckets: int, finer: int, length: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         b = Block(docs, buckets, length)
         ids, bounds = b.bounds(b.distinct)
         mask = _answer(bounds, ids, shared, len(b.distinct))
-        _, _, least, lo, hi, at, h = b.segments(mask)
-        ids, bounds = b.bounds(h)
+        _, _, least, lo, hi, at, h = b.segments(mask, finer)
+        ids, bounds = b.bounds(h, finer)
         size = hi - lo + length
         text = b.raw[ranges(lo, size)]
         return pa.table({
@@ -313,16 +313,16 @@ def _smaller(length: int):
     return run
 
 
-def _remove(buckets: int, length: int):
+def _remove(buckets: int, finer: int, length: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         step = replies["step"].to_numpy()
         shared, smaller = (replies.filter(pa.array(step == k)) for k in (1, 2))
         b = Block(docs, buckets, length)
         ids, bounds = b.bounds(b.distinct)
-        key, runs, least, lo, hi, _, h = b.segments(_answer(bounds, ids, shared, len(b.distinct)))
+        key, runs, least, lo, hi, _, h = b.segments(_answer(bounds, ids, shared, len(b.distinct)), finer)
         windows = hi - lo + 1
         offsets = np.concatenate([[0], np.cumsum(windows)])
-        ids, bounds = b.bounds(h)
+        ids, bounds = b.bounds(h, finer)
         flags = _answer(offsets[bounds], ids, smaller, int(offsets[-1]))
         # a copy with a larger id than the block's least has all its windows in a smaller one
         many = b.hi[runs] - b.lo[runs] + 1
@@ -353,15 +353,16 @@ def dedup_substrings(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id
 
     A null text counts as empty. A null id is larger than all others. Rows with equal ids never remove from each other.
     Texts shorter than ``length`` bytes stay as they are. An empty table gives no rows."""
-    n = 2 * shuffle_partitions(docs.sparkSession)
+    finer = shuffle_partitions(docs.sparkSession)
+    n, buckets = 2 * finer, max(1, finer // 2)  # blocks of texts; buckets of anchors; segments are larger and need more buckets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     placed = rows.withColumn("blk", block_of(n, "doc_id")).repartition(n, "blk")
-    anchors = placed.groupBy("blk").applyInArrow(_anchors(n, length), "bucket int, blk int, anchors binary")
+    anchors = placed.groupBy("blk").applyInArrow(_anchors(buckets, length), "bucket int, blk int, anchors binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "blk int, bucket int, bits binary")
-    segments = placed.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_segments(n, length), "bucket int, blk int, docs binary, windows binary, places binary, text binary")
+    segments = placed.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_segments(buckets, finer, length), "bucket int, blk int, docs binary, windows binary, places binary, text binary")
     smaller = segments.groupBy("bucket").applyInArrow(_smaller(length), "blk int, bucket int, bits binary, step int")
     replies = smaller.unionByName(shared.withColumn("step", F.lit(1)))
-    return placed.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(_remove(n, length), "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return placed.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(_remove(buckets, finer, length), "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
