@@ -4,7 +4,7 @@
    character shingles, cut into bands.
 2. Lines meet by band. A group of lines that share a band is known by its members; groups with equal members, which most
    bands of a group of near-copies are, count once.
-3. The lines of the groups are fetched from where they occur first, and their shingle sets compared exactly. Large groups are cut into blocks, and each
+3. The lines of the groups are fetched from where they occur first, and their whole shingle sets compared (as 64-bit hashes). Large groups are cut into blocks, and each
    two blocks meet in a task of their own.
 4. A distributed union-find joins the links; the first occurrence of a component stays, all others go.
 
@@ -189,29 +189,79 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _numbered(line_column: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, shingle) of the distinct shingles of each line, shingles as 64-bit hashes of their characters."""
+    rows, hashes = [], []
+    for k, line in enumerate(line_column):
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        width = min(SHINGLE, len(codes))
+        h = np.full(max(1, len(codes) - SHINGLE + 1), np.uint64(width))
+        for i in range(width):
+            h = h * _MIX + codes[i : i + len(h)]
+        h = np.unique((h ^ (h >> np.uint64(29))) * _MIX)
+        rows.append(np.full(len(h), k))
+        hashes.append(h)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+#: In groups of up to so many lines, common shingles are counted pair by pair.
+SMALL = 12
+
+
+def _common_small(line: np.ndarray, hashes: np.ndarray, task: np.ndarray, n: int):
+    """(a, b, shingles in common) of the pairs of lines of one task that have any."""
+    key = hashes ^ (task[line].view(np.uint64) * _MIX)
+    order = np.argsort(key, kind="stable")
+    key, line = key[order], line[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    after = end - np.arange(len(key)) - 1
+    a, b = np.repeat(line, after), line[ranges(np.arange(len(key)) + 1, after)]
+    pair, both = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
+    return pair // n, pair % n, both
+
+
+def _common_large(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Shingles in common of all pairs of ``n`` lines."""
+    _, at = np.unique(hashes, return_inverse=True)
+    kept = np.bincount(at) > 1  # shingles of one line only add nothing to what two lines have in common
+    row, at = row[kept[at]], (np.cumsum(kept) - 1)[at[kept[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((n, n), np.float32)
+    for k in range(0, int(kept.sum()), 2048):
+        i, j = np.searchsorted(at, (k, k + 2048))
+        held = np.zeros((n, min(2048, int(kept.sum()) - k)), np.float32)
+        held[row[i:j], at[i:j] - k] = 1
+        both += held @ held.T
+    return both
+
+
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Exact similarities within a group, or of two blocks of one; links that join what all similar pairs would."""
-        lids, side = table["lid"].to_numpy(), table["side"].to_numpy()
-        number: dict[str, int] = {}
-        sets = [np.fromiter((number.setdefault(x, len(number)) for x in shingles(line)), np.int64) for line in table["line"].to_pylist()]
-        size = np.array([len(x) for x in sets], np.float64)
-        row, at = np.repeat(np.arange(len(sets)), size.astype(np.int64)), np.concatenate(sets)
-        # shingles of one line only add nothing to what two lines have in common
-        kept = np.bincount(at, minlength=len(number)) > 1
-        row, at = row[kept[at]], (np.cumsum(kept) - 1)[at[kept[at]]]
-        order = np.argsort(at, kind="stable")
-        row, at = row[order], at[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for k in range(0, int(kept.sum()), 2048):
-            i, j = np.searchsorted(at, (k, k + 2048))
-            held = np.zeros((len(sets), 2048), np.float32)
-            held[row[i:j], at[i:j] - k] = 1
-            both += held @ held.T
-        a, b = np.nonzero(np.triu(both >= threshold * (size[:, None] + size - both), 1))
+        """Exact similarities within each task: a group, or two blocks of one; links that join what all similar pairs would."""
+        table = table.sort_by("task")
+        lids, side, task = (table[c].to_numpy() for c in ("lid", "side", "task"))
+        n = len(lids)
+        row, hashes = _numbered(table["line"].to_pylist())
+        size = np.bincount(row, minlength=n).astype(np.float64)
+        start = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+        many = np.diff(np.append(start, n))
+        small = np.repeat(many, many) <= SMALL
+        pick = small[row]
+        a, b, both = _common_small(row[pick], hashes[pick], task, n)
+        near = both >= threshold * (size[a] + size[b] - both)
+        found = [(a[near], b[near])]
+        for s, m in zip(start[many > SMALL], many[many > SMALL]):
+            i, j = np.searchsorted(row, (s, s + m))
+            both = _common_large(row[i:j] - s, hashes[i:j], m)
+            own = size[s : s + m]
+            a, b = np.nonzero(np.triu(both >= threshold * (own[:, None] + own - both), 1))
+            found.append((a + s, b + s))
+        a, b = (np.concatenate(x) for x in zip(*found))
         meet = (side[a] == 0) | (side[a] != side[b])
-        root = local_components(len(sets), a[meet], b[meet])
-        moved = np.flatnonzero(root != np.arange(len(sets)))
+        root = local_components(n, a[meet], b[meet])
+        moved = np.flatnonzero(root != np.arange(n))
         return pa.table({"a": lids[moved], "b": lids[root[moved]]})
 
     return run
@@ -270,7 +320,8 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     own = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     tasks = own.withColumn("p", meet).select("gid", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("block") == F.col("p.i"), 1).otherwise(2).alias("side"), "lid")
-    links = tasks.join(texts, "lid").groupBy("gid", "i", "j").applyInArrow(_compare(threshold), "a long, b long")
+    tasks = tasks.withColumn("task", F.xxhash64("gid", "i", "j")).withColumn("pack", F.pmod("task", F.lit(8 * n)).cast("int"))  # many small groups at a time
+    links = tasks.join(texts, "lid").select("pack", "task", "side", "lid", "line").groupBy("pack").applyInArrow(_compare(threshold), "a long, b long")
     comps = connected_components(links)
 
     rooted = found.join(comps, found.lid == comps.node, "left").select("lid", "first", "n", F.coalesce("component", "lid").alias("root"))
