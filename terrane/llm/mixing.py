@@ -109,7 +109,7 @@ def take_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     return keyed.join(times, "rk__").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).drop("rk__", "times__", "copy__")
 
 
-def _last_taken(copies: DataFrame, total: int, n: int, few: int = 50_000):
+def _last_taken(copies: DataFrame, total: int, n: int, few: int = 4_000):
     """The sort key at which the mix ends, and whether the copy with it still belongs to the mix. The driver sees one row
     of sums in each round."""
     low, spent = 0.0, 0
