@@ -173,15 +173,25 @@ def _slot_counts(order: int, block: int):
 
 
 def _dense(block: int):
-    def run(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        n = [np.zeros(block), np.zeros(block)]
-        for ids, *both in zip(*(table[c].to_pylist() for c in ("ids", "n0", "n1"))):
-            at = np.frombuffer(ids, np.int32) % block
-            for total, x in zip(n, both):
-                total[at] += np.frombuffer(x, np.float64)
-        packed = to_levels(n[1]).astype(np.uint16) << 8 | to_levels(n[0])
-        return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([packed.tobytes()], pa.binary())})
+    """Rows sorted by part to the parts' packed levels; what is held is one block of sums."""
+
+    def packed(part, n):
+        levels = to_levels(n[1]).astype(np.uint16) << 8 | to_levels(n[0])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["part", "levels"])
+
+    def run(batches):
+        now, n = None, None
+        for batch in batches:
+            for part, ids, *both in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    if n is not None:
+                        yield packed(now, n)
+                    now, n = part, [np.zeros(block), np.zeros(block)]
+                at = np.frombuffer(ids, np.int32) % block
+                for total, x in zip(n, both):
+                    total[at] += np.frombuffer(x, np.float64)
+        if n is not None:
+            yield packed(now, n)
 
     return run
 
@@ -295,10 +305,11 @@ def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02):
     """Learn from all rows of ``docs.text``. Returns a function that makes the model on any executor. To the driver come the tables (fixed size), the weights and the refinement (some
     thousand numbers), summed up before."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    block = 1 << 18
+    block = 1 << 14
     strings = count_strings(docs, order, n)
     strings = cut(strings.groupBy("bucket").applyInArrow(_merged, "bucket int, strings binary, counts binary"))
-    dense = strings.mapInArrow(_slot_counts(order, block), "part int, ids binary, n0 binary, n1 binary").groupBy("part").applyInArrow(_dense(block), "part int, levels binary")
+    dense = strings.mapInArrow(_slot_counts(order, block), "part int, ids binary, n0 binary, n1 binary")
+    dense = dense.repartition("part").sortWithinPartitions("part").mapInArrow(_dense(block), "part int, levels binary")
     tables = [np.zeros(1 << slot_bits(k), np.uint16) for k in range(order + 1)]
     for row in dense.toLocalIterator():
         k, at = divmod(row["part"], 1_000_000)
