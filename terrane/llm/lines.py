@@ -210,10 +210,12 @@ SMALL = 12
 
 def _common_small(line: np.ndarray, hashes: np.ndarray, task: np.ndarray, n: int):
     """(a, b, shingles in common) of the pairs of lines of one task that have any."""
+    if not len(line):
+        return (np.zeros(0, np.int64),) * 3
     key = hashes ^ (task[line].view(np.uint64) * _MIX)
     order = np.argsort(key, kind="stable")
     key, line = key[order], line[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
     after = end - np.arange(len(key)) - 1
     a, b = np.repeat(line, after), line[ranges(np.arange(len(key)) + 1, after)]
