@@ -1,21 +1,25 @@
 """LM scoring by online logistic context mixing.
 
-The text is a stream of bits: its lower-cased words, each followed by a space, then an end byte. For every order k, a table
-hashed by the last k bytes and the bits of the current byte so far holds how often a 0 and a 1 came next. These bit predictors
+The text is a stream of bits: its lower-cased words, each followed by a space, then an end byte. For every order k, it is
+counted how often a 0 and a 1 came next after the last k bytes and the bits of the current byte so far. These bit predictors
 are mixed in the logistic domain by gated weights (the gate: how much a predictor and the next longer one have seen),
 learnt online by gradient steps, and the mixed probability is refined adaptively from what came true at similar
 predictions. The bits' costs add up to the cost of the text.
 
-Counts come from all training documents. They are gathered as counts of byte strings of one more than the highest order,
-from which everything follows: the tables (of a fixed size, so that they can be broadcast), and each weight step, which
-sees a string as often as it occurred and leaves its own occurrence out of the counts. The learnt model is then fixed, so that
-the cost of a byte depends on the bytes before it only; each distinct string of a block is computed once.
+Counts come from all training documents and are exact: no two contexts share one. They are gathered as counts of byte strings
+of one more than the highest order, from which everything follows. Strings with the same last SHARED bytes before the current
+one share a bucket, which therefore has all counts of the orders from SHARED up; these grow with the corpus and stay where they
+are. Lower orders have 256 entries for each possible context, which are broadcast. Each weight step sees a string as often as it
+occurred and leaves its own occurrence out of the counts. The learnt model is then fixed, so that the cost of a byte depends on
+the bytes before it only: the distinct strings of a block of documents go to their buckets, are computed there once for all
+blocks, and the costs return, by the same exchanges as the word counts.
 
 The base score is an exact unigram model over words; the word counts meet by word, and totals return to the blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +32,8 @@ from .common import binary_rows, block_of, cut, pieces, shuffle_partitions, text
 from .quality import held_out
 from .words import Words
 
-#: Slots of a table are 2**BITS; order 0 and 1 need fewer.
-BITS = 22
+#: Orders below this have complete tables (2**24 entries for order 2); strings are placed by so many bytes of their context.
+SHARED = 3
 #: Distinct byte strings that a task holds before it passes them on.
 HELD = 3_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -57,21 +61,21 @@ def _lookups(delta: float):
     return st, gate, nxt, less
 
 
-def slot_bits(order: int) -> int:
-    return {0: 8, 1: 16}.get(order, BITS)
+def suffixes(strings: np.ndarray, order: int) -> np.ndarray:
+    """The last byte and the ``order`` bytes before it."""
+    return strings & np.uint64((1 << 8 * (order + 1)) - 1)
 
 
-def contexts(strings: np.ndarray, order: int) -> np.ndarray:
-    """A hash of the ``order`` bytes before the last one."""
-    ctx = (strings >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-    return ctx if order < 2 else (ctx + np.uint64(order)) * _A
+def buckets_of(strings: np.ndarray, buckets: int) -> np.ndarray:
+    h = ((strings >> np.uint64(8)) & np.uint64((1 << 8 * SHARED) - 1)) * _A
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def slots(ctx: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    if order < 2:
-        return (ctx << np.uint64(8) | node.astype(np.uint64)).astype(np.int64)
-    h = (ctx ^ (ctx >> np.uint64(29)) ^ node.astype(np.uint64) * _B) * _A
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by bucket, the buckets that occur, and their bounds."""
+    by = np.argsort(bucket, kind="stable")
+    ids, first = np.unique(bucket[by], return_index=True)
+    return by, ids, np.append(first, len(by))
 
 
 def byte_strings(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +105,10 @@ def byte_strings(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_strings(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(bucket, strings, counts) of ``docs.text``: blobs of distinct strings; strings that end in the same bytes share a bucket."""
+    """(bucket, strings, counts) of ``docs.text``: blobs of distinct strings."""
 
     def blobs(strings, counts):
-        tail = (strings & np.uint64(0xFFFFFF)) * _A
-        bucket = ((tail >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        ids, first = np.unique(bucket[by], return_index=True)
-        bounds = np.append(first, len(by))
+        by, ids, bounds = by_bucket(buckets_of(strings, buckets))
         return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), binary_rows(strings[by], bounds), binary_rows(counts[by].astype(np.int64), bounds)], names=["bucket", "strings", "counts"])
 
     def run(batches):
@@ -147,24 +147,24 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def _slot_counts(order: int, block: int):
-    """Blobs of strings to blobs of slot counts, by (order, block of slots)."""
+    """Blobs of strings to blobs of the counts of orders below SHARED, by (order, block of entries)."""
 
     def run(batches):
         for batch in batches:
             for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
                 last = (strings & np.uint64(255)).astype(np.int64)
-                for k in range(order + 1):
-                    ctx = contexts(strings, k)
+                for k in range(min(order + 1, SHARED)):
+                    ctx = (suffixes(strings, k) >> np.uint64(8) << np.uint64(8)).astype(np.int64)
                     at, bit = [], []
                     for i in range(7, -1, -1):
-                        at.append(slots(ctx, (last | 256) >> (i + 1), k))
+                        at.append(ctx | (last | 256) >> (i + 1))
                         bit.append((last >> i) & 1)
                     at, bit, w = np.concatenate(at), np.concatenate(bit), np.tile(counts, 8)
                     ids, inv = np.unique(at, return_inverse=True)
                     n1 = np.bincount(inv, w * bit, len(ids))
                     n0 = np.bincount(inv, w, len(ids)) - n1
-                    cuts = np.searchsorted(ids, np.arange(0, (1 << slot_bits(k)) + block, block))
+                    cuts = np.searchsorted(ids, np.arange(0, (1 << 8 * (k + 1)) + block, block))
                     some = np.flatnonzero(np.diff(cuts))
                     bounds = np.append(cuts[some], len(ids))
                     yield pa.RecordBatch.from_arrays([pa.array((k * 1_000_000 + some).astype(np.int32)), binary_rows(ids.astype(np.int32), bounds), binary_rows(n0, bounds), binary_rows(n1, bounds)], names=["part", "ids", "n0", "n1"])
@@ -176,8 +176,7 @@ def _dense(block: int):
     """Rows sorted by part to the parts' packed levels; what is held is one block of sums."""
 
     def packed(part, n):
-        levels = to_levels(n[1]).astype(np.uint16) << 8 | to_levels(n[0])
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["part", "levels"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(*n).tobytes()], pa.binary())], names=["part", "levels"])
 
     def run(batches):
         now, n = None, None
@@ -196,9 +195,29 @@ def _dense(block: int):
     return run
 
 
+def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return to_levels(n1).astype(np.uint16) << 8 | to_levels(n0)
+
+
+def exact_counts(strings: np.ndarray, counts: np.ndarray, order: int) -> list:
+    """For each number of bits that are still to come after a bit, the sorted bits before it (context and current byte) and their
+    packed levels. The last entry is a sentinel, for bits that are not there."""
+    s = suffixes(strings, order)
+    s, c = merge_counts([(s, counts.astype(np.float64))])
+    out = []
+    for i in range(8):
+        before = s >> np.uint64(i + 1)
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(s) else np.zeros(0, np.int64)
+        ones = np.add.reduceat(c * ((s >> np.uint64(i)) & np.uint64(1)), first) if len(s) else c
+        every = np.add.reduceat(c, first) if len(s) else c
+        out.append((np.append(before[first], ~np.uint64(0)), np.append(_packed(every - ones, ones), np.uint16(0))))
+    return out
+
+
 @dataclass
 class Model:
-    """Tables of packed levels by order, mixing weights by (order, gate, gate of the next order), and the refinement."""
+    """Tables of packed levels of the orders below SHARED, exact counts of the others for the strings of one bucket, mixing
+    weights by (order, gate, gate of the next order), and the refinement."""
 
     tables: list[np.ndarray]
     weights: np.ndarray
@@ -207,20 +226,36 @@ class Model:
 
     def __post_init__(self):
         self.look = _lookups(self.delta)
+        self.over(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def over(self, strings: np.ndarray, counts: np.ndarray) -> Model:
+        """Take the counts of a bucket's training strings."""
+        self.counts = {k: exact_counts(strings, counts, k) for k in range(SHARED, len(self.weights))}
+        return self
+
+    def levels(self, strings: np.ndarray, order: int, i: int) -> np.ndarray:
+        """Packed levels for the bit of the last byte after which ``i`` are to come."""
+        s = suffixes(strings, order)
+        if order < SHARED:
+            return self.tables[order][((s >> np.uint64(8) << np.uint64(8)) | ((s & np.uint64(255)) | np.uint64(256)) >> np.uint64(i + 1)).astype(np.int64)]
+        keys, levels = self.counts[order][i]
+        s >>= np.uint64(i + 1)
+        at = np.searchsorted(keys, s)
+        return np.where(keys[at] == s, levels[at], np.uint16(0))
 
     def bits(self, strings: np.ndarray, own: bool = False):
         """For each of the 8 bits of the last byte: node, bit, stretched predictions and weight cells by order. ``own``: without
         one occurrence of the string itself."""
         st, gate, nxt, less = self.look
         last = (strings & np.uint64(255)).astype(np.int64)
-        ctx = [contexts(strings, k) for k in range(len(self.tables))]
+        orders = len(self.weights)
         for i in range(7, -1, -1):
             node, bit = (last | 256) >> (i + 1), (last >> i) & 1
-            x = np.empty((len(self.tables), len(strings)), np.float32)
+            x = np.empty((orders, len(strings)), np.float32)
             cell = np.empty(x.shape, np.int32)
             above = np.zeros(len(strings), np.int32)
-            for k in range(len(self.tables) - 1, -1, -1):
-                q = self.tables[k][slots(ctx[k], node, k)]
+            for k in range(orders - 1, -1, -1):
+                q = self.levels(strings, k, i)
                 if own:
                     q = np.where(bit == 1, less[1][q], less[0][q])
                 x[k] = st[q]
@@ -264,6 +299,7 @@ def _learn_weights(model_of, rate: float):
         for batch in batches:
             for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
+                model.over(strings, counts)
                 mix = np.random.default_rng(len(strings)).permutation(len(strings))
                 for i in range(0, len(mix), 8192):
                     rows = mix[i : i + 8192]
@@ -289,6 +325,7 @@ def _learn_refinement(model_of):
         for batch in batches:
             for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
+                model.over(strings, counts)
                 for i in range(0, len(strings), 65_536):
                     part, w = strings[i : i + 65_536], counts[i : i + 65_536]
                     for node, bit, x, cell in model.bits(part, own=True):
@@ -301,16 +338,29 @@ def _learn_refinement(model_of):
     return run
 
 
-def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02):
-    """Learn from all rows of ``docs.text``. Returns a function that makes the model on any executor. To the driver come the tables (fixed size), the weights and the refinement (some
-    thousand numbers), summed up before."""
+@dataclass
+class Trained:
+    """What was learnt. ``model`` makes the model on any executor, to be given the strings of a bucket."""
+
+    strings: DataFrame
+    model: Callable[[], Model]
+
+    def __call__(self) -> Model:
+        """The model of all strings, which come to the driver; for small corpora."""
+        got = [(np.frombuffer(r["strings"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in self.strings.toLocalIterator()]
+        return self.model().over(*merge_counts(got)) if got else self.model()
+
+
+def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02) -> Trained:
+    """Learn from all rows of ``docs.text``. To the driver come the tables of the orders below SHARED (at most 34 MB, whatever the
+    input), the weights and the refinement (some thousand numbers), summed up before."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     block = 1 << 14
     strings = count_strings(docs, order, n)
     strings = cut(strings.groupBy("bucket").applyInArrow(_merged, "bucket int, strings binary, counts binary"))
     dense = strings.mapInArrow(_slot_counts(order, block), "part int, ids binary, n0 binary, n1 binary")
     dense = dense.repartition("part").sortWithinPartitions("part").mapInArrow(_dense(block), "part int, levels binary")
-    tables = [np.zeros(1 << slot_bits(k), np.uint16) for k in range(order + 1)]
+    tables = [np.zeros(1 << 8 * (k + 1), np.uint16) for k in range(min(order + 1, SHARED))]
     for row in dense.toLocalIterator():
         k, at = divmod(row["part"], 1_000_000)
         got = np.frombuffer(row["levels"], np.uint16)[: len(tables[k])]
@@ -328,7 +378,7 @@ def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02):
     at = got["i"].to_numpy()
     refine[at] = (got["a"].to_numpy() + strength * refine[at]) / (got["b"].to_numpy() + strength)
     refine = refine.reshape(256, 33)
-    return lambda: Model(sent.value, weights, refine)
+    return Trained(strings, lambda: Model(sent.value, weights, refine))
 
 
 # -------------------------------------------------------------------------------------------------------------- scoring
@@ -362,68 +412,89 @@ def _spread(names: pa.Array, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block_words(buckets: int):
-    """A block's distinct words with their counts in training texts, as one blob for each bucket of words."""
+def _byte_strings(texts, order: int):
+    """The distinct byte strings of texts in order, and for some texts at a time the places of their bytes' strings among them, with the
+    texts' bounds."""
+    raw, off = text_bytes(texts)
+    parts = []
+    for i, j in pieces(off, 1_000_000):
+        strings, cuts = byte_strings(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), order)
+        coded = pa.array(strings).dictionary_encode()
+        parts.append((coded.dictionary.to_numpy(), coded.indices.to_numpy(), cuts))
+    every, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
+    return every, ((back[k : k + len(p[0])], p[1], p[2]) for k, p in zip(first, parts))
+
+
+def _block_words(order: int, buckets: int):
+    """A block's distinct words with their counts in training texts, and its distinct byte strings, as one row for each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         names, at, many = _distinct(table)
         train = np.repeat(table["train"].to_numpy(), many)
         counts = np.bincount(at[train], minlength=len(names))
-        bucket = _spread(names, buckets)
-        by = np.argsort(bucket, kind="stable")
-        ids, first = np.unique(bucket[by], return_index=True)
-        bounds = np.append(first, len(by))
+        every, _ = _byte_strings(table["text"], order)
+        bucket, place = _spread(names, buckets), buckets_of(every, buckets)
+        by, to = np.argsort(bucket, kind="stable"), np.argsort(place, kind="stable")
+        ids = np.union1d(bucket, place)
+        bounds, cuts = np.append(np.searchsorted(bucket[by], ids), len(by)), np.append(np.searchsorted(place[to], ids), len(to))
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), names.take(pa.array(by)).cast(pa.string()))
-        return pa.table({"bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "words": pc.binary_join(lists, " "), "counts": binary_rows(counts[by].astype(np.int64), bounds)})
+        return pa.table({"bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "words": pc.binary_join(lists, " "), "counts": binary_rows(counts[by].astype(np.int64), bounds), "strings": binary_rows(every[to], cuts)})
 
     return run
 
 
-def _totals(table: pa.Table) -> pa.Table:
-    """For the words of a bucket, their totals over all blocks, back in each block's own order."""
-    parts = [w.split(" ") for w in table["words"].to_pylist()]
-    coded = pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    counts = np.concatenate([np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
-    total = np.bincount(at, counts, len(coded.dictionary)).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    first = np.zeros(len(parts), np.int64)
-    known, tokens = first.copy(), first.copy()
-    known[0], tokens[0] = np.count_nonzero(total), total.sum()
-    return pa.table({"blk": table["blk"], "bucket": table["bucket"], "totals": binary_rows(total[at], bounds), "known": known, "tokens": tokens})
+def _totals(model):
+    """For the words of a bucket, their totals over all blocks, and for its strings their costs, back in each block's own order."""
+
+    def run(table: pa.Table, learnt: pa.Table) -> pa.Table:
+        parts = [w.split(" ") if w else [] for w in table["words"].to_pylist()]
+        coded = pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())])
+        total = np.bincount(at, counts, len(coded.dictionary)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        first = np.zeros(len(parts), np.int64)
+        known, tokens = first.copy(), first.copy()
+        known[:1], tokens[:1] = np.count_nonzero(total), total.sum()
+
+        blobs = [np.frombuffer(s, np.uint64) for s in table["strings"].to_pylist()]
+        every, held, rows = np.zeros(0, np.uint64), [], 0
+        for k, blob in enumerate(blobs):
+            held.append(blob)
+            rows += len(blob)
+            if rows > HELD or k == len(blobs) - 1:
+                every, held, rows = np.unique(np.concatenate([every, *held])), [], 0
+        m = model()
+        for s, c in zip(learnt["strings"].to_pylist(), learnt["counts"].to_pylist()):
+            m.over(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64))
+        cost = m.log10(every)
+        costs = pa.array([cost[np.searchsorted(every, blob)].tobytes() for blob in blobs], pa.binary())
+        return pa.table({"blk": table["blk"], "bucket": table["bucket"], "totals": binary_rows(total[at], bounds), "costs": costs, "known": known, "tokens": tokens})
 
+    return run
 
-def _score_block(model, order: int, buckets: int, kind: pa.DataType):
+
+def _score_block(order: int, buckets: int, kind: pa.DataType):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        m = model()
+        came = {b: (np.frombuffer(t, np.int64), np.frombuffer(c)) for b, t, c in zip(*(totals[x].to_pylist() for x in ("bucket", "totals", "costs")))}
+
+        def back(bucket, which):
+            by, ids, bounds = by_bucket(bucket)
+            out = np.zeros(len(bucket), np.float64 if which else np.int64)
+            for b, i, j in zip(ids.tolist(), bounds[:-1], bounds[1:]):
+                out[by[i:j]] = came[b][which]
+            return out
+
         names, at, many = _distinct(docs)
-        bucket = _spread(names, buckets)
-        by = np.argsort(bucket, kind="stable")
-        ids, first = np.unique(bucket[by], return_index=True)
-        bounds = np.append(first, len(by))
-        c = np.zeros(len(names), np.int64)
-        came = dict(zip(totals["bucket"].to_pylist(), totals["totals"].to_pylist()))
-        for b, i, j in zip(ids.tolist(), bounds[:-1], bounds[1:]):
-            c[by[i:j]] = np.frombuffer(came[b], np.int64)
+        c = back(_spread(names, buckets), 0)
         own = np.repeat(np.arange(len(many)), many)
         base = np.bincount(own, np.log10(c + 0.1)[at], len(many))
         known = np.bincount(own, (c > 0)[at].astype(np.float64), len(many))
 
-        raw, off = text_bytes(docs["text"])
-        parts = []
-        for i, j in pieces(off, 1_000_000):
-            strings, cuts = byte_strings(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), order)
-            coded = pa.array(strings).dictionary_encode()
-            parts.append((coded.dictionary.to_numpy(), coded.indices.to_numpy(), cuts))
-        score = np.zeros(0)
-        if parts:
-            every, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            cost, k = m.log10(every)[back], 0
-            sums = []
-            for strings, idx, cuts in parts:
-                sums.append(np.add.reduceat(cost[k : k + len(strings)][idx], cuts[:-1]))
-                k += len(strings)
-            score = np.concatenate(sums)
+        every, parts = _byte_strings(docs["text"], order)
+        cost = back(buckets_of(every, buckets), 1)
+        score = np.concatenate([np.zeros(0), *(np.add.reduceat(cost[strings][idx], cuts[:-1]) for strings, idx, cuts in parts)])
         n = len(many)
         out = {"doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy()), "words": pa.array(many), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(score)}
         stats = {"doc_id": pa.nulls(1, kind), "held_out": pa.nulls(1, pa.bool_()), "words": pa.array([pc.sum(totals["tokens"]).as_py() or 0]), "known": pa.array([pc.sum(totals["known"]).as_py() or 0]), "base": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64())}
@@ -442,14 +513,14 @@ def score_documents(docs: DataFrame, *, order: int = 5, folds: int = 10, id_col:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~held_out(id_col, folds)).alias("train"))
-    model = train(rows.filter("train"), order=order)
+    learnt = train(rows.filter("train"), order=order)
     placed = rows.withColumn("blk", block_of(2 * n, "doc_id", "text")).repartition(2 * n, "blk")
-    words = placed.groupBy("blk").applyInArrow(_block_words(n), "bucket int, blk int, words string, counts binary")
-    totals = words.groupBy("bucket").applyInArrow(_totals, "blk int, bucket int, totals binary, known long, tokens long")
+    words = placed.groupBy("blk").applyInArrow(_block_words(order, n), "bucket int, blk int, words string, counts binary, strings binary")
+    totals = words.groupBy("bucket").cogroup(learnt.strings.groupBy("bucket")).applyInArrow(_totals(learnt.model), "blk int, bucket int, totals binary, costs binary, known long, tokens long")
     field = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = placed.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(_score_block(model, order, n, to_arrow_type(field)), f"doc_id {field.simpleString()}, held_out boolean, words long, known long, base double, score double")
+    scored = placed.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(_score_block(order, n, to_arrow_type(field)), f"doc_id {field.simpleString()}, held_out boolean, words long, known long, base double, score double")
     scored = cut(scored)
     stats = scored.filter("held_out is null").agg(F.sum("words"), F.sum("known")).first()
     ends = scored.filter("not held_out").count()

@@ -140,6 +140,30 @@ def test_lm_model_is_a_distribution(docs):
         assert abs((10 ** model.log10(strings)).sum() - 1) < 1e-6
 
 
+def test_lm_counts_are_exact(spark):
+    """However many contexts there are, counts of different ones are not added together: contexts that never occurred predict alike."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(2_000)) for _ in range(20)]
+    learnt = lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    never = np.random.default_rng(4).integers(0x80, 0x100, (5_000, 5)).astype(np.uint64)
+    strings = sum(never[:, k] << np.uint64(8 * (k + 1)) for k in range(5)) | np.uint64(ord("e"))
+    assert np.ptp(learnt().log10(strings)) < 1e-9
+    buckets = {}
+    for r in learnt.strings.collect():
+        for x in np.frombuffer(r["strings"], np.uint64).tolist():
+            assert buckets.setdefault(x >> 8 & 0xFFFFFF, r["bucket"]) == r["bucket"]
+    model, seen = learnt(), Counter()
+    for t in texts:
+        b = b"\0" * 5 + t.encode() + b" \0"
+        for i in range(5, len(b)):
+            for k in range(6):
+                seen[b[i - k : i + 1]] += 1
+    for x in rng.sample(sorted(seen), 3_000):
+        n0, n1 = (seen[x[:-1] + bytes([(x[-1] & 254) | bit])] for bit in (0, 1))
+        q = int(model.levels(np.array([int.from_bytes(x, "big")], np.uint64), len(x) - 1, 0)[0])
+        assert (q & 255, q >> 8) == tuple(lm.to_levels(np.array([n0, n1])).tolist())
+
+
 def brute_suffix(rows, n=50):
     first = {}
     key = lambda i: 1 << 62 if i is None else i
