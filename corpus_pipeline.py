@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, lines, mixing, quality, simhash
+from terrane.llm import bpe, lines, mixing, near, quality
 from terrane.llm.common import ensure_checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -26,8 +26,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-copies stays: those with a similarity of 0.8 over runs of five words."""
+    return near.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,12 @@ def signatures(codes: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.n
         cuts = np.concatenate([[0], np.cumsum(many[part])[:-1]])
         for j in range(BANDS * ROWS):
             low[j, part] = np.minimum.reduceat(v * _MUL[j] + _ADD[j], cuts)
+    return band_keys(low)
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each column of BANDS * ROWS minima."""
+    n = low.shape[1]
     keys = np.empty((n, BANDS), np.uint64)
     for b in range(BANDS):
         x = np.full(n, b + 1, np.uint64)
@@ -239,13 +245,13 @@ def _common_large(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return both
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, numbered):
     def run(table: pa.Table) -> pa.Table:
         """Exact similarities within each task: a group, or two blocks of one; links that join what all similar pairs would."""
         table = table.sort_by("task")
         lids, side, task = (table[c].to_numpy() for c in ("lid", "side", "task"))
         n = len(lids)
-        row, hashes = _numbered(table["line"].to_pylist())
+        row, hashes = numbered(table["line"].to_pylist())
         size = np.bincount(row, minlength=n).astype(np.float64)
         start = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
         many = np.diff(np.append(start, n))
@@ -294,6 +300,17 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def similar(groups: DataFrame, texts: DataFrame, threshold: float, *, block: int, numbered=_numbered) -> DataFrame:
+    """Links (a, b) that join what all pairs of a group (gid, lid, m) of a similarity of at least ``threshold`` would. ``texts``: (lid, line),
+    of which ``numbered`` makes the shingles."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
+    tasks = own.withColumn("p", meet).select("gid", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("block") == F.col("p.i"), 1).otherwise(2).alias("side"), "lid")
+    tasks = tasks.withColumn("task", F.xxhash64("gid", "i", "j")).withColumn("pack", F.pmod("task", F.lit(8 * shuffle_partitions(groups.sparkSession))).cast("int"))  # many small groups at a time
+    return tasks.join(texts, "lid").select("pack", "task", "side", "lid", "line").groupBy("pack").applyInArrow(_compare(threshold, numbered), "a long, b long")
+
+
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text without repeated lines, and n_lines and n_removed (long; clashing columns of ``docs`` are replaced).
 
@@ -318,12 +335,7 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), key.alias("rk")).join(wanted, "rk").select("t", "w").mapInArrow(_fetch, "lid long, line string").dropDuplicates(["lid"])
     texts = cut(texts)
     _release(spark)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    tasks = own.withColumn("p", meet).select("gid", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("block") == F.col("p.i"), 1).otherwise(2).alias("side"), "lid")
-    tasks = tasks.withColumn("task", F.xxhash64("gid", "i", "j")).withColumn("pack", F.pmod("task", F.lit(8 * n)).cast("int"))  # many small groups at a time
-    links = tasks.join(texts, "lid").select("pack", "task", "side", "lid", "line").groupBy("pack").applyInArrow(_compare(threshold), "a long, b long")
+    links = similar(groups, texts, threshold, block=BLOCK)
     comps = connected_components(links)
 
     rooted = found.join(comps, found.lid == comps.node, "left").select("lid", "first", "n", F.coalesce("component", "lid").alias("root"))

@@ -15,7 +15,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, chat, lines, lm, mixing, pivots, quality, simhash, suffix, topk
+import corpus_pipeline
+from terrane.llm import bpe, chat, lines, lm, mixing, near, pivots, quality, simhash, suffix, topk
 from terrane.llm.common import connected_components, local_components
 
 SF = "/root/testdata/sf0.001"
@@ -259,6 +260,38 @@ def test_simhash_large_entries(spark):
     assert len({(mine[int(x)], c) for x, c in zip(f.view(np.int64), root)}) == len(set(root)) == len(set(mine.values()))
 
 
+def word_sets(text, n=5):
+    w = WORD.findall((text or "").translate(LOW))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies(spark, rows, monkeypatch):
+    """The pipeline's stage keeps one of all that chains of a five-word similarity of 0.8 join, wherever the words changed."""
+    rng = random.Random(7)
+    made, at = [(i, t) for i, t, _ in rows], 10_000
+    for size, edits in [(40, 1), (120, 2), (400, 3), (400, 6), (120, 5)]:
+        base = [f"w{rng.randrange(5_000)}" for _ in range(size)]
+        for _ in range(30):
+            words = list(base)
+            for k in rng.sample(range(size), rng.randint(0, edits)):
+                words[k] = f"x{rng.randrange(10**6)}"
+            made.append((at := at + 1, " ".join(words)))
+    sets = [word_sets(t) for _, t in made]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bits = np.array([fingerprint(t) for _, t in made], np.uint64)
+    assert sum((bits[a] ^ bits[b]).item().bit_count() > 2 for a, b in pairs) > 300
+    root = local_components(len(sets), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    key = lambda i: 1 << 62 if i is None else i
+    least = {}
+    for (i, _), c in zip(made, root):
+        least[c] = min(least.get(c, 1 << 62), key(i))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert sorted(key(r.doc_id) for r in stage(spark, df, SF).collect()) == sorted(least.values())
+    monkeypatch.setattr(near, "BLOCK", 7)
+    assert near.keep_one(df).count() == len(least) and near.keep_one(df.limit(0)).isEmpty()
+
+
 def test_chat(spark):
     data = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 2, "bob", None), (None, 1, "ann", "alone"), (2, 0, "system", "only")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("label", F.lit(0))
