@@ -184,6 +184,14 @@ _add("j8_parents_of_relation", lambda s, d: _fids(_world(s, d).relations().paren
 _add("j10_belongs_to", lambda s, d: derived.load(s, d).features.filter("ftype = 0").select("fid").join(topology.parents(derived.load(s, d)).filter(F.col("parent") == ids.make_fid(2, 4)), F.col("fid") == F.col("child"), "left_semi"), "SELECT fid FROM members WHERE rel_id = 4 AND member_type = 0")
 _add("j11_flatten", lambda s, d: assembly.flatten_members(derived.load(s, d), derived.load(s, d).features.filter("ftype = 2 and id between 1001 and 1005")), "SELECT a.rel_id * 4 + 2 AS root, a.fid FROM members a WHERE a.rel_id BETWEEN 1001 AND 1005 UNION SELECT a.rel_id * 4 + 2, b.fid FROM members a JOIN members b ON a.member_type = 2 AND b.rel_id = a.member_id WHERE a.rel_id BETWEEN 1001 AND 1005")
 
+# the same operators over whole tables; SQL where the common table expressions have all rows
+_add("f6_filter_east", lambda s, d: _fids(_world(s, d).nodes().filter(F.col("x") > _PX)), f"SELECT fid FROM f WHERE ftype = 0 AND min_x > {_PX}")
+_add("j1_way_nodes_all", lambda s, d: topology.way_nodes(derived.load(s, d)))
+_add("j2_feature_nodes_all", lambda s, d: topology.feature_nodes(derived.load(s, d), _world(s, d).nodes().df()), "SELECT way_id, seq, node_id * 4 AS fid FROM rn JOIN dep ON dep.id = node_id")
+_add("j11_flatten_all", lambda s, d: assembly.flatten_members(derived.load(s, d)), "SELECT a.rel_id * 4 + 2 AS root, a.fid FROM members a UNION SELECT a.rel_id * 4 + 2, b.fid FROM members a JOIN members b ON a.member_type = 2 AND b.rel_id = a.member_id")
+_add("j12_spatial_join_all", lambda s, d: spatial.spatial_join(rows := assembly.with_shapes(derived.load(s, d), _buildings(s, d).df(), frozenset("a"), frozenset((1,))), rows))
+
+
 # terminals, measures, functions
 _add("a1_count", lambda s, d: derived.load(s, d).features.filter("ftype < 2").groupBy("category").agg(F.count("*").alias("n")), "SELECT category, count(*) AS n FROM f GROUP BY category")
 _add("a2_first", lambda s, d: _world(s, d).select("a[building]").ways().df().orderBy("fid").limit(1).select("fid"), "SELECT min(fid) AS fid FROM f WHERE building = 'yes'")

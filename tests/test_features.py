@@ -44,6 +44,22 @@ def test_against_sql(spark, duck, name):
     assert _rows(queries.QUERIES[name](spark, SF).toPandas()) == _rows(duck.execute(queries.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["f6_filter_east", "j2_feature_nodes_all", "j11_flatten_all"])
+def test_whole_tables_against_sql(spark, duck, name):
+    assert _rows(queries.QUERIES[name](spark, SF).toPandas()) == _rows(duck.execute(queries.SQL[name]).df())
+
+
+def test_whole_tables_against_brute_force(spark):
+    features = derived.load(spark, SF).features.filter("ftype = 1").collect()
+    vertices = sorted((r.id, k, p.x, p.y) for r in features for k, p in enumerate(r.xy))
+    got = queries.QUERIES["j1_way_nodes_all"](spark, SF).collect()
+    assert sorted((r.way_id, r.seq, r.x, r.y) for r in got) == vertices and any(r.fid is None for r in got)
+    boxes = [(r.fid, r.min_x, r.min_y, r.max_x, r.max_y) for r in features if r.category == "a" and "building" in r.tags]
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
+    got = queries.QUERIES["j12_spatial_join_all"](spark, SF).collect()
+    assert sorted((r.left_fid, r.right_fid) for r in got) == want and len(want) > len(boxes)
+
+
 def test_categories_partition(data):
     w = data.world()
     assert sum(w.select(c).count() for c in "nwar") == w.count() == w.select("*").count()
