@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,19 +81,22 @@ def area_shapes(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
     return parts.groupBy("fid").applyInPandas(_assemble, "fid long, shape array<int>")
 
 
-def flatten_members(data: Dataset, relations: DataFrame | None = None, depth: int = 16) -> DataFrame:
-    """(root, fid): what relations hold, directly or through relations, each once. Cycles end by themselves: a relation that has
-    been seen isn't opened again."""
+def flatten_members(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
+    """(root, fid): what relations hold, directly or through relations at any depth, each once. Cycles end by themselves: a relation
+    that has been seen isn't opened again. From the second level on, what was found is kept in the checkpoint folder, if there is one."""
     rel = (data.features if relations is None else relations).filter("ftype = 2").select(F.col("fid").alias("root"))
     edges = data.members.select(ids.fid(F.lit(ids.RELATION), F.col("rel_id")).alias("above"), ids.fid(F.col("member_type"), F.col("member_id")).alias("fid"))
     front = rel.join(edges, F.col("root") == F.col("above")).select("root", "fid").distinct()
     out = front
-    for _ in range(depth):
+    for level in count(1):
         front = front.filter((ids.fid_type(F.col("fid")) == ids.RELATION) & (F.col("fid") != F.col("root"))).withColumnRenamed("fid", "above").join(edges, "above").select("root", "fid")
         front = front.join(out, ["root", "fid"], "left_anti").distinct()
         if front.isEmpty():
             break
         out = out.unionByName(front)
+        if level > 1:  # plans would double with each level
+            shared = front.sparkSession.sparkContext.getCheckpointDir() is not None
+            front, out = (x.checkpoint() if shared else x.localCheckpoint() for x in (front, out))
     return out
 
 

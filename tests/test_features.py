@@ -1,4 +1,5 @@
 import re
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import ids, tags, tiles
 from terrane.functions.box import Box
 from terrane.functions.shapes import Shape
-from terrane.operators import topology
+from terrane.operators import assembly, topology
 from terrane.plans import queries
 from terrane.sources import dataset, derived, export
 from terrane.streaming import filters
@@ -90,6 +91,15 @@ def test_members_and_parents_agree(data):
     assert m.exceptAll(p).isEmpty() and p.exceptAll(m).isEmpty() and dataset.audit(data).isEmpty()
 
 
+def test_flatten_at_any_depth(spark):
+    """24 relations in each other, the last of which holds a node and the first one again."""
+    nested = [(k, 2, k + 1) for k in range(1, 25)] + [(25, 0, 7), (25, 2, 1)]
+    data = SimpleNamespace(members=spark.createDataFrame(nested, "rel_id long, member_type int, member_id long"))
+    root = spark.createDataFrame([(ids.make_fid(2, 1), 2)], "fid long, ftype int")
+    held = sorted(r.fid for r in assembly.flatten_members(data, root).collect())
+    assert held == sorted([ids.make_fid(0, 7), *(ids.make_fid(2, k) for k in range(1, 26))])
+
+
 def test_lookup_and_terminals(data):
     w = data.world()
     assert w.get(0, 1)["category"] == "n" and w.get(2, 99999) is None and w.nodes().first()["fid"] == 4 and not w.contains(123456789)
