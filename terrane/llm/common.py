@@ -5,6 +5,7 @@ Nothing here brings documents, links or labels to the driver; the only values co
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -21,10 +22,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only without one (local tests) set a temporary one."""
+    """Use the shared folder that the cluster names. Only where a single process runs everything (local tests) is a temporary one set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="terrane-checkpoint-"))
 
 
@@ -34,6 +37,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits over all columns of a row: rows with equal keys are equal."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    # a null and an empty value must differ, so which are null is hashed, too
+    nulls = F.concat(F.lit("n"), *[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return F.struct(F.xxhash64(nulls, *cols).alias("a"), F.xxhash64(F.lit(1), nulls, *cols).alias("b"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is in the only column of ``keys``; of equal rows one."""
+    name = free_name(docs, "rk")
+    return docs.withColumn(name, row_key(docs)).join(keys.select(F.col(keys.columns[0]).alias(name)), name, "left_semi").dropDuplicates([name]).drop(name)
+
+
+def text_size(df: DataFrame, col: str) -> int:
+    """Bytes of all values of a text column: one number, from which the operators derive how many blocks they make."""
+    return df.agg(F.sum(F.octet_length(F.col(col)).cast("long"))).first()[0] or 0
+
+
 def block_of(n: int, *cols: str) -> Column:
     """A block number below ``n`` that follows from the values of ``cols`` alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int").alias("blk")
