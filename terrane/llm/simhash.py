@@ -7,7 +7,8 @@ the table is verified by the complete distance.
 
 Equal fingerprints are one node. Within a table entry with many fingerprints no pairs are made: the other segment is masked at
 every pair of bits (every bit, for looked-up ones), and those that then agree are linked to one of them; that finds
-the same components. Links go on to a distributed union-find.
+the same components. An entry with more than HOT rows is dealt out again, by three pieces of the other segment: what differs in at
+most 2 bits there agrees in one of the pieces. Links go on to a distributed union-find.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_components, pieces, ranges, text_bytes
+from .common import connected_components, cut, keep_rows, local_components, pieces, ranges, row_key, text_bytes
 from .words import Words, xxh64
 
 #: In table entries of up to so many rows, all pairs are compared.
 SMALL = 64
+#: Rows of a table entry beyond which it is dealt out again; what shares an entry and a piece are at most 2**22 fingerprints.
+HOT = 1024
+#: Bits of the other segment at which its pieces end.
+PIECES = (0, 11, 22, 32)
 #: Shingles that 16-bit counters can hold.
 _LANE = 60_000
 
@@ -91,12 +96,14 @@ def _stars(a, b):
     return ids[moved], ids[root[moved]]
 
 
-def _large_entry(segment: int, fp: np.ndarray, looks: np.ndarray, radius: int):
-    """Links within one table entry that join what all its verified pairs would join."""
+def _large_entry(segment: int, fp: np.ndarray, looks: np.ndarray):
+    """Links within one table entry that join what all its verified pairs would join. Look-ups alone join nothing."""
     other = (fp >> np.uint64(32 * (1 - segment))) & np.uint64(0xFFFFFFFF)
     a, b = [], []
 
     def agree(rows, mask):
+        if not len(rows):
+            return
         part = other[rows] & ~np.uint64(mask)
         order = np.lexsort((looks[rows], part))  # table rows first
         rows, part = rows[order], part[order]
@@ -107,6 +114,8 @@ def _large_entry(segment: int, fp: np.ndarray, looks: np.ndarray, radius: int):
         b.append(fp[head[near]])
 
     table = np.flatnonzero(~looks)
+    if not len(table):
+        return fp[:0], fp[:0]
     every = np.arange(len(fp))
     for i in range(32):
         agree(every, 1 << i)
@@ -115,8 +124,8 @@ def _large_entry(segment: int, fp: np.ndarray, looks: np.ndarray, radius: int):
     return _stars(np.concatenate(a), np.concatenate(b))
 
 
-def _entry_links(key: np.ndarray, fp: np.ndarray, looks: np.ndarray, radius: int):
-    """Links among rows that are sorted by key."""
+def _entry_links(key: np.ndarray, fp: np.ndarray, looks: np.ndarray):
+    """Links of at most 2 bits among rows that are sorted by key. Bit 32 of a key is the segment that is looked up."""
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
     size = np.diff(cuts)
     out_a, out_b = [], []
@@ -126,45 +135,92 @@ def _entry_links(key: np.ndarray, fp: np.ndarray, looks: np.ndarray, radius: int
     a, b = np.repeat(rows, after), ranges(rows + 1, after)
     ok = ~(looks[a] & looks[b])
     a, b = a[ok], b[ok]
-    near = (fp[a] != fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
+    near = (fp[a] != fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= 2)
     out_a.append(fp[a[near]])
     out_b.append(fp[b[near]])
     for g in np.flatnonzero(size > SMALL):
         x = slice(cuts[g], cuts[g + 1])
-        la, lb = _large_entry(int(key[cuts[g]] >> 32), fp[x], looks[x], radius)
+        la, lb = _large_entry(int(key[cuts[g]] >> 32) & 1, fp[x], looks[x])
         out_a.append(la)
         out_b.append(lb)
     return _stars(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def _links(batches):
-    """Sorted (key, fp, looks) rows to links. What is kept between batches is the last, unfinished table entry."""
-    rest = None
+def _links(most: int | None):
+    """Sorted (key, fp, looks) rows to links (a, b, key null, looks null). What is kept between batches is the last, unfinished table
+    entry; the rows of an entry of more than ``most`` come out as they are (a: fp, b null)."""
+
+    def links(cols):
+        a, b = _entry_links(*cols)
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["a", "b", "key", "looks"])
+
+    def left(key, fp, looks):
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(key), pa.array(looks)], names=["a", "b", "key", "looks"])
 
     def emit(cols):
-        a, b = _entry_links(*cols, 2)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        """Whole entries."""
+        key = cols[0]
+        if most is not None and len(key) > most:
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            size = np.diff(cuts)
+            hot = np.repeat(size > most, size)
+            if hot.any():
+                yield left(*(c[hot] for c in cols))
+                cols = [c[~hot] for c in cols]
+        if len(cols[0]):
+            yield links(cols)
 
-    for batch in batches:
-        cols = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
+    def run(batches):
+        rest, passing = None, None  # the unfinished entry; the key of one that is already known to be hot
+        for batch in batches:
+            cols = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
+            if passing is not None and len(cols[0]):
+                same = int(np.searchsorted(cols[0], passing, "right"))
+                if same:
+                    yield left(*(c[:same] for c in cols))
+                    cols = [c[same:] for c in cols]
+                if len(cols[0]):
+                    passing = None
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+                rest = None
+            if not len(cols[0]):
+                continue
+            at = int(np.searchsorted(cols[0], cols[0][-1]))
+            if at:
+                yield from emit([c[:at] for c in cols])
+            rest = [c[at:] for c in cols]
+            if most is not None and len(rest[0]) > most:
+                passing = int(rest[0][0])
+                yield left(*rest)
+                rest = None
         if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        if not len(cols[0]):
-            continue
-        at = int(np.searchsorted(cols[0], cols[0][-1]))
-        rest = [c[at:] for c in cols]
-        if at:
-            yield emit([c[:at] for c in cols])
-    if rest is not None:
-        yield emit(rest)
+            yield from emit(rest)
+
+    return run
+
+
+def _pieces(batches):
+    """Rows of hot entries (a: fp, key, looks), once for each piece of the other segment, which the key then names, too."""
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        key = batch.column(1).to_numpy(zero_copy_only=False)
+        other = np.where(key >> 32 == 0, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF))
+        for k, (low, high) in enumerate(zip(PIECES, PIECES[1:])):
+            value = ((other >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key | (value << 33) | (k << 45)), batch.column(0), batch.column(2)], names=["key", "fp", "looks"])
 
 
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """(fp, root) for the distinct values of ``fps.fp``: equal roots where a chain of links of at most 2 bits exists."""
     distinct = cut(fps.select("fp").distinct())
     probes = distinct.mapInArrow(_probes, "key long, fp long, looks boolean")
-    links = probes.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    comps = connected_components(links)
+    shape = "a long, b long, key long, looks boolean"
+    met = cut(probes.repartition("key").sortWithinPartitions("key").mapInArrow(_links(HOT), shape))
+    hot = met.filter("b is null").select("a", "key", "looks").mapInArrow(_pieces, "key long, fp long, looks boolean")
+    hot = hot.repartition("key").sortWithinPartitions("key").mapInArrow(_links(None), shape)
+    comps = connected_components(met.filter("b is not null").select("a", "b").unionByName(hot.select("a", "b")))
     return distinct.join(comps, distinct.fp == comps.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
@@ -184,14 +240,12 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null last; of equal ids, by a hash of the row; of equal
-    rows, any). Columns stay as they are."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), key.alias("rk")).alias("row"), F.col(text_col).alias("text"))
+    rows, any). Columns stay as they are, whatever their names. Null and blank texts are one component. An empty table gives no rows."""
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), row_key(docs).alias("rk")).alias("row"), F.col(text_col).alias("text"))
     fps = cut(fingerprints(rows, id_col="row"))
     roots = fingerprint_components(fps.select("fp"))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("least"))
-    stay = least.select(F.col("least.rk").alias("rk__"))
-    return docs.withColumn("rk__", key).join(stay, "rk__", "left_semi").dropDuplicates(["rk__"]).drop("rk__")
+    return keep_rows(docs, least.select("least.rk"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
