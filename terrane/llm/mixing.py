@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, shuffle_partitions
+from .common import WORD, cut, free_name, row_key, shuffle_partitions
 
 #: Bits of the shuffle key.
 KEY_BITS = 60
@@ -61,8 +61,8 @@ def targets(sources: DataFrame, weights: Sequence[int], max_passes: int) -> Data
     return src.withColumn("target", F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(float(left)) * F.col("w") / F.lit(float(open_w))))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), max_passes: int = 3, seed: int = 7) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
+def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), max_passes: int = 3, seed: int = 7) -> DataFrame:
+    """One row per row of ``docs``: doc_id, rk (the row's key), source, size, source_size, target, taken (words the mix takes, repeats counted).
 
     size: words of the text, a null text having none. Sources in order of code points, null last and a source of its own, weigh
     ``weights``, repeating. A null id is one more id. Repeated rows are separate rows. Rows without words, and all
@@ -75,38 +75,50 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         shuffle_key(id_col, seed).alias("u"),
+        row_key(docs).alias("rk"),
     )
     sizes = cut(sizes.withColumn("skey", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))).withColumn("range", F.floor(F.col("u") / (2.0**KEY_BITS / n)).cast("int")))
     src = cut(targets(rank_sources(sizes, n), weights, max_passes).select("skey", "source_size", "target"))
 
     w = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sizes.groupBy("skey", "range").agg(F.sum("size").alias("here")).withColumn("ahead", F.coalesce(F.sum("here").over(w), F.lit(0))).join(src, "skey").drop("here")
-    w = Window.partitionBy("skey", "range").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queue = cut(sizes.withColumn("inside", F.sum("size").over(w)).join(ahead, ["skey", "range"]).select("doc_id", "source", "skey", "u", "size", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("cum")))
+    w = Window.partitionBy("skey", "range").orderBy("u", "doc_id", "size", "rk").rowsBetween(Window.unboundedPreceding, 0)
+    queue = cut(sizes.withColumn("inside", F.sum("size").over(w)).join(ahead, ["skey", "range"]).select("doc_id", "rk", "source", "skey", "u", "size", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("cum")))
 
     total = queue.agg(F.sum("size")).first()[0] or 0
     finish = [(F.col("cum") + F.lit(r) * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target")) for r in range(max_passes)]
-    copies = queue.filter("size > 0 and target > 0").select("skey", "u", "doc_id", "size", F.explode(F.array(*[F.struct(f.alias("f"), F.lit(r).alias("pass")) for r, f in enumerate(finish)])).alias("c")).select("c.f", "skey", "c.pass", "u", "doc_id", "size")
+    copies = queue.filter("size > 0 and target > 0").select("skey", "u", "doc_id", "size", "rk", F.explode(F.array(*[F.struct(f.alias("f"), F.lit(r).alias("pass")) for r, f in enumerate(finish)])).alias("c")).select("c.f", "skey", "c.pass", "u", "doc_id", "size", "rk")
     last = _last_taken(copies, total, n)
     if last is None:
         times = F.lit(0)
     else:
-        (f, skey, at, u, doc, size), itself = (F.lit(x) for x in last[0]), last[1]
+        (f, skey, at, u, doc, size), (a, b), itself = (F.lit(x) for x in last[0][:-1]), last[0][-1], last[1]
         times = F.lit(0)
         for r, x in enumerate(finish):
-            own = F.struct(F.col("skey"), F.lit(r).alias("pass"), F.col("u"), F.col("doc_id"), F.col("size"))
-            end = F.struct(skey.alias("skey"), at.cast("int").alias("pass"), u.cast("long").alias("u"), doc.cast(queue.schema["doc_id"].dataType).alias("doc_id"), size.cast("long").alias("size"))
+            own = F.struct(F.col("skey"), F.lit(r).alias("pass"), F.col("u"), F.col("doc_id"), F.col("size"), F.col("rk"))
+            end = F.struct(skey.alias("skey"), at.cast("int").alias("pass"), u.cast("long").alias("u"), doc.cast(queue.schema["doc_id"].dataType).alias("doc_id"), size.cast("long").alias("size"), F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")).alias("rk"))
             tie = own <= end if itself else own < end
             times = times + F.when((x < f) | ((x == f) & tie), 1).otherwise(0)
-    return queue.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)).cast("long").alias("taken"))
+    return queue.select("doc_id", "rk", "source", "size", "source_size", "target", (F.col("size") * F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)).cast("long").alias("taken"))
 
 
-def take_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kwargs) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as often as the mix takes it (up to max_passes times)."""
-    keyed = docs.withColumn("rk__", F.xxhash64(F.col(id_col), F.col(text_col)))
-    mix = mix_sources(keyed, id_col="rk__", source_col=source_col, text_col=text_col, **kwargs)
-    times = mix.filter("taken > 0").groupBy(F.col("doc_id").alias("rk__")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times__"))
-    return keyed.join(times, "rk__").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).drop("rk__", "times__", "copy__")
+def mix_sources(docs: DataFrame, **kwargs) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted). Parameters as
+    for ``mix_rows``."""
+    return mix_rows(docs, **kwargs).drop("rk")
+
+
+def take_mix(docs: DataFrame, **kwargs) -> DataFrame:
+    """The mix that ``mix_sources`` chooses: the rows of ``docs``, all columns whatever their names, each as often as the mix takes it (up to
+    max_passes times). Of rows that are equal in all columns, together as many copies are taken as the mix takes of them. Rows
+    without words are not taken; an empty table gives no rows."""
+    times, many, name = free_name(docs, "times"), free_name(docs, "many"), free_name(docs, "rk")
+    mix = mix_rows(docs, **kwargs).filter("size > 0")
+    mix = cut(mix.groupBy(F.col("rk").alias(name)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(times), F.count("*").alias(many)).filter(F.col(times) > 0))
+    found = docs.withColumn(name, row_key(docs)).join(mix, name)
+    if not mix.filter(F.col(many) > 1).isEmpty():  # equal rows: all copies come from one of them
+        found = found.filter(F.col(many) == 1).unionByName(found.filter(F.col(many) > 1).dropDuplicates([name]))
+    return found.withColumn(many, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(name, times, many)
 
 
 def _last_taken(copies: DataFrame, total: int, n: int, few: int = 4_000):
@@ -129,7 +141,7 @@ def _last_taken(copies: DataFrame, total: int, n: int, few: int = 4_000):
         live = live.filter(at == F.lit(hit["at"]))
         spent, rows = spent + hit["before"], hit["rows"]
         low, high = low + hit["at"] * step, low + (hit["at"] + 1) * step
-    order = ["f", "skey", "pass", "u", "doc_id", "size"]
+    order = ["f", "skey", "pass", "u", "doc_id", "size", "rk"]
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     took = live.withColumn("sum", F.sum("size").over(w)).filter(F.col("sum") + F.lit(spent) <= F.lit(total))
     row = took.orderBy(*[F.desc(x) for x in order]).first()
