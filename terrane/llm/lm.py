@@ -1,18 +1,27 @@
 """LM scoring by online logistic context mixing.
 
-The text is a stream of bits: its lower-cased words, each followed by a space, then an end byte. For every order k, it is
-counted how often a 0 and a 1 came next after the last k bytes and the bits of the current byte so far. These bit predictors
-are mixed in the logistic domain by gated weights (the gate: how much a predictor and the next longer one have seen),
-learnt online by gradient steps, and the mixed probability is refined adaptively from what came true at similar
-predictions. The bits' costs add up to the cost of the text.
+The text is a stream of bits: its lower-cased words, each followed by a space, then an end byte. Bit predictors over several contexts are
+mixed in the logistic domain by gated weights, in two layers.
 
-Counts come from all training documents and are exact: no two contexts share one. They are gathered as counts of byte strings
+The first layer has, for every order k up to the highest, how often a 0 and a 1 came in the training documents after the last k bytes and the
+bits of the current byte so far. Its weights (the gate: how much a predictor and the next longer one have seen) are learnt
+online by gradient steps, and the mixed probability is refined adaptively from what came true at similar predictions. Both are the
+same for all texts.
+
+The second layer learns along each text, from its start: it mixes the first layer's prediction, what came last in this very text after the same
+bytes (hashed, with how often in a row that came), and what came in the training documents after the same REACH bytes (hashed; one
+such context in EVERY, chosen by its content, predicts the SPAN bytes after it). The gate: how sure the last two are. Weights change after every CHUNK bytes
+by the errors in them, so that no bit is predicted from itself or from what follows. The bits' costs add up to the cost of the text.
+
+Counts come from all training documents; those of the orders are exact, no two contexts share one. They are gathered as counts of byte strings
 of one more than the highest order, from which everything follows. Strings with the same last SHARED bytes before the current
 one share a bucket, which therefore has all counts of the orders from SHARED up; these grow with the corpus and stay where they
 are. Lower orders have 256 entries for each possible context, which are broadcast. Each weight step sees a string as often as it
-occurred and leaves its own occurrence out of the counts. The learnt model is then fixed, so that the cost of a byte depends on
-the bytes before it only: the distinct strings of a block of documents go to their buckets, are computed there once for all
-blocks, and the costs return, by the same exchanges as the word counts.
+occurred and leaves its own occurrence out of the counts; a bucket takes its strings in the order of a hash, and the weights of the buckets
+are averaged. What the first layer says of a byte depends on the bytes before it only: the distinct strings of a block of documents go to
+their buckets, are computed there once for all blocks, and return, by the same exchanges as the word counts and the long contexts.
+
+How many blocks and buckets there are follows from the size of the texts alone, and so do scores: neither partitions nor their number matter.
 
 The base score is an exact unigram model over words; the word counts meet by word, and totals return to the blocks.
 """
@@ -28,12 +37,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, block_of, cut, pieces, shuffle_partitions, text_bytes
+from .common import binary_rows, block_of, cut, pieces, text_bytes, text_size
 from .quality import held_out
 from .words import Words
 
 #: Orders below this have complete tables (2**24 entries for order 2); strings are placed by so many bytes of their context.
 SHARED = 3
+#: Bytes of text for each block of documents and each bucket of contexts.
+BLOCK, BUCKET = 5_000_000, 16_000_000
+#: Long contexts: their bytes, one in how many is kept, and for how many bytes it predicts.
+REACH, EVERY, SPAN = 16, 64, 16
+#: Bytes after which the second layer's weights change, its step, and the unit of its quantised predictions.
+CHUNK, STEP, UNIT = 64, np.float32(0.0015), np.float32(12 / 127)
+#: The second layer's weights at the start, by how sure a long context (rows: none, seen once, more often) and the text itself are.
+START = np.array([[[1, 0, 0], [1, 0.1, 0], [0.9, 0.25, 0]], [[0.5, 0, 0.8], [0.5, 0.1, 0.8], [0.45, 0.2, 0.8]], [[0.4, 0, 0.9], [0.4, 0.1, 0.9], [0.35, 0.2, 0.9]]], np.float32)
 #: Distinct byte strings that a task holds before it passes them on.
 HELD = 3_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -275,32 +292,36 @@ class Model:
         r = self.refine[node, low] * (1 - f) + self.refine[node, low + 1] * f
         return np.clip((p + r) / 2, 1e-6, 1 - 1e-6)
 
-    def log10(self, strings: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each string's last byte after those before it."""
-        out = np.zeros(len(strings))
+    def predictions(self, strings: np.ndarray) -> np.ndarray:
+        """For each string, the probability of each of the last byte's bits as it is, after the bytes and bits before it: stretched, in UNITs."""
+        out = np.empty((len(strings), 8), np.int8)
         for i in range(0, len(strings), 65_536):
             part = strings[i : i + 65_536]
-            for node, bit, x, cell in self.bits(part):
+            for k, (node, bit, x, cell) in enumerate(self.bits(part)):
                 p = self.refined(node, self.mixed(x, cell))
-                out[i : i + 65_536] += np.log10(np.where(bit == 1, p, 1 - p))
+                out[i : i + len(part), k] = np.rint(np.log(p / (1 - p)) / UNIT).clip(-127, 127) * (2 * bit - 1)
         return out
 
+    def log10(self, strings: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each string's last byte after those before it, by this layer alone."""
+        return -np.log1p(np.exp(-self.predictions(strings) * np.float64(UNIT))).sum(1) / np.log(10)
+
 
 def _grid() -> np.ndarray:
     return np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, 33))), (256, 1))
 
 
 def _learn_weights(model_of, rate: float):
-    """Online steps over the strings of a partition; each partition's weights, to be averaged."""
+    """Online steps over the strings of each bucket; its weights, to be averaged."""
 
     def run(batches):
         model = model_of()
-        steps, weights, seen = 0.0, model.weights.astype(np.float64).ravel().copy(), np.full(model.weights.size, 1e-3)
         for batch in batches:
             for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                steps, weights, seen = 0.0, model.weights.astype(np.float64).ravel().copy(), np.full(model.weights.size, 1e-3)
                 strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
                 model.over(strings, counts)
-                mix = np.random.default_rng(len(strings)).permutation(len(strings))
+                mix = np.argsort((strings * _A) ^ (strings * _B) >> np.uint64(29), kind="stable")
                 for i in range(0, len(mix), 8192):
                     rows = mix[i : i + 8192]
                     w = counts[rows] / counts[rows].mean()
@@ -310,8 +331,7 @@ def _learn_weights(model_of, rate: float):
                         seen += g * g
                         weights += rate * g / np.sqrt(seen)
                     steps += counts[rows].sum()
-        if steps:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights), dtype=np.int32)), pa.array(weights * steps), pa.array(np.full(len(weights), steps))], names=["i", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights), dtype=np.int32)), pa.array(weights * steps), pa.array(np.full(len(weights), steps))], names=["i", "a", "b"])
 
     return run
 
@@ -351,12 +371,12 @@ class Trained:
         return self.model().over(*merge_counts(got)) if got else self.model()
 
 
-def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02) -> Trained:
-    """Learn from all rows of ``docs.text``. To the driver come the tables of the orders below SHARED (at most 34 MB, whatever the
+def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02, buckets: int = 1) -> Trained:
+    """Learn the first layer from all rows of ``docs.text``. To the driver come the tables of the orders below SHARED (at most 34 MB, whatever the
     input), the weights and the refinement (some thousand numbers), summed up before."""
-    spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
     block = 1 << 14
-    strings = count_strings(docs, order, n)
+    strings = count_strings(docs, order, buckets)
     strings = cut(strings.groupBy("bucket").applyInArrow(_merged, "bucket int, strings binary, counts binary"))
     dense = strings.mapInArrow(_slot_counts(order, block), "part int, ids binary, n0 binary, n1 binary")
     dense = dense.repartition("part").sortWithinPartitions("part").mapInArrow(_dense(block), "part int, levels binary")
@@ -371,7 +391,7 @@ def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02) -> Trained:
     learnt = lambda run: strings.mapInArrow(run, "i int, a double, b double").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
     got = learnt(_learn_weights(lambda: Model(sent.value, start, _grid()), rate))
     weights = start.copy().ravel()
-    weights[got["i"]] = got["a"] / got["b"]
+    weights[got["i"]] = (got["a"] / got["b"]).round(6)  # sums of the buckets come in any order
     weights = weights.reshape(start.shape)
     got = learnt(_learn_refinement(lambda: Model(sent.value, weights, _grid())))
     refine, strength = _grid().ravel(), 20.0
@@ -381,6 +401,190 @@ def train(docs: DataFrame, *, order: int = 5, rate: float = 0.02) -> Trained:
     return Trained(strings, lambda: Model(sent.value, weights, refine))
 
 
+# ------------------------------------------------------------------------------------------------------- the second layer
+
+#: Counts of long contexts: their levels, and what a level of ones over a level of zeros says, in UNITs.
+_FEW = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 32, 64, 128, 512, 4096])
+_LONG = np.rint(np.log((_FEW[:, None] + 0.05) / (_FEW[None, :] + 0.05)) / UNIT).clip(-127, 127).astype(np.int8)
+#: What came last in a text, so often in a row: what that says, in UNITs.
+_LAST = np.rint(np.log((np.arange(9) + 0.4) / 0.4) / UNIT).clip(0, 127).astype(np.int8)
+_SHIFTS = np.arange(7, -1, -1, dtype=np.uint8)
+#: By how often in a row, and by the bits in which a byte differs from the guess: what the guess says of each bit as it is (8 numbers of 8
+#: bits); bits after the first one that differs are not guessed.
+_DIFFER = np.arange(256, dtype=np.uint8)[:, None] >> _SHIFTS
+_GUESS = (_LAST[:, None, None] * ((_DIFFER == 0).astype(np.int8) - (_DIFFER == 1).astype(np.int8))).view(np.int64)[:, :, 0]
+
+
+def few(counts: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(_FEW, counts, "right") - 1).astype(np.uint8)
+
+
+def long_contexts(stream: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, context) of every byte of the streams that has REACH bytes of its text before it, where the hash of these chooses it."""
+    places, contexts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i in range(0, len(stream) - REACH, 65_536):
+        h, r, span = stream[i : i + 65_536 + REACH - 1].astype(np.uint64) + np.uint64(1), int(_A), 1
+        while span < REACH:
+            h = h[:-span] * np.uint64(r) + h[span:]
+            r, span = r * r & 0xFFFFFFFFFFFFFFFF, span * 2
+        h = (h ^ (h >> np.uint64(31))) * _B
+        h ^= h >> np.uint64(29)
+        at = np.flatnonzero(h & np.uint64(EVERY - 1) == 0)
+        places.append(at + i)
+        contexts.append(h[at] >> np.uint64(16))
+    at, h = np.concatenate(places), np.concatenate(contexts)
+    inside = at + REACH < off[np.searchsorted(off, at, "right")]  # of the text in which the context starts
+    return at[inside] + REACH, h[inside]
+
+
+def following(stream: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SPAN bytes from each place on as two numbers; zeros after the end of its text."""
+    end = off[np.searchsorted(off, at, "right")]
+    both = []
+    for half in range(2):
+        x = np.zeros(len(at), np.uint64)
+        for k in range(8 * half, 8 * half + 8):
+            x = x << np.uint64(8) | np.where(at + k < end, stream[np.minimum(at + k, len(stream) - 1)], 0).astype(np.uint64)
+        both.append(x)
+    return both[0], both[1]
+
+
+def _leading(x: np.ndarray) -> np.ndarray:
+    """How many of the 64 bits are zero before the first one."""
+    n = np.zeros(len(x), np.int64)
+    x = x.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        empty = x < (np.uint64(1) << np.uint64(64 - step))
+        n[empty] += step
+        x[empty] <<= np.uint64(step)
+    return n + (x == 0)
+
+
+def long_counts(ctx: np.ndarray, high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries of (context, SPAN bytes after it, how often in training documents), sorted and distinct: of those whose context has one entry only, the
+    level of its count, else 255; and for the latter, in order, the levels of zeros and ones (4 bits each) of every bit after the context and
+    the bits before it."""
+    new = np.concatenate([[True], ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    several = np.bincount(group, minlength=1)[group] > 1
+    head = np.where(several, 255, few(counts)).astype(np.uint8)
+    c, h, lo, n = ctx[several], high[several], low[several], counts[several]
+    body = np.zeros((len(c), 8 * SPAN), np.uint8)
+    if len(c):
+        upper = _leading(h[1:] ^ h[:-1])
+        agree = np.concatenate([[-1], np.where(c[1:] != c[:-1], -1, np.where(upper < 64, upper, 64 + _leading(lo[1:] ^ lo[:-1])))])
+        for d in range(8 * SPAN):
+            starts = np.flatnonzero(agree < d)
+            bit = ((h if d < 64 else lo) >> np.uint64(63 - d % 64)) & np.uint64(1)
+            ones = np.add.reduceat(n * bit.astype(np.int64), starts)
+            every = np.add.reduceat(n, starts)
+            body[:, d] = np.repeat(few(every - ones) << 4 | few(ones), np.diff(np.append(starts, len(c))))
+    return head, body
+
+
+def spread_long(stream: np.ndarray, off: np.ndarray, at: np.ndarray, head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What long contexts say of each bit of the streams as it is, in UNITs, and how sure they are of each byte (0 to 2). ``head``, ``body``: of
+    the places ``at``, as from ``long_counts``. The last context before a byte counts."""
+    out, sure = np.zeros((len(stream), 8), np.int8), np.zeros(len(stream), np.uint8)
+    if not len(at):
+        return out, sure
+    end = np.minimum(np.minimum(at + SPAN, np.append(at[1:], len(stream))), off[np.searchsorted(off, at, "right")])
+    row = np.cumsum(head == 255) - 1  # of the body
+    for k in range(SPAN):
+        some = np.flatnonzero(at + k < end)
+        place, one = at[some] + k, head[some] != 255
+        out[place[one]] = _LONG[head[some][one], 0][:, None]
+        sure[place[one]] = np.minimum(head[some][one], 2)
+        place, some = place[~one], some[~one]
+        pair = body[row[some], 8 * k : 8 * k + 8]
+        zeros, ones = pair >> 4, pair & 15
+        bits = (stream[place][:, None] >> _SHIFTS & 1).astype(bool)
+        out[place] = np.where(bits, _LONG[ones, zeros], _LONG[zeros, ones])
+        sure[place] = np.minimum(_FEW[zeros[:, 0]] + _FEW[ones[:, 0]], 2)
+    return out, sure
+
+
+def last_seen(strings: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the same bytes before it were followed by last in the same text says of each bit as it is, in UNITs, and how sure that is of each byte (0 to 2).
+    ``strings``: of all texts' bytes, each after those before it."""
+    out, sure = np.zeros((len(strings), 8), np.int8), np.zeros(len(strings), np.uint8)
+    for i, j in pieces(off, 200_000):
+        part = slice(off[i], off[j])
+        out[part], sure[part] = _last_seen(strings[part], off[i : j + 1] - off[i])
+    return out, sure
+
+
+def _last_seen(strings: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(strings)
+    own = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
+    key = ((strings >> np.uint64(8)) + np.uint64(1)) * _A ^ (own + np.uint64(1)) * _B
+    key = (key ^ (key >> np.uint64(32))) * _A
+    mask = np.uint64((1 << n.bit_length()) - 1)
+    key = np.sort(key & ~mask | np.arange(n, dtype=np.uint64))  # by text and context, then by place
+    order = (key & mask).astype(np.int64)
+    byte = (strings & np.uint64(255)).astype(np.uint8)
+    sorted_, before, text = byte[order], strings[order] >> np.uint64(8), own[order]
+    same = np.zeros(n, bool)
+    same[1:] = (before[1:] == before[:-1]) & (text[1:] == text[:-1])
+    run = np.ones(n, bool)
+    run[1:] = ~same[1:] | (sorted_[1:] != sorted_[:-1])
+    run = np.flatnonzero(run)
+    inner = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))  # how often in a row it came before
+    often, guess = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    later = np.flatnonzero(same)
+    often[order[later]] = np.minimum(inner[later - 1] + 1, 8)
+    guess[order[later]] = sorted_[later - 1]
+    return _GUESS[often, guess ^ byte].view(np.int8).reshape(n, 8), np.where(often > 2, 2, np.minimum(often, 1)).astype(np.uint8)
+
+
+def learn_along(inputs: list[np.ndarray], gate: np.ndarray, off: np.ndarray, step: np.float32 = STEP, lanes: int = 64) -> np.ndarray:
+    """The natural logarithm of each text's probability. ``inputs``: what each predictor says of each bit of all streams as it is, in UNITs; ``gate``: of each byte.
+    Texts of about one length go through their chunks side by side, so many at a time; each has weights of its own."""
+    by = np.argsort(-np.diff(off), kind="stable")
+    words = [np.ascontiguousarray(x).view(np.int64).ravel() for x in inputs]
+    out = np.zeros(len(by))
+    for k in range(0, len(by), lanes):
+        some = by[k : k + lanes]
+        out[some] = _along(words, gate, off[some], off[some + 1] - off[some], step * UNIT * UNIT)
+    return out
+
+
+def _along(words: list[np.ndarray], gate: np.ndarray, start: np.ndarray, size: np.ndarray, step: np.float32) -> np.ndarray:
+    """Texts of descending size. Weights are kept in UNITs; the bits of a byte are apart (first axis), so that all else is one long row."""
+    gates = START.reshape(-1, len(words)).shape[0]
+    weights = np.tile(START.reshape(-1, len(words)) * UNIT, (len(start), 1))
+    total, inner, part = np.zeros(len(start)), np.arange(CHUNK), np.empty((8, CHUNK * len(start)), np.float32)
+    for k in range(-(-int(size[0]) // CHUNK)):
+        live = int(np.searchsorted(-size, -k * CHUNK, "left"))
+        here = (inner < (size[:live] - k * CHUNK)[:, None]).ravel()
+        at = (start[:live, None] + (k * CHUNK + inner)).ravel()
+        if not here.all():
+            at[~here] = 0
+        cell = np.repeat(np.arange(live) * gates, CHUNK) + gate[at]
+        x = [w[at].view(np.int8).reshape(-1, 8).T.astype(np.float32) for w in words]
+        own = weights.take(cell, 0).T
+        dot = x[0] * own[0]
+        for v, w in zip(x[1:], own[1:]):
+            dot += np.multiply(v, w, out=part[:, : len(at)])
+        np.clip(dot, -12, 12, out=dot)
+        np.exp(np.negative(dot, out=dot), out=dot)
+        dot += 1
+        p = np.reciprocal(dot, out=dot)
+        cost = np.log(p[0] * p[1] * p[2] * p[3]) + np.log(p[4] * p[5] * p[6] * p[7])
+        error = np.subtract(1, p, out=p)
+        if not here.all():
+            cost *= here
+            error *= here
+        total[:live] += cost.reshape(live, CHUNK).sum(1, dtype=np.float64)
+        for j, v in enumerate(x):
+            v *= error
+            v = v[:4] + v[4:]
+            v = v[:2] + v[2:]
+            weights[: live * gates, j] += step * np.bincount(cell, v[0] + v[1], live * gates).astype(np.float32)
+        np.clip(weights, -UNIT, 3 * UNIT, out=weights)
+    return total
+
+
 # -------------------------------------------------------------------------------------------------------------- scoring
 
 
@@ -412,40 +616,93 @@ def _spread(names: pa.Array, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _byte_strings(texts, order: int):
-    """The distinct byte strings of texts in order, and for some texts at a time the places of their bytes' strings among them, with the
-    texts' bounds."""
-    raw, off = text_bytes(texts)
-    parts = []
-    for i, j in pieces(off, 1_000_000):
-        strings, cuts = byte_strings(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), order)
-        coded = pa.array(strings).dictionary_encode()
-        parts.append((coded.dictionary.to_numpy(), coded.indices.to_numpy(), cuts))
-    every, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
-    first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
-    return every, ((back[k : k + len(p[0])], p[1], p[2]) for k, p in zip(first, parts))
+class Streams:
+    """The byte strings of a block of texts: the distinct ones in order, the place of each byte's among them, the bytes, and the bounds of texts."""
+
+    def __init__(self, texts, order: int):
+        raw, off = text_bytes(texts)
+        parts, bounds = [], [np.zeros(1, np.int64)]
+        for i, j in pieces(off, 1_000_000):
+            strings, cuts = byte_strings(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), order)
+            coded = pa.array(strings).dictionary_encode()
+            parts.append((coded.dictionary.to_numpy(), coded.indices.to_numpy()))
+            bounds.append(bounds[-1][-1] + cuts[1:])
+        self.off = np.concatenate(bounds)
+        self.distinct, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
+        self.place = np.concatenate([np.zeros(0, np.int32), *(back[k : k + len(p[0])].astype(np.int32)[p[1]] for k, p in zip(first, parts))])
+        self.bytes = (self.distinct & np.uint64(255)).astype(np.uint8)[self.place]
+
+    def long(self):
+        """Places of long contexts, which entry each is, and the distinct entries: contexts and the two halves of what follows, in order."""
+        at, ctx = long_contexts(self.bytes, self.off)
+        high, low = following(self.bytes, self.off, at)
+        by = np.lexsort((low, high, ctx))
+        new = np.concatenate([[True], (ctx[by][1:] != ctx[by][:-1]) | (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])])[: len(by)]
+        entry = np.empty(len(by), np.int64)
+        entry[by] = np.cumsum(new) - 1
+        return at, entry, ctx[by][new], high[by][new], low[by][new]
 
 
 def _block_words(order: int, buckets: int):
-    """A block's distinct words with their counts in training texts, and its distinct byte strings, as one row for each bucket."""
+    """A block's distinct words with their counts in training texts, its distinct byte strings, and its long contexts with what follows them and how
+    often in training texts, as one row for each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         names, at, many = _distinct(table)
-        train = np.repeat(table["train"].to_numpy(), many)
-        counts = np.bincount(at[train], minlength=len(names))
-        every, _ = _byte_strings(table["text"], order)
-        bucket, place = _spread(names, buckets), buckets_of(every, buckets)
-        by, to = np.argsort(bucket, kind="stable"), np.argsort(place, kind="stable")
-        ids = np.union1d(bucket, place)
-        bounds, cuts = np.append(np.searchsorted(bucket[by], ids), len(by)), np.append(np.searchsorted(place[to], ids), len(to))
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), names.take(pa.array(by)).cast(pa.string()))
-        return pa.table({"bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "words": pc.binary_join(lists, " "), "counts": binary_rows(counts[by].astype(np.int64), bounds), "strings": binary_rows(every[to], cuts)})
+        train = table["train"].to_numpy()
+        counts = np.bincount(at[np.repeat(train, many)], minlength=len(names))
+        streams = Streams(table["text"], order)
+        place, entry, ctx, high, low = streams.long()
+        seen = np.bincount(entry[train[np.searchsorted(streams.off, place, "right") - 1]], minlength=len(ctx))
+        keys = [_spread(names, buckets), buckets_of(streams.distinct, buckets), (ctx % np.uint64(buckets)).astype(np.int64)]
+        ids = np.unique(np.concatenate(keys))
+        by = [np.argsort(k, kind="stable") for k in keys]
+        cuts = [np.append(np.searchsorted(k[b], ids), len(b)) for k, b in zip(keys, by)]
+        lists = pa.ListArray.from_arrays(pa.array(cuts[0].astype(np.int32)), names.take(pa.array(by[0])).cast(pa.string()))
+        after = np.column_stack([high, low])[by[2]]
+        return pa.table({
+            "bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "words": pc.binary_join(lists, " "), "counts": binary_rows(counts[by[0]].astype(np.int64), cuts[0]),
+            "strings": binary_rows(streams.distinct[by[1]], cuts[1]), "ctx": binary_rows(_six(ctx[by[2]]), cuts[2] * 6), "after": binary_rows(after.ravel(), cuts[2] * 2), "seen": binary_rows(seen[by[2]].astype(np.int32), cuts[2]),
+        })
 
     return run
 
 
+def _six(x: np.ndarray) -> np.ndarray:
+    """The lower six bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _long_replies(ctx: list[bytes], after: list[bytes], seen: list[bytes]) -> list[bytes]:
+    """For the long contexts of each block, ``long_counts`` over all blocks, in the block's own order: heads, then bodies."""
+    size = [len(x) // 6 for x in ctx]
+    c, n = _wide(b"".join(ctx)), np.frombuffer(b"".join(seen), np.int32).astype(np.int64)
+    high, low = np.frombuffer(b"".join(after), np.uint64).reshape(-1, 2).T
+    by = np.lexsort((low, high, c))
+    new = np.flatnonzero(np.concatenate([[True], (c[by][1:] != c[by][:-1]) | (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])])[: len(by)])
+    entry = np.empty(len(by), np.int64)
+    entry[by] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(by))))
+    one = by[new]
+    total = np.bincount(entry, n, len(one)).astype(np.int64)
+    heads, body = long_counts(c[one], high[one], low[one], total)
+    row = np.cumsum(heads == 255) - 1
+    out, bounds = [], np.concatenate([[0], np.cumsum(size)])
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        mine = entry[i:j]
+        out.append(heads[mine].tobytes() + body[row[mine][heads[mine] == 255]].tobytes())
+    return out
+
+
 def _totals(model):
-    """For the words of a bucket, their totals over all blocks, and for its strings their costs, back in each block's own order."""
+    """For the words of a bucket, their totals over all blocks, for its strings what the first layer predicts, and for its long contexts what followed them,
+    back in each block's own order."""
 
     def run(table: pa.Table, learnt: pa.Table) -> pa.Table:
         parts = [w.split(" ") if w else [] for w in table["words"].to_pylist()]
@@ -468,36 +725,51 @@ def _totals(model):
         m = model()
         for s, c in zip(learnt["strings"].to_pylist(), learnt["counts"].to_pylist()):
             m.over(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64))
-        cost = m.log10(every)
-        costs = pa.array([cost[np.searchsorted(every, blob)].tobytes() for blob in blobs], pa.binary())
-        return pa.table({"blk": table["blk"], "bucket": table["bucket"], "totals": binary_rows(total[at], bounds), "costs": costs, "known": known, "tokens": tokens})
+        said = m.predictions(every)
+        back = pa.array([said[np.searchsorted(every, blob)].tobytes() for blob in blobs], pa.binary())
+        long = pa.array(_long_replies(*(table[x].to_pylist() for x in ("ctx", "after", "seen"))), pa.binary())
+        return pa.table({"blk": table["blk"], "bucket": table["bucket"], "totals": binary_rows(total[at], bounds), "said": back, "long": long, "known": known, "tokens": tokens})
 
     return run
 
 
 def _score_block(order: int, buckets: int, kind: pa.DataType):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        came = {b: (np.frombuffer(t, np.int64), np.frombuffer(c)) for b, t, c in zip(*(totals[x].to_pylist() for x in ("bucket", "totals", "costs")))}
+        came = {b: x for b, *x in zip(*(totals[x].to_pylist() for x in ("bucket", "totals", "said", "long")))}
 
-        def back(bucket, which):
+        def back(bucket, which, kind, width):
             by, ids, bounds = by_bucket(bucket)
-            out = np.zeros(len(bucket), np.float64 if which else np.int64)
+            out = np.zeros((len(bucket), width), kind)
             for b, i, j in zip(ids.tolist(), bounds[:-1], bounds[1:]):
-                out[by[i:j]] = came[b][which]
+                out[by[i:j]] = np.frombuffer(came[b][which], kind).reshape(-1, width)
             return out
 
         names, at, many = _distinct(docs)
-        c = back(_spread(names, buckets), 0)
+        c = back(_spread(names, buckets), 0, np.int64, 1)[:, 0]
         own = np.repeat(np.arange(len(many)), many)
         base = np.bincount(own, np.log10(c + 0.1)[at], len(many))
         known = np.bincount(own, (c > 0)[at].astype(np.float64), len(many))
 
-        every, parts = _byte_strings(docs["text"], order)
-        cost = back(buckets_of(every, buckets), 1)
-        score = np.concatenate([np.zeros(0), *(np.add.reduceat(cost[strings][idx], cuts[:-1]) for strings, idx, cuts in parts)])
+        streams = Streams(docs["text"], order)
+        said = back(buckets_of(streams.distinct, buckets), 1, np.int8, 8)
+        place, entry, ctx, *_ = streams.long()
+        head, row, bodies = np.zeros(len(ctx), np.uint8), np.zeros(len(ctx), np.int64), [np.zeros((0, 8 * SPAN), np.uint8)]
+        by, ids, bounds = by_bucket((ctx % np.uint64(buckets)).astype(np.int64))
+        held = 0
+        for b, i, j in zip(ids.tolist(), bounds[:-1], bounds[1:]):
+            blob = np.frombuffer(came[b][2], np.uint8)
+            head[by[i:j]] = blob[: j - i]
+            bodies.append(blob[j - i :].reshape(-1, 8 * SPAN))
+            row[by[i:j][blob[: j - i] == 255]] = held + np.arange(len(bodies[-1]))
+            held += len(bodies[-1])
+        body = np.concatenate(bodies)
+        heads = head[entry]
+        long, sure = spread_long(streams.bytes, streams.off, place, heads, body[row[entry][heads == 255]])
+        last, often = last_seen(streams.distinct[streams.place], streams.off)
+        score = learn_along([said[streams.place], last, long], (3 * sure + often).astype(np.int64), streams.off) / np.log(10)
         n = len(many)
-        out = {"doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy()), "words": pa.array(many), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(score)}
-        stats = {"doc_id": pa.nulls(1, kind), "held_out": pa.nulls(1, pa.bool_()), "words": pa.array([pc.sum(totals["tokens"]).as_py() or 0]), "known": pa.array([pc.sum(totals["known"]).as_py() or 0]), "base": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64())}
+        out = {"doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy()), "words": pa.array(many), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(score), "bytes": pa.array(np.diff(streams.off))}
+        stats = {"doc_id": pa.nulls(1, kind), "held_out": pa.nulls(1, pa.bool_()), "words": pa.array([pc.sum(totals["tokens"]).as_py() or 0]), "known": pa.array([pc.sum(totals["known"]).as_py() or 0]), "base": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64()), "bytes": pa.nulls(1, pa.int64())}
         rows, one = pa.table(out), pa.table(stats)
         return pa.concat_tables([rows, one.cast(rows.schema)]) if n else one
 
@@ -505,22 +777,23 @@ def _score_block(order: int, buckets: int, kind: pa.DataType):
 
 
 def score_documents(docs: DataFrame, *, order: int = 5, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row of ``docs``.
 
     A null text counts as an empty one, with an end only; null ids are held out; repeated rows are scored, and learnt
-    from, each. ``score`` is the log10 probability of the text's lower-cased words and its end. Without training rows the
-    scores come from an untaught model. An empty table gives no rows."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    from, each. ``score`` is the log10 probability of the text's lower-cased words and its end; ``n_bytes`` are the bytes of these (a space after
+    each word, and the end), ``bits_per_byte`` is the score over them. Without training rows the scores come from an untaught
+    model. An empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~held_out(id_col, folds)).alias("train"))
-    learnt = train(rows.filter("train"), order=order)
-    placed = rows.withColumn("blk", block_of(2 * n, "doc_id", "text")).repartition(2 * n, "blk")
-    words = placed.groupBy("blk").applyInArrow(_block_words(order, n), "bucket int, blk int, words string, counts binary, strings binary")
-    totals = words.groupBy("bucket").cogroup(learnt.strings.groupBy("bucket")).applyInArrow(_totals(learnt.model), "blk int, bucket int, totals binary, costs binary, known long, tokens long")
+    size = text_size(rows, "text")
+    blocks, n = (max(1, -(-size // x)) for x in (BLOCK, BUCKET))
+    learnt = train(rows.filter("train"), order=order, buckets=n)
+    placed = rows.withColumn("blk", block_of(blocks, "doc_id", "text")).repartition(blocks, "blk")
+    words = placed.groupBy("blk").applyInArrow(_block_words(order, n), "bucket int, blk int, words string, counts binary, strings binary, ctx binary, after binary, seen binary")
+    totals = words.groupBy("bucket").cogroup(learnt.strings.groupBy("bucket")).applyInArrow(_totals(learnt.model), "blk int, bucket int, totals binary, said binary, long binary, known long, tokens long")
     field = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = placed.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(_score_block(order, n, to_arrow_type(field)), f"doc_id {field.simpleString()}, held_out boolean, words long, known long, base double, score double")
+    scored = placed.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(_score_block(order, n, to_arrow_type(field)), f"doc_id {field.simpleString()}, held_out boolean, words long, known long, base double, score double, bytes long")
     scored = cut(scored)
     stats = scored.filter("held_out is null").agg(F.sum("words"), F.sum("known")).first()
     ends = scored.filter("not held_out").count()
@@ -534,6 +807,8 @@ def score_documents(docs: DataFrame, *, order: int = 5, folds: int = 10, id_col:
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.lit(float(np.log10(ends + 0.1))) - (F.col("words") + 1) * F.lit(scale)).alias("base_score"),
         "score",
+        F.col("bytes").alias("n_bytes"),
+        (F.col("score") * F.lit(-float(np.log2(10))) / F.col("bytes")).alias("bits_per_byte"),
     )
 
 
