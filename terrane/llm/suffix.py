@@ -4,14 +4,16 @@ Each 50-byte window belongs to the 24-byte string of least hash in it, its ancho
 windows meet by anchor, and a run of neighbouring windows with the same anchor travels as one segment:
 
 1. distinct anchor hashes of a block of documents meet by hash; a bit for each says whether another document has it;
-2. segments of such anchors, distinct within their block and with its smallest id, meet by hash. There the suffixes at which
-   their windows start are sorted: comparisons find the common extension by binary search over prefix polynomial hashes, in
-   a merge sort that runs over all groups at once. The bytes of every two neighbours are then compared, so that a
-   collision can't pass (a group with one is sorted by its bytes). Runs of equal windows get their smallest id;
+2. segments of such anchors, distinct within their block and with its smallest id, meet by hash. There suffixes are sorted, first those that
+   are whole segments, then those at which the windows of segments that differ start: comparisons find the common extension by
+   binary search over prefix polynomial hashes, in a merge sort that runs over all groups at once. The bytes of every two
+   neighbours are then compared, so that a collision can't pass (a group with one is sorted by its bytes). Runs of equal
+   segments, then of equal windows, get their smallest id;
 3. a bit for each window returns to the block: there is a smaller id.
 
-Blocks are numbered by a hash of the id, hold some MB and are dealt out once; what is exchanged is in blobs whose order
-both sides know, so that answers are bits. A string with any number of copies costs one entry for each block.
+Blocks are numbered by a hash of the id and dealt out once; how many there are, and how many buckets, follows from the size of the texts
+alone, so that tasks are of one size at every scale. What is exchanged is in blobs whose order both sides know, so that answers are bits. A
+string with any number of copies costs one entry for each block.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, block_of, pieces, ranges, shuffle_partitions, text_bytes
+from .common import binary_rows, block_of, pieces, ranges, text_bytes, text_size
 
 ANCHOR = 24
+#: Bytes of text for each block, each bucket of segments and each bucket of anchors.
+BLOCK, SEGMENTS, ANCHORS = 5_000_000, 8_000_000, 40_000_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Stands for a null id, which is larger than any other.
@@ -173,32 +177,49 @@ def _segments(buckets: int, finer: int, length: int):
 
 
 class Suffixes:
-    """Compares suffixes of ``buf`` by their first ``length`` bytes: prefix polynomial hashes, modulo 2**64."""
+    """Compares suffixes of ``buf`` by their first ``length`` bytes (a number for each suffix, or one for all): prefix polynomial hashes,
+    modulo 2**64. Suffixes of a group have one length, and ``buf`` has as many bytes from each."""
 
-    def __init__(self, buf: np.ndarray, length: int):
-        self.buf, self.length = buf, length
+    def __init__(self, buf: np.ndarray):
+        self.buf = buf
         power = np.full(len(buf) + 1, _R)
         power[0] = 1
-        self.power = np.multiply.accumulate(power)  # R**i; R is odd, so multiplying by it loses nothing
+        self.power = np.multiply.accumulate(power, out=power)  # R**i; R is odd, so multiplying by it loses nothing
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.power[:-1], out=self.sums[1:])
-
-    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        np.cumsum((buf + np.uint64(1)) * self.power[:-1], out=self.sums[1:])
+
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Of each buf[at:at+size], the same wherever it is."""
+        back = pow(int(_R), -1, 1 << 64)
+        inverse = np.full(len(self.buf) + 1, np.uint64(back))
+        inverse[0] = 1
+        np.multiply.accumulate(inverse, out=inverse)
+        h = (self.sums[at + size] - self.sums[at]) * inverse[at]
+        return (h ^ (h >> np.uint64(32))) * _MIX
+
+    def extension(self, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
         """How many bytes from x and from y agree, up to ``length``: a binary search over equality of hashes."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length, np.int64)
         sx, sy, px, py = self.sums[x], self.sums[y], self.power[x], self.power[y]
-        for _ in range(int(self.length).bit_length()):
-            mid = (low + high + 1) >> 1
-            same = (self.sums[x + mid] - sx) * py == (self.sums[y + mid] - sy) * px
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        agree = lambda n: (self.sums[x + n] - sx) * py == (self.sums[y + n] - sy) * px
+        low, high = np.zeros(len(x), np.int64), length.copy()
+        whole = agree(high)
+        low[whole] = high[whole]
+        live = np.flatnonzero(~whole)
+        x, y, sx, sy, px, py = x[live], y[live], sx[live], sy[live], px[live], py[live]
+        lo, hi = low[live], high[live] - 1
+        for _ in range(int(hi.max(initial=0)).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            same = agree(mid)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        low[live] = lo
         return low
 
-    def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        e = self.extension(x, y)
-        inside = np.minimum(e, self.length - 1)
-        return (e < self.length) & (self.buf[x + inside] < self.buf[y + inside])
+    def less(self, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+        e = self.extension(x, y, length)
+        inside = np.minimum(e, length - 1)
+        return (e < length) & (self.buf[x + inside] < self.buf[y + inside])
 
-    def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def sort(self, at: np.ndarray, group: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The order of the suffixes ``at`` within groups (numbers in ascending order): a bottom-up merge sort whose merges
         are done for all groups at once; an element's place is its own rank plus its rank in the neighbouring run."""
         n = len(at)
@@ -213,7 +234,7 @@ class Suffixes:
             other = np.where(left, (k // run + 1) * run, (k // run - 1) * run)  # where the neighbouring run starts
             low = np.minimum(other, m)
             high = np.minimum(other + run, m)
-            base, mine = low.copy(), at[order[live]]
+            base, mine, size_of = low.copy(), at[order[live]], length[live]
             while True:  # binary search for the rank in the neighbouring run
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
@@ -223,7 +244,7 @@ class Suffixes:
                 own = mine[open_]
                 is_left = left[open_]
                 first_, second = np.where(is_left, theirs, own), np.where(is_left, own, theirs)
-                smaller = self.less(first_, second)
+                smaller = self.less(first_, second, size_of[open_])
                 before = np.where(is_left, smaller, ~smaller)  # left runs go first when equal
                 low[open_] = np.where(before, mid + 1, low[open_])
                 high[open_] = np.where(before, high[open_], mid)
@@ -233,24 +254,27 @@ class Suffixes:
             order, run = moved, run * 2
         return order
 
-    def verified_runs(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, starts of runs of equal windows). Neighbours' bytes are compared; where a hash collision misled the sort, the group
+    def verified_runs(self, at: np.ndarray, group: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, starts of runs of equal suffixes). Neighbours' bytes are compared; where a hash collision misled the sort, the group
         is sorted by its bytes."""
-        order = self.sort(at, group)
-        equal, wrong = self._neighbours(at[order], group)
+        length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
+        order = self.sort(at, group, length)
+        equal, wrong = self._neighbours(at[order], group, length)
         if wrong.any():
             for g in np.unique(group[1:][wrong]):
                 rows = np.flatnonzero(group == g)
-                order[rows] = sorted(order[rows].tolist(), key=lambda i: self.buf[at[i] : at[i] + self.length].tobytes())
-            equal, wrong = self._neighbours(at[order], group)
+                order[rows] = sorted(order[rows].tolist(), key=lambda i: self.buf[at[i] : at[i] + length[i]].tobytes())
+            equal, wrong = self._neighbours(at[order], group, length)
         return order, np.flatnonzero(np.concatenate([[True], ~equal]))
 
-    def _neighbours(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _neighbours(self, at: np.ndarray, group: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each two neighbours of a group: are they equal, are they in the wrong order."""
         equal, wrong = np.zeros(len(at) - 1, bool), np.zeros(len(at) - 1, bool)
-        for i in range(0, len(at) - 1, 100_000):
-            j = min(i + 100_000, len(at) - 1)
-            rows = self.buf[at[i : j + 1, None] + np.arange(self.length)]
+        inner = np.arange(int(length.max()))
+        for i in range(0, len(at) - 1, 50_000):
+            j = min(i + 50_000, len(at) - 1)
+            inside = inner < length[i : j + 1, None]
+            rows = np.where(inside, self.buf[np.minimum(at[i : j + 1, None] + inner, len(self.buf) - 1)], 0)
             differ = rows[1:] != rows[:-1]
             some, k = differ.any(1), differ.argmax(1)
             pick = np.arange(j - i)
@@ -260,6 +284,17 @@ class Suffixes:
         return equal, wrong
 
 
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that share all keys with another row, by key; numbers of their groups, ascending)."""
+    by = np.lexsort(keys)
+    if not len(by):
+        return by, by
+    new = np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], 0)])
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1
+    return by[several], group[several]
+
+
 def _smaller(length: int):
     def run(table: pa.Table) -> pa.Table:
         """For each window of each block's segments, whether a smaller id has it: a bit."""
@@ -267,43 +302,35 @@ def _smaller(length: int):
         doc = np.frombuffer(b"".join(blobs["docs"]), np.int64)
         windows = np.frombuffer(b"".join(blobs["windows"]), np.uint8).astype(np.int64)
         places = np.frombuffer(b"".join(blobs["places"]), np.uint8).astype(np.int64)
-        text = b"".join(blobs["text"])
-        ends = np.cumsum(windows + length - 1)
-        starts = ends - (windows + length - 1)
-        seen: dict = {}  # equal segments of several blocks are one
-        key = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(doc))
-        first = np.empty(len(seen), np.int64)
-        first[key[::-1]] = np.arange(len(doc))[::-1]
-        least = np.full(len(seen), NULL_ID)
-        np.minimum.at(least, key, doc)
-        buf = np.frombuffer(text, np.uint8)
-
-        # windows meet if they have the same anchor at the same place
+        buf = np.frombuffer(b"".join([*blobs["text"], b"\0"]), np.uint8)
+        size = windows + length - 1
+        starts = np.cumsum(size) - size
+        text = Suffixes(buf)
+        anchor = text.hashes(starts + places, ANCHOR)
+
+        # equal segments of several blocks are one: they have the same anchor at the same place, and as many bytes
+        least, one = doc.copy(), np.arange(len(doc))  # of each segment, its smallest id and which segment stands for it
+        rows, group = _grouped(size, places, anchor)
+        if len(rows):
+            order, runs = text.verified_runs(starts[rows], group, size[rows])
+            rows, many = rows[order], np.diff(np.append(runs, len(order)))
+            least[rows] = np.repeat(np.minimum.reduceat(doc[rows], runs), many)
+            one[rows] = np.repeat(rows[runs], many)
+        first = np.flatnonzero(one == np.arange(len(one)))
+        key = np.searchsorted(first, one)
+
+        # of those that differ, windows meet if they have the same anchor at the same place
         w = windows[first]
         offsets = np.concatenate([[0], np.cumsum(w)])
-        low = np.repeat(least, w)  # of each window of each distinct segment
-        spot = starts[first] + places[first]
-        names: dict = {}
-        name = np.fromiter((names.setdefault(text[a : a + ANCHOR], len(names)) for a in spot.tolist()), np.int64, len(first))
-        several = np.bincount(name, minlength=len(names))[name] > 1
-        mine = np.flatnonzero(several)
-        if len(mine):
-            rows = ranges(offsets[mine], w[mine])
-            part = buf[ranges(starts[first][mine], w[mine] + length - 1)]
-            begin = np.concatenate([[0], np.cumsum(w[mine] + length - 1)[:-1]])
-            at = ranges(begin, w[mine])
-            group = np.repeat(name[mine], w[mine]) * 256 + (np.repeat(begin + places[first][mine], w[mine]) - at)
-            by = np.argsort(group, kind="stable")
-            rows, at, group = rows[by], at[by], group[by]
-            alone = np.ones(len(group), bool)
-            same = group[1:] == group[:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            rows, at, group = rows[~alone], at[~alone], group[~alone]
-            if len(at):
-                order, runs = Suffixes(np.append(part, np.zeros(1, np.uint8)), length).verified_runs(at, group)
-                best = np.minimum.reduceat(low[rows[order]], runs)
-                low[rows[order]] = np.repeat(best, np.diff(np.append(runs, len(order))))
+        low = np.repeat(least[first], w)
+        mine, _ = _grouped(anchor[first])
+        at = ranges(starts[first][mine], w[mine])
+        to_anchor = np.repeat(starts[first][mine] + places[first][mine], w[mine]) - at
+        rows, group = _grouped(to_anchor, np.repeat(anchor[first][mine], w[mine]))
+        if len(rows):
+            order, runs = text.verified_runs(at[rows], group, length)
+            rows = ranges(offsets[mine], w[mine])[rows[order]]
+            low[rows] = np.repeat(np.minimum.reduceat(low[rows], runs), np.diff(np.append(runs, len(order))))
 
         flags = low[ranges(offsets[key], windows)] < np.repeat(doc, windows)
         per = [len(x) for x in blobs["windows"]]
@@ -353,9 +380,9 @@ def dedup_substrings(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id
 
     A null text counts as empty. A null id is larger than all others. Rows with equal ids never remove from each other.
     Texts shorter than ``length`` bytes stay as they are. An empty table gives no rows."""
-    finer = shuffle_partitions(docs.sparkSession)
-    n, buckets = 2 * finer, max(1, finer // 2)  # blocks of texts; buckets of anchors; segments are larger and need more buckets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    size = text_size(rows, "text")
+    n, finer, buckets = (max(1, -(-size // x)) for x in (BLOCK, SEGMENTS, ANCHORS))
     placed = rows.withColumn("blk", block_of(n, "doc_id")).repartition(n, "blk")
     anchors = placed.groupBy("blk").applyInArrow(_anchors(buckets, length), "bucket int, blk int, anchors binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "blk int, bucket int, bits binary")
