@@ -7,7 +7,8 @@ length (SVD of their second moments): the product over the first coordinates plu
 score. Only what the bounds leave is computed, in whole numbers. The bounds have a margin for rounding, and ties with the
 k-th score are never pruned, so the result is exact.
 
-Queries and vectors meet in blocks; nothing that grows with the data is broadcast.
+Queries meet vectors in tasks of one chunk of queries and one block of vectors, of bounded size however many there are of either; nothing
+that grows with the data is broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .vectors import matrix
 
-#: Rows of a block, and queries that are multiplied with it at once.
-BLOCK, QUERIES = 16_384, 512
+#: Rows of a block, queries of a chunk, and queries that are multiplied with a block at once.
+BLOCK, CHUNK, QUERIES = 8_192, 2_048, 512
+#: Tasks that a small table is cut into at least, by smaller chunks.
+TASKS = 16
 
 
 def _quantised(scale: float):
@@ -39,6 +42,8 @@ def _quantised(scale: float):
                 rest = rest[~ok2]
             for rows, v in parts:
                 q = np.floor(scale * v)
+                if (q * q).sum(1).max(initial=0) >= 2.0**62:
+                    raise OverflowError("a product of two vectors may not fit 63 bits")
                 if len(rows):
                     flat = pa.array(q.astype(np.int64).ravel())
                     lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * q.shape[1], flat)
@@ -62,7 +67,7 @@ def _moments(batches):
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers, in doubles where these hold them."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[-1]
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[-1]
     kind = np.float64 if most < 2**53 else np.int64
     return np.einsum("ij,ij->i", a.astype(kind), b.astype(kind)).astype(np.int64)
 
@@ -129,11 +134,11 @@ def _search(turns: dict[int, np.ndarray], k: int):
 def top_k(emb: DataFrame, *, k: int = 10, scale: float = 1024.0, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for every row whose id is divisible by ``every``: the ``k`` rows of largest inner product,
     over vectors of floor(scale * component); ties go to the smaller id. All rows but the query's own take part, rows with
-    the same id included.
+    the same id included; equal rows are rows of their own.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id; vectors are
-    compared with those of their own length only. Fewer rows give fewer ranks; an empty table gives none. Scores must
-    fit 63 bits."""
+    compared with those of their own length only. Fewer rows give fewer ranks; an empty table gives none. Vectors whose products
+    might not fit 63 bits (a length of 2**31 or more after scaling) are an error."""
     kind = emb.schema[vector_col].dataType.simpleString()
     rows = emb.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.mapInArrow(_quantised(scale), "vec_id long, q array<long>, dim int, norm double")
@@ -152,12 +157,18 @@ def top_k(emb: DataFrame, *, k: int = 10, scale: float = 1024.0, every: int = 10
     placed = cut(rows.repartitionByRange(blocks, "dim", F.desc("norm")).withColumn("part", F.spark_partition_id()))
     longest = placed.groupBy("dim", "part").agg(F.max("norm").alias("longest"))
     longest = longest.withColumn("first", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "part")) == 1)
-    queries = placed.filter(F.col("vec_id") % every == 0).select(*[F.col(c).alias(c) for c in ("rid", "vec_id", "q", "dim", "norm")])  # columns of their own
+    asking = placed.filter(F.col("vec_id") % every == 0)
+    asked = asking.count()
+    chunks = max(1, -(-asked // CHUNK), min(-(-TASKS // blocks), -(-asked // 32)))
+    queries = asking.select(*[F.col(c).alias(c) for c in ("rid", "vec_id", "q", "dim", "norm")], F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int").alias("chunk"))  # columns of their own
     shape = "qid long, query_id long, vec_id long, score long"
 
     def meet(asked: DataFrame) -> DataFrame:
-        asked = asked.select(*[F.col(c).alias(c) for c in ("rid", "vec_id", "q", "dim", "part", "floor")])
-        return asked.groupBy("dim", "part").cogroup(placed.groupBy("dim", "part")).applyInArrow(_search(turns, k), shape)
+        asked = asked.select(*[F.col(c).alias(c) for c in ("rid", "vec_id", "q", "dim", "part", "chunk", "floor")])
+        pairs = asked.select("dim", "part", "chunk").distinct()
+        against = placed.join(pairs, ["dim", "part"])
+        against = against.select(*[F.col(c).alias(c) for c in ("rid", "vec_id", "q", "dim", "norm", "part", "chunk")])
+        return asked.groupBy("dim", "part", "chunk").cogroup(against.groupBy("dim", "part", "chunk")).applyInArrow(_search(turns, k), shape)
 
     lead = queries.join(longest.filter("first").select("dim", "part"), "dim").withColumn("floor", F.lit(-(2.0**63)))
     first = cut(meet(lead))
