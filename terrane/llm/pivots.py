@@ -5,7 +5,8 @@ is a candidate if it shares at least two, so the inverted lists are kept by labe
 counted in the list of its two smallest shared pivots only. Candidates are verified by cosine in double precision.
 
 Pivots are chosen from a bounded sample, each as far as possible from those before, so that a group of many near-copies doesn't
-crowd them. Long lists are cut into blocks, and each two blocks of a list meet in a task of their own: tasks stay bounded, and
+crowd them. Their number grows with the root of the number of vectors, so that lists of pairs of pivots stay about as long. Vectors of each
+length have pivots of their own. Long lists are cut into blocks, and each two blocks of a list meet in a task of their own: tasks stay bounded, and
 what leaves a task are link counts and one star for each component, never pairs.
 """
 
@@ -21,6 +22,13 @@ from .vectors import matrix
 
 #: Rows of a list that meet another block of it in one task.
 BLOCK = 1024
+#: Pivots at least and at most, and vectors for each of which half a pivot's square is spent.
+FEWEST, MOST, SPREAD = 64, 8_192, 12
+
+
+def pivot_count(n: int) -> int:
+    """How many pivots ``n`` vectors have: 64 up to 49,152 of them, then the root of a twelfth."""
+    return int(min(MOST, max(FEWEST, (n / SPREAD) ** 0.5)))
 
 
 def choose_pivots(x: np.ndarray, many: int) -> np.ndarray:
@@ -45,31 +53,33 @@ def _unit(column, dim):
     return ok, x[good] / norm[good, None]
 
 
-def _lists(pivots: np.ndarray, nearest: int):
+def _lists(pivots: dict[int, np.ndarray], nearest: int):
     """For each vector a row for each pair of its nearest pivots."""
-    dim = pivots.shape[1] if pivots.ndim == 2 else 0
 
     def run(batches):
         for b in batches:
-            ok, x = _unit(b.column(2), dim)
-            rows = np.flatnonzero(ok)
-            if not len(rows) or not len(pivots):
-                continue
-            m = min(nearest, len(pivots))
-            near = np.sort(np.argsort(-(x @ pivots.T), 1, kind="stable")[:, :m], 1).astype(np.int32)
-            i, j = np.triu_indices(m, 1) if m > 1 else (np.zeros(1, int), np.zeros(1, int))
-            key = (near[:, i] * 65536 + near[:, j]).ravel()
-            at = pa.array(np.repeat(rows, len(i)))
-            flat = np.repeat(near, len(i), 0)
-            lists = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * m, pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(key), lists, b.column(2).take(at)], names=["rid", "label", "key", "near", "v"])
+            for dim, points in pivots.items():
+                ok, x = _unit(b.column(2), dim)
+                rows = np.flatnonzero(ok)
+                if not len(rows):
+                    continue
+                m = min(nearest, len(points))
+                near = np.sort(np.concatenate([np.argsort(-(x[i : i + 1024] @ points.T), 1, kind="stable")[:, :m] for i in range(0, len(x), 1024)]), 1).astype(np.int32)
+                i, j = np.triu_indices(m, 1) if m > 1 else (np.zeros(1, int), np.zeros(1, int))
+                key = near[:, i].astype(np.int64) * 65536 + near[:, j]
+                at = np.repeat(rows, len(i))
+                flat = np.repeat(near, len(i), 0)
+                for s in range(0, len(at), 20_000):
+                    part = pa.array(at[s : s + 20_000])
+                    lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * m, pa.array(flat[s : s + 20_000].ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(part), b.column(1).take(part), pa.array(np.full(len(part), dim, np.int32)), pa.array(key.ravel()[s : s + 20_000]), lists, b.column(2).take(part)], names=["rid", "label", "dim", "key", "near", "v"])
 
     return run
 
 
-def _verify(threshold: float, dim: int):
+def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
+        side, dim = table["side"].to_numpy(), table["dim"][0].as_py()
         key = table["key"][0].as_py()
         rid = table["rid"].to_numpy()
         _, x = _unit(table["v"], dim)
@@ -99,28 +109,33 @@ def _verify(threshold: float, dim: int):
     return run
 
 
-def near_duplicates(emb: DataFrame, *, threshold: float = 0.93, pivots: int = 64, nearest: int = 5, sample: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(emb: DataFrame, *, threshold: float = 0.93, pivots: int | None = None, nearest: int = 5, sample: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row. Links: found pairs of equal, not null, label and cosine >= threshold.
 
-    ``sample``: at most so many rows, those whose ids hash lowest, are looked at to choose pivots; all rows are indexed.
-    Null, zero, or not wholly finite vectors, vectors of another length than the sample's, and rows without a label link
-    with nothing. Rows with equal ids are vectors of their own. A null id has the name of its component's smallest id,
-    null if there is none. An empty table gives no rows."""
-    spark = emb.sparkSession
+    ``pivots``: reference points for each length of vectors (default: ``pivot_count``). ``sample``: at most so many rows of each length (or four for
+    each pivot, if that is more), those whose ids hash lowest, are looked at to choose pivots; all rows are indexed.
+    Null, zero, or not wholly finite vectors and rows without a label link with nothing, nor do vectors of different lengths. Rows with
+    equal ids are vectors of their own. A null id has the name of its component's smallest id, null if there is none. An
+    empty table gives no rows."""
     rows = emb.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
-    few = rows.filter("v is not null and size(v) > 0").orderBy(F.xxhash64("vec_id", F.lit(8)), "rid").limit(sample).select("v").toPandas()["v"]  # `sample` rows
-    vectors = pa.array([np.asarray(v, np.float64) for v in few], pa.list_(pa.float64()), from_pandas=False) if len(few) else pa.array([], pa.list_(pa.float64()))
-    dim = int(np.bincount([len(v) for v in few]).argmax()) if len(few) else 0
-    points = choose_pivots(_unit(vectors, dim)[1], pivots) if dim else np.zeros((0, 0))
+    points = {}
+    for r in rows.filter("v is not null and size(v) > 0").groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect():  # one row for each length of vectors
+        many = pivots or pivot_count(r["n"])
+        few = rows.filter(F.size("v") == r["dim"]).orderBy(F.xxhash64("vec_id", F.lit(8)), "rid").limit(max(sample, 4 * many)).select("v").toPandas()["v"]
+        chosen = choose_pivots(_unit(pa.array([np.asarray(v, np.float64) for v in few], pa.list_(pa.float64())), r["dim"])[1], many)
+        # a sample without a good vector: any direction serves
+        points[r["dim"]] = chosen if len(chosen) else np.eye(1, r["dim"])
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    lists = rows.filter("label is not null and v is not null").select("rid", "label", "v").mapInArrow(_lists(points, nearest), f"rid long, label {kind['label']}, key int, near array<int>, v {kind['v']}")
+    sent = rows.sparkSession.sparkContext.broadcast(points)  # MOST pivots of each length at most
+    lists = rows.filter("label is not null and v is not null").select("rid", "label", "v").mapInArrow(lambda batches: _lists(sent.value, nearest)(batches), f"rid long, label {kind['label']}, dim int, key long, near array<int>, v {kind['v']}")
     lists = cut(lists)
-    many = lists.groupBy("label", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = lists.join(many.select("label", "key", "blocks"), ["label", "key"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    place = ["label", "dim", "key"]
+    many = lists.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = lists.join(many.select(*place, "blocks"), place).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    tasks = own.withColumn("m", meet).select("label", "key", "m.i", "m.j", F.when(F.col("m.i") == F.col("m.j"), 0).when(F.col("block") == F.col("m.i"), 1).otherwise(2).alias("side"), "rid", "near", "v")
-    found = cut(tasks.groupBy("label", "key", "i", "j").applyInArrow(_verify(threshold, dim), "rid long, links long, root long"))
+    tasks = own.withColumn("m", meet).select(*place, "m.i", "m.j", F.when(F.col("m.i") == F.col("m.j"), 0).when(F.col("block") == F.col("m.i"), 1).otherwise(2).alias("side"), "rid", "near", "v")
+    found = cut(tasks.groupBy(*place, "i", "j").applyInArrow(_verify(threshold), "rid long, links long, root long"))
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     comps = connected_components(found.select("rid", "root"))
     named = rows.select("rid", "vec_id").join(links, "rid", "left").join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("component", "rid"))
