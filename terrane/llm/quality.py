@@ -5,8 +5,8 @@ each time fitting a shallow tree over the bins of one feature to the current gra
 lookup table; then round the pairs of features that explain most of what is left, in the same way with a cut on either
 axis. A score is the sum of the looked-up values of its bins.
 
-The model is fitted on at most ``most`` labelled rows (lowest hash of the id first), a documented bound; features and scores
-cover whole texts of all rows, in place, without a shuffle.
+The model is fitted on at most ``most`` labelled rows (those whose ids hash lowest, then those whose texts do), a documented bound;
+features and scores cover whole texts of all rows, in place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes
+from .common import free_name, pieces, text_bytes
 from .words import Words, xxh64
 
 FEATURES = [
@@ -191,11 +191,12 @@ def held_out(id_col: str, folds: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Additive:
-    """Fit on at most ``most`` labelled rows outside the held-out fold, those whose ids hash lowest."""
+    """Fit on at most ``most`` labelled rows outside the held-out fold: of the ``most`` labels whose ids hash lowest, the ``most`` documents
+    (where ids repeat, there are more) whose ids and texts hash lowest."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter(F.col("y").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds))
     few = own.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "y").limit(most)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id").select("y", "text")  # `most` rows of two numbers
-    vectors = _arrays(rows, lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), "x array<double>").limit(2 * most).toPandas()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id").select("y", F.xxhash64("doc_id", "text").alias("key"), "text")  # `most` rows of two numbers
+    vectors = _arrays(rows, lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), "x array<double>").orderBy("key", "y", "x").limit(most).toPandas()
     x = np.array(vectors["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, vectors["y"].to_numpy(np.float64)])  # the order of rows doesn't matter
     return fit(x[order], vectors["y"].to_numpy(np.float64)[order])
@@ -208,9 +209,11 @@ def score_documents(docs: DataFrame, model: Additive, *, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **kwargs) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, all columns whatever their names, whose score is at least ``threshold``. A null text counts as empty;
+    without labels the score is 0.5, and all stay; repeated rows stay or go together; an empty table gives no rows."""
     model = train(docs, labels, text_col=text_col, **kwargs)
-    return _arrays(docs.select("*", F.col(text_col).alias("text__")), lambda x: pa.array(model.score(x)), "score__ double").filter(F.col("score__") >= threshold).drop("score__")
+    score = free_name(docs, "score")
+    return _arrays(docs.select("*", F.col(text_col).alias(free_name(docs, "body"))), lambda x: pa.array(model.score(x)), f"{score} double").filter(F.col(score) >= threshold).drop(score)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
