@@ -106,6 +106,12 @@ class Tile:
         return [Tile(self.zoom + 1, 2 * self.col + i, 2 * self.row + j) for j in (0, 1) for i in (0, 1)]
 
 
+def covering_size(box, zoom: int) -> int:
+    """How many tiles ``covering`` lists for all parts of a box."""
+    ends = [(Tile.of(p.min_x, p.max_y, zoom), Tile.of(p.max_x, p.min_y, zoom)) for p in box.parts()]
+    return sum((b.row - a.row + 1) * (b.col - a.col + 1) for a, b in ends)
+
+
 def covering(min_x: int, min_y: int, max_x: int, max_y: int, zoom: int) -> list[Tile]:
     """All tiles of a zoom level that a box touches."""
     a, b = Tile.of(min_x, max_y, zoom), Tile.of(max_x, min_y, zoom)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
-from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import ids
-from terrane.functions.shapes import Shape, _Located, drawn_shape
-from terrane.sources.dataset import Dataset
+from terrane.functions.shapes import Shape, drawn_shape
+from terrane.sources.dataset import Dataset, nested_relations
 
 
 def chain_rings(ways: list[list[tuple[int, int]]]) -> list[tuple]:
@@ -55,7 +54,7 @@ def build_polygons(outer: list, inner: list) -> Shape:
     """Every inner ring goes to the smallest outer ring that holds it; those that none holds are left out. No outer ring: empty."""
     shells = sorted(chain_rings(outer), key=_area)
     holes = defaultdict(list)
-    located = [_Located(Shape(polygons=((s,),))) for s in shells]
+    located = [Shape(polygons=((s,),)).located for s in shells]
     for ring in chain_rings(inner):
         for k, where in enumerate(located):
             at = [where.at(p) for p in ring]
@@ -66,6 +65,7 @@ def build_polygons(outer: list, inner: list) -> Shape:
 
 
 def _assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("seq")
     sides = {"outer": [], "inner": []}
     for role, flat in zip(pdf["role"], pdf["shape"]):
         n = int(flat[1])
@@ -77,27 +77,29 @@ def area_shapes(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
     """(fid, shape) of area relations, of all or of those in ``relations``. A group is one relation's rings."""
     rel = (data.features if relations is None else relations).filter("ftype = 2 and is_area").select("fid", F.col("id").alias("rel_id"))
     ways = data.features.filter("ftype = 1").select(F.col("id").alias("member_id"), drawn_shape(F.col("xy"), F.col("ftype"), F.col("is_area")).alias("shape"))
-    parts = data.members.filter("member_type = 1 and role in ('outer', 'inner')").join(rel, "rel_id").join(ways, "member_id").select("fid", "role", "shape")
+    parts = data.members.filter("member_type = 1 and role in ('outer', 'inner')").join(rel, "rel_id").join(ways, "member_id").select("fid", "seq", "role", "shape")
     return parts.groupBy("fid").applyInPandas(_assemble, "fid long, shape array<int>")
 
 
+def area_rings(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
+    """(fid, hole, xy): the closed rings of area relations, each a row."""
+
+    def run(frames):
+        for pdf in frames:
+            rings = [(fid, k > 0, ring) for fid, flat in zip(pdf["fid"], pdf["shape"]) for poly in Shape.of_flat(flat).polygons for k, ring in enumerate(poly)]
+            yield pd.DataFrame({"fid": [r[0] for r in rings], "hole": [r[1] for r in rings], "xy": [[{"x": x, "y": y} for x, y in r[2]] for r in rings]})
+
+    return area_shapes(data, relations).mapInPandas(run, "fid long, hole boolean, xy array<struct<x:int,y:int>>")
+
+
 def flatten_members(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
-    """(root, fid): what relations hold, directly or through relations at any depth, each once. Cycles end by themselves: a relation
-    that has been seen isn't opened again. From the second level on, what was found is kept in the checkpoint folder, if there is one."""
-    rel = (data.features if relations is None else relations).filter("ftype = 2").select(F.col("fid").alias("root"))
-    edges = data.members.select(ids.fid(F.lit(ids.RELATION), F.col("rel_id")).alias("above"), ids.fid(F.col("member_type"), F.col("member_id")).alias("fid"))
-    front = rel.join(edges, F.col("root") == F.col("above")).select("root", "fid").distinct()
-    out = front
-    for level in count(1):
-        front = front.filter((ids.fid_type(F.col("fid")) == ids.RELATION) & (F.col("fid") != F.col("root"))).withColumnRenamed("fid", "above").join(edges, "above").select("root", "fid")
-        front = front.join(out, ["root", "fid"], "left_anti").distinct()
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-        if level > 1:  # plans would double with each level
-            shared = front.sparkSession.sparkContext.getCheckpointDir() is not None
-            front, out = (x.checkpoint() if shared else x.localCheckpoint() for x in (front, out))
-    return out
+    """(root, fid): what relations hold, directly or through relations at any depth, each once. A relation that holds itself through others is among what
+    it holds."""
+    rel = (data.features if relations is None else relations).filter("ftype = 2").select(F.col("fid").alias("root"), F.col("id").alias("above"))
+    edges = data.members.select("rel_id", ids.fid(F.col("member_type"), F.col("member_id")).alias("fid"))
+    below = nested_relations(edges.withColumnRenamed("fid", "child"))
+    opened = rel.withColumnRenamed("above", "rel_id").unionByName(rel.join(below, "above").select("root", F.col("below").alias("rel_id")))
+    return opened.join(edges, "rel_id").select("root", "fid").distinct()
 
 
 def collection_shapes(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
