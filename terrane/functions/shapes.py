@@ -11,7 +11,9 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,7 +50,16 @@ class Shape:
         chains = [*self.lines, *(ring for poly in self.polygons for ring in poly)]
         return [(a, b) for c in chains for a, b in zip(c, c[1:]) if a != b]
 
-    @property
+    @cached_property
+    def located(self) -> _Located:
+        """Made once for a shape that many others are tested against."""
+        return _Located(self)
+
+    @cached_property
+    def edges(self) -> _Edges:
+        return _Edges(self.segments())
+
+    @cached_property
     def bounds(self) -> Box:
         v = self.vertices()
         return Box(min(x for x, _ in v), min(y for _, y in v), max(x for x, _ in v), max(y for _, y in v)) if v else Box.empty()
@@ -223,35 +234,65 @@ def _cuts(s, t) -> list:
     return [(int(x) if x.denominator == 1 else x, int(y) if y.denominator == 1 else y)]
 
 
+#: Segments from which on they are kept as columns, too.
+MANY = 48
+
+
+class _Edges:
+    """Segments, found by place. Many of them are compared at once as whole numbers; of what is left, all tests are exact."""
+
+    def __init__(self, segs: list):
+        self.segs = segs
+        if len(segs) >= MANY:
+            self.ends = np.array([(*a, *b) for a, b in segs], np.int64).T
+            ax, ay, bx, by = self.ends
+            self.low_x, self.high_x, self.low_y, self.high_y = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+
+    def near(self, a, b) -> list:
+        """Numbers of the segments whose boxes touch the box of two points (of whole numbers or fractions)."""
+        low_x, high_x = math.ceil(min(a[0], b[0])), math.floor(max(a[0], b[0]))
+        low_y, high_y = math.ceil(min(a[1], b[1])), math.floor(max(a[1], b[1]))
+        # whole numbers l, h and a fraction p: l <= p is l <= floor(p), and p <= h is ceil(p) <= h
+        if len(self.segs) >= MANY:
+            return np.flatnonzero((self.low_x <= high_x) & (self.high_x >= low_x) & (self.low_y <= high_y) & (self.high_y >= low_y)).tolist()
+        return [i for i, ((ax, ay), (bx, by)) in enumerate(self.segs) if (ax <= high_x or bx <= high_x) and (ax >= low_x or bx >= low_x) and (ay <= high_y or by <= high_y) and (ay >= low_y or by >= low_y)]
+
+    def on(self, p) -> bool:
+        return any(_on(p, *self.segs[i]) for i in self.near(p, p))
+
+    def astride(self, p, axis: int) -> list:
+        """Segments with one end beyond p along an axis (a whole number along it counts as not beyond)."""
+        at = math.floor(p[axis])
+        if len(self.segs) >= MANY:
+            return [self.segs[i] for i in np.flatnonzero((self.ends[axis] <= at) != (self.ends[axis + 2] <= at))]
+        return [s for s in self.segs if (s[0][axis] <= at) != (s[1][axis] <= at)]
+
+
 class _Located:
     """Where points are with respect to a shape."""
 
     def __init__(self, shape: Shape):
         self.shape = shape
-        self.edges = [(a, b) for poly in shape.polygons for ring in poly for a, b in zip(ring, ring[1:]) if a != b]
-        self.line_edges = [(a, b) for line in shape.lines for a, b in zip(line, line[1:]) if a != b]
+        self.rings = _Edges([(a, b) for poly in shape.polygons for ring in poly for a, b in zip(ring, ring[1:]) if a != b])
+        self.chains = _Edges([(a, b) for line in shape.lines for a, b in zip(line, line[1:]) if a != b])
         ends = Counter(e for line in shape.lines for e in (line[0], line[-1]))
         self.ends = {p for p, n in ends.items() if n % 2}
         self.points = set(shape.points)
 
     def inside(self, p) -> bool:
         odd = False
-        for a, b in self.edges:
-            if (a[1] <= p[1]) != (b[1] <= p[1]):
-                t = _turn(a, b, p)
-                if (t > 0) == (b[1] > a[1]) and t != 0:
-                    odd = not odd
+        for a, b in self.rings.astride(p, 1):
+            t = _turn(a, b, p)
+            if t and (t > 0) == (b[1] > a[1]):
+                odd = not odd
         return odd
 
-    def on_rings(self, p) -> bool:
-        return any(_on(p, a, b) for a, b in self.edges)
-
     def at(self, p) -> int:
         """0 interior, 1 boundary, 2 exterior"""
-        edge = self.on_rings(p)
+        edge = self.rings.on(p)
         if not edge and self.inside(p):
             return 0
-        if p in self.points or any(_on(p, a, b) for a, b in self.line_edges):
+        if p in self.points or self.chains.on(p):
             return 1 if p in self.ends and p not in self.points else 0
         return 1 if edge else 2
 
@@ -260,10 +301,8 @@ class _Located:
         flip = d[0] == 0
         px, py = (m[1], m[0]) if flip else m
         above = level = 0
-        for a, b in self.edges:
+        for a, b in self.rings.astride(m, 1 if flip else 0):
             (ax, ay), (bx, by) = ((a[1], a[0]), (b[1], b[0])) if flip else (a, b)
-            if (ax <= px) == (bx <= px):
-                continue
             s = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
             if bx < ax:
                 s = -s
@@ -280,18 +319,19 @@ def relate(a: Shape, b: Shape) -> str:
     All segments are cut at all crossings; end points, middles and both sides of the pieces are then located in both shapes."""
     grid = [[-1] * 3 for _ in range(3)]
     grid[2][2] = 2
-    la, lb = _Located(a), _Located(b)
+    la, lb = a.located, b.located
 
     def seen(i, j, dim):
         grid[i][j] = max(grid[i][j], dim)
 
-    every = a.segments() + b.segments()
+    every = a.edges.segs + b.edges.segs
+    found = _Edges(every)
     nodes = {*a.points, *b.points, *(p for s in every for p in s)}
     pieces: dict = {}
     for i, s in enumerate(every):
         (p, q) = s
         dx, dy = q[0] - p[0], q[1] - p[1]
-        on = {p, q, *(x for j, t in enumerate(every) if j != i for x in _cuts(s, t)), *(x for x in (*a.points, *b.points) if _on(x, p, q))}
+        on = {p, q, *(x for j in found.near(p, q) if j != i for x in _cuts(s, every[j])), *(x for x in (*a.points, *b.points) if _on(x, p, q))}
         nodes |= on
         chain = sorted(on, key=lambda r: (r[0] - p[0]) * dx + (r[1] - p[1]) * dy)
         for u, v in zip(chain, chain[1:]):
@@ -314,10 +354,12 @@ def intersects(a: Shape, b: Shape) -> bool:
     """Whether they share a point; without the whole matrix."""
     if a.is_empty or b.is_empty or not _near(a, b):
         return False
-    sb = b.segments()
-    if any(_cuts(s, t) for s in a.segments() for t in sb):
-        return True
-    la, lb = _Located(a), _Located(b)
+    box = b.bounds
+    for i in a.edges.near((box.min_x, box.min_y), (box.max_x, box.max_y)):
+        s = a.edges.segs[i]
+        if any(_cuts(s, b.edges.segs[j]) for j in b.edges.near(*s)):
+            return True
+    la, lb = a.located, b.located
     return any(lb.at(p) < 2 for p in _samples(a)) or any(la.at(p) < 2 for p in _samples(b))
 
 

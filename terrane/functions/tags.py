@@ -50,6 +50,12 @@ def is_decimal(v: Column, strict: bool = True) -> Column:
     return F.coalesce(v.rlike(DECIMAL), F.lit(False)) if strict else number(v).isNotNull()
 
 
+def decimal_text(v: Column) -> Column:
+    """A strict decimal without zeros at its end, and without a point if nothing follows it; null for other texts."""
+    short = F.regexp_replace(F.regexp_replace(v, r"(\.[0-9]*[1-9])0+$", "$1"), r"\.0+$", "")
+    return F.when(is_decimal(v), F.when(short == "-0", F.lit("0")).otherwise(short))
+
+
 def tag_count(tags: Column) -> Column:
     return F.size(tags)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import mercator as M
+from terrane.sources.dataset import Dataset
+
+from .assembly import area_rings
 
 
 def pairs(xy: Column, value) -> Column:
@@ -31,3 +34,16 @@ def area_m2(xy: Column, is_area: Column, min_y: Column, max_y: Column) -> Column
     """Square metres of an area way, at the scale of the middle of its box; 0 otherwise."""
     m = M.meters_per_unit(F.floor((min_y.cast("double") + max_y.cast("double")) / 2))
     return F.when(is_area & xy.isNotNull(), F.abs(planar_area2(xy)) / 2.0 * m * m).otherwise(F.lit(0.0))
+
+
+def areas_m2(data: Dataset, rows: DataFrame) -> DataFrame:
+    """(fid, m2) of all ``rows``: square metres of area ways and area relations (shells less holes), at the scale of the middle of their boxes; 0 for
+    others."""
+    m = M.meters_per_unit(F.floor((F.col("min_y").cast("double") + F.col("max_y").cast("double")) / 2))
+    ways = rows.filter("ftype < 2").select("fid", area_m2(F.col("xy"), F.col("is_area"), F.col("min_y"), F.col("max_y")).alias("m2"))
+    rel = rows.filter("ftype = 2")
+    # shells and holes turn in any direction, so each ring says which it is
+    rings = area_rings(data, rel).select("fid", F.abs(planar_area2(F.col("xy"))).alias("a2"), "hole")
+    sums = rings.groupBy("fid").agg(F.sum(F.when(F.col("hole"), -F.col("a2")).otherwise(F.col("a2"))).alias("a2"))
+    out = rel.join(sums, "fid", "left").select("fid", F.coalesce(F.col("a2") / 2.0 * m * m, F.lit(0.0)).alias("m2"))
+    return ways.unionByName(out)

@@ -1,4 +1,4 @@
-"""Set-at-a-time spatial joins: features meet by tile, then by box, then exactly."""
+"""Set-at-a-time spatial joins: features meet by tiles of about their size, then by box, then exactly."""
 
 from __future__ import annotations
 
@@ -8,27 +8,62 @@ from pyspark.sql import functions as F
 
 from terrane.functions import shapes, tiles
 from terrane.functions.shapes import Shape
+from terrane.plans.fast import crossings
+from terrane.sources.dataset import Dataset
 
+from .assembly import area_rings
 
-def cells(zoom: int) -> Column:
-    """The tiles of a zoom level that a row's box touches."""
-    cols = F.sequence(tiles.column_at(F.col("min_x"), zoom), tiles.column_at(F.col("max_x"), zoom))
-    rows = F.sequence(tiles.row_at(F.col("max_y"), zoom), tiles.row_at(F.col("min_y"), zoom))
-    return F.flatten(F.transform(cols, lambda c: F.transform(rows, lambda r: r * (1 << zoom) + c)))
 
+#: Zoom levels of the grids in which boxes meet.
+LEVELS = (0, 2, 4, 6, 8, 10, 12)
 
-def candidate_pairs(left: DataFrame, right: DataFrame, zoom: int = 10) -> DataFrame:
-    """Pairs of rows (columns prefixed l_ and r_) whose boxes touch, each once. A pair counts in one tile only: that of the lower
-    left corner of what the boxes share, so no distinct is needed."""
-    side = lambda df, p: df.withColumn("cell", F.explode(cells(zoom))).select("cell", *[F.col(c).alias(p + c) for c in df.columns])
-    both = side(left, "l_").join(side(right, "r_"), "cell")
+
+def _level() -> Column:
+    """The finest level whose tiles are no smaller than a row's box, so that the box touches four of them at most."""
+    size = F.greatest(F.col("max_x").cast("long") - F.col("min_x"), F.col("max_y").cast("long") - F.col("min_y"))
+    out = F.lit(LEVELS[0])
+    for z in LEVELS[1:]:
+        out = F.when(size <= (1 << (32 - z)) - 1, z).otherwise(out)
+    return out
+
+
+def _cell(x: Column, y: Column, zoom: int) -> Column:
+    return (F.lit(zoom).cast("long") * (1 << 26)) + tiles.row_at(y, zoom).cast("long") * (1 << zoom) + tiles.column_at(x, zoom)
+
+
+def _cells(zoom: int) -> Column:
+    """The tiles of a level that a row's box touches."""
+    lo_c, hi_c = tiles.column_at(F.col("min_x"), zoom), tiles.column_at(F.col("max_x"), zoom)
+    lo_r, hi_r = tiles.row_at(F.col("max_y"), zoom), tiles.row_at(F.col("min_y"), zoom)
+    number = lambda c, r: (F.lit(zoom).cast("long") * (1 << 26)) + r.cast("long") * (1 << zoom) + c
+    return F.flatten(F.transform(F.sequence(lo_c, hi_c), lambda c: F.transform(F.sequence(lo_r, hi_r), lambda r: number(c, r))))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A row for each tile that a box touches at its own level (``own``) and at the coarser ones: no more than four a level, however large the box."""
+    level = _level()
+
+    def at(z: int) -> Column:
+        return F.when(F.lit(z) <= level, F.transform(_cells(z), lambda c: F.struct(c.alias("cell"), F.lit(z).alias("zoom"), (F.lit(z) == level).alias("own"))))
+
+    per = [at(z) for z in LEVELS]
+    return df.withColumn("at", F.explode(F.flatten(F.filter(F.array(*per), lambda a: a.isNotNull()))))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows (columns prefixed l_ and r_) whose boxes touch, each once. They meet at the level of the larger one, and count in one
+    tile only: that of the lower left corner of what the boxes share, so no distinct is needed. A crowded tile is split by AQE."""
+    side = lambda df, p: _spread(df.filter("min_x is not null")).select("at.cell", F.col("at.own").alias(p + "own"), F.col("at.zoom").alias(p + "zoom"), *[F.col(c).alias(p + c) for c in df.columns])
+    both = side(left, "l_").join(side(right, "r_").drop("r_zoom"), "cell").filter("l_own or r_own")
     c = {n: (F.col(f"l_{n}"), F.col(f"r_{n}")) for n in ("min_x", "min_y", "max_x", "max_y")}
     touch = (c["min_x"][0] <= c["max_x"][1]) & (c["min_x"][1] <= c["max_x"][0]) & (c["min_y"][0] <= c["max_y"][1]) & (c["min_y"][1] <= c["max_y"][0])
-    home = tiles.row_at(F.greatest(*c["min_y"]), zoom) * (1 << zoom) + tiles.column_at(F.greatest(*c["min_x"]), zoom)
-    return both.filter(touch & (F.col("cell") == home)).drop("cell")
+    home = F.lit(None).cast("long")
+    for z in LEVELS:
+        home = F.when(F.col("l_zoom") == z, _cell(F.greatest(*c["min_x"]), F.greatest(*c["min_y"]), z)).otherwise(home)
+    return both.filter(touch & (F.col("cell") == home)).drop("cell", "l_own", "r_own", "l_zoom")
 
 
-def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", zoom: int = 10) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects") -> DataFrame:
     """(left_fid, right_fid) for which ``predicate(left, right)`` holds. Both sides: fid, a box, a flat shape."""
     test = shapes.PREDICATES[predicate]
     if predicate == "disjoint":
@@ -36,25 +71,39 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
 
     @F.pandas_udf("boolean")
     def holds(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x is not None and y is not None and bool(test(Shape.of_flat(x), Shape.of_flat(y))) for x, y in zip(a, b)], dtype=bool)
+        made: dict = {}  # a shape that meets many others is made once a batch
+
+        def shape(flat):
+            key = flat.tobytes()
+            if key not in made:
+                made[key] = Shape.of_flat(flat)
+            return made[key]
+
+        return pd.Series([x is not None and y is not None and bool(test(shape(x), shape(y))) for x, y in zip(a, b)], dtype=bool)
 
     cols = ["fid", "min_x", "min_y", "max_x", "max_y", "shape"]
-    pairs = candidate_pairs(left.select(cols), right.select(cols), zoom)
+    pairs = candidate_pairs(left.select(cols), right.select(cols))
     return pairs.filter(holds("l_shape", "r_shape")).select(F.col("l_fid").alias("left_fid"), F.col("r_fid").alias("right_fid"))
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame, zoom: int = 10) -> DataFrame:
-    """(point_fid, area_fid): even-odd, in expressions only. ``points``: fid, x, y; ``areas``: fid, a box and closed xy rings."""
+def points_in_areas(points: DataFrame, areas: DataFrame, data: Dataset | None = None) -> DataFrame:
+    """(point_fid, area_fid): even-odd, in expressions only. ``points``: fid, x, y; ``areas``: fid, a box and closed xy rings; with ``data``, area
+    relations (ftype 2) too, whose rings are assembled before: a point is inside if an odd number of them is around it."""
     px, py = F.col("x").cast("long"), F.col("y").cast("long")
-    p = points.select(F.col("fid").alias("point_fid"), "x", "y", (tiles.row_at(F.col("y"), zoom) * (1 << zoom) + tiles.column_at(F.col("x"), zoom)).alias("cell"))
-    a = areas.select(F.col("fid").alias("area_fid"), "min_x", "min_y", "max_x", "max_y", "xy", F.explode(cells(zoom)).alias("cell"))
-    both = p.join(a, "cell").filter((px >= F.col("min_x")) & (px <= F.col("max_x")) & (py >= F.col("min_y")) & (py <= F.col("max_y")))
-
-    def right_of(i):
-        q, r = F.get("xy", i - 1), F.get("xy", i)
-        up = r.y > q.y
-        t = (px - q.x) * (r.y.cast("long") - q.y) - (py - q.y) * (r.x.cast("long") - q.x)
-        return F.when(((q.y <= py) != (r.y <= py)) & F.when(up, t < 0).otherwise(t > 0), 1).otherwise(0)
-
-    crossings = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("xy") - 1), right_of), F.lit(0), lambda s, v: s + v)
-    return both.filter(crossings % 2 == 1).select("point_fid", "area_fid")
+    at = F.array(*[_cell(F.col("x"), F.col("y"), z) for z in LEVELS])
+    p = points.select(F.col("fid").alias("point_fid"), "x", "y", F.explode(at).alias("cell"))
+
+    def own(df: DataFrame, *more: str) -> DataFrame:
+        """Areas at their own level only."""
+        return _spread(df.filter("min_x is not null")).filter("at.own").select(F.col("fid").alias("area_fid"), "min_x", "min_y", "max_x", "max_y", *more, "at.cell")
+
+    boxed = (px >= F.col("min_x")) & (px <= F.col("max_x")) & (py >= F.col("min_y")) & (py <= F.col("max_y"))
+    ways = areas if data is None else areas.filter("ftype < 2")
+    out = p.join(own(ways, "xy"), "cell").filter(boxed).filter(crossings(F.col("xy"), px, py) % 2 == 1).select("point_fid", "area_fid")
+    if data is None:
+        return out
+    rings = area_rings(data, areas.filter("ftype = 2"))
+    edges = {"min_x": F.array_min("xy.x"), "min_y": F.array_min("xy.y"), "max_x": F.array_max("xy.x"), "max_y": F.array_max("xy.y")}
+    met = p.join(own(rings.withColumns(edges), "xy"), "cell").filter(boxed).filter(crossings(F.col("xy"), px, py) % 2 == 1)
+    odd = met.groupBy("point_fid", "area_fid").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    return out.unionByName(odd.select("point_fid", "area_fid"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,22 +15,39 @@ from terrane.functions import mercator as M
 from terrane.functions.box import Box
 from terrane.functions.shapes import Shape
 
-from . import goql
+from . import fast, goql
 
 
-def matches(test, shape: Shape, **names):
+@lru_cache(maxsize=64)
+def _prepared(flat: tuple) -> Shape:
+    """A test shape, made once in a worker, with its index of edges."""
+    return Shape.of_flat(flat)
+
+
+def matches(test, shape: Shape):
     """A predicate over flat shapes, ``test(candidate, shape)``; Arrow batches go to Python only for what the plain predicates
-    before it leave."""
-    flat = shape.flat()
+    before it leave. Null for no candidate."""
+    flat = tuple(shape.flat())
 
     @F.pandas_udf("boolean")
     def run(candidates: pd.Series) -> pd.Series:
-        other = Shape.of_flat(flat)
-        return candidates.map(lambda c: c is not None and bool(test(Shape.of_flat(c), other)))
+        other = _prepared(flat)
+        return pd.Series([None if c is None else bool(test(Shape.of_flat(c), other)) for c in candidates], dtype="boolean")
 
     return run
 
 
+@dataclass(frozen=True)
+class Kernel:
+    """A predicate over shapes. ``verdict``: an expression that is true or false where no shape is needed, else null; for ``decided`` types of
+    features it is never null."""
+
+    test: object
+    shape: Shape
+    verdict: Column | None = None
+    decided: frozenset = frozenset()
+
+
 @dataclass(frozen=True)
 class View:
     data: object
@@ -71,10 +89,24 @@ class View:
 
     def within_box(self, box: Box) -> View:
         """Features whose box touches ``box``; several boxes must all be touched."""
-        return replace(self, predicates=(*self.predicates, box.overlaps())) if box.parts() else self.nothing()
+        return replace(self, predicates=(*self.predicates, self.data.touching(box))) if box.parts() else self.nothing()
 
-    def filter(self, predicate: Column) -> View:
-        return replace(self, predicates=(*self.predicates, predicate))
+    def filter(self, predicate: Column, *, types: str | None = None, box: Box | None = None) -> View:
+        """Features for which a predicate holds. Hints that spare it work: ``types`` (letters of n, w, a, r) and a ``box``, outside of which
+        it holds for none."""
+        out = replace(self, categories=self.categories & frozenset(types)) if types is not None else self
+        out = out.within_box(box) if box is not None else out
+        return replace(out, predicates=(*out.predicates, predicate))
+
+    def accept(self, test, columns: list[str], *, types: str | None = None, box: Box | None = None) -> View:
+        """Features for which a Python function holds: it gets a pandas frame of ``columns``, a batch at a time, and returns booleans. Hints as for
+        ``filter``. An error in it fails the query."""
+
+        @F.pandas_udf("boolean")
+        def run(rows: pd.DataFrame) -> pd.Series:
+            return pd.Series(test(rows)).astype("boolean")
+
+        return self.filter(F.coalesce(run(F.struct(*columns)), F.lit(False)), types=types, box=box)
 
     def nothing(self) -> View:
         return replace(self, categories=frozenset())
@@ -89,10 +121,13 @@ class View:
 
     def _spatial(self, name: str, shape: Shape, box: Column | None, categories=goql.ALL, ftypes=(0, 1, 2)) -> View:
         kept = replace(self, categories=self.categories & frozenset(categories), ftypes=self.ftypes & frozenset(ftypes))
-        return replace(kept, predicates=kept.predicates + ((box,) if box is not None else ()), kernels=(*kept.kernels, (shapes.PREDICATES[name], shape)))
+        return replace(kept, predicates=kept.predicates + ((box,) if box is not None else ()), kernels=(*kept.kernels, Kernel(shapes.PREDICATES[name], shape, fast.by_tiles(name, shape))))
+
+    def _touching(self, shape: Shape) -> Column:
+        return self.data.touching(shape.bounds) if not shape.is_empty else F.lit(False)
 
     def intersecting(self, shape: Shape) -> View:
-        return self._spatial("intersects", shape, shape.bounds.overlaps())
+        return self._spatial("intersects", shape, self._touching(shape))
 
     def disjoint(self, shape: Shape) -> View:
         """No box can prune here."""
@@ -102,7 +137,7 @@ class View:
         if shape.is_mixed:
             return self.nothing()
         cats, types = {2: ("nwar", (0, 1, 2)), 1: ("nwr", (0, 1, 2)), 0: ("nwar", (0, 2))}.get(shape.dimension, ("", ()))
-        return self._spatial(name, shape, shape.bounds.encloses(), cats, types)
+        return self._spatial(name, shape, shape.bounds.encloses() & self._touching(shape), cats, types)
 
     def within(self, shape: Shape) -> View:
         return self._inside("within", shape)
@@ -119,7 +154,8 @@ class View:
 
     def containing_xy(self, x: int, y: int) -> View:
         """Areas whose rings have an odd number of edges to the right of the point (edges are half-open at their upper end)."""
-        return replace(self, categories=self.categories & {"a"}, predicates=(*self.predicates, self._around(Shape.point(x, y))), kernels=(*self.kernels, (_odd, Shape.point(x, y))))
+        kernel = Kernel(_odd, Shape.point(x, y), fast.odd(x, y), frozenset((0, 1)))
+        return replace(self, categories=self.categories & {"a"}, predicates=(*self.predicates, self._around(Shape.point(x, y)) & self._touching(Shape.point(x, y))), kernels=(*self.kernels, kernel))
 
     def containing_lonlat(self, lon: float, lat: float) -> View:
         return self.containing_xy(M.lon_to_x(lon), M.lat_to_y(lat))
@@ -127,22 +163,23 @@ class View:
     def crossing(self, shape: Shape) -> View:
         if shape.is_mixed or shape.is_empty:
             return self.nothing()
-        return self._spatial("crosses", shape, shape.bounds.overlaps(), {2: "nwr"}.get(shape.dimension, "nwar"), (1, 2) if shape.dimension == 0 else (0, 1, 2))
+        return self._spatial("crosses", shape, self._touching(shape), {2: "nwr"}.get(shape.dimension, "nwar"), (1, 2) if shape.dimension == 0 else (0, 1, 2))
 
     def touching(self, shape: Shape) -> View:
         if shape.is_mixed or shape.is_empty:
             return self.nothing()
-        return self._spatial("touches", shape, shape.bounds.overlaps(), "nwar", (1, 2) if shape.dimension == 0 else (0, 1, 2))
+        return self._spatial("touches", shape, self._touching(shape), "nwar", (1, 2) if shape.dimension == 0 else (0, 1, 2))
 
     def overlapping(self, shape: Shape) -> View:
         if shape.is_mixed or shape.is_empty:
             return self.nothing()
-        return self._spatial("overlaps", shape, shape.bounds.overlaps(), {0: "nr", 1: "wr", 2: "ar"}[shape.dimension])
+        return self._spatial("overlaps", shape, self._touching(shape), {0: "nr", 1: "wr", 2: "ar"}[shape.dimension])
 
     def max_meters_from_xy(self, meters: float, x: int, y: int) -> View:
         """Nearer than ``meters``, at the scale of the point's latitude."""
         units = M.units_at(meters, y)
-        return replace(self, predicates=(*self.predicates, Box.around(math.ceil(units), x, y).overlaps()), kernels=(*self.kernels, (_nearer(units), Shape.point(x, y))))
+        kernel = Kernel(_nearer(units), Shape.point(x, y), fast.distance(x, y) < units, frozenset((0, 1)))
+        return replace(self, predicates=(*self.predicates, self.data.touching(Box.around(math.ceil(units), x, y))), kernels=(*self.kernels, kernel))
 
     def max_meters_from_lonlat(self, meters: float, lon: float, lat: float) -> View:
         return self.max_meters_from_xy(meters, M.lon_to_x(lon), M.lat_to_y(lat))
@@ -150,20 +187,29 @@ class View:
     def max_meters_from(self, meters: float, shape: Shape) -> View:
         b = shape.bounds
         units = M.units_at(meters, (b.min_y + b.max_y) / 2)
-        return replace(self, predicates=(*self.predicates, b.buffer(math.ceil(units)).overlaps()), kernels=(*self.kernels, (_nearer(units), shape)))
+        return replace(self, predicates=(*self.predicates, self.data.touching(b.buffer(math.ceil(units)))), kernels=(*self.kernels, Kernel(_nearer(units), shape)))
 
     def connected_to(self, shape_or_fid) -> View:
-        """Features that share a vertex with a shape, or with a feature (its fid), which isn't part of the result."""
+        """Features that share a vertex with a shape, or with a feature (its fid), which isn't part of the result. Only features whose box touches
+        that of the shape or feature have their vertices looked at."""
         from terrane.operators import topology
 
         if isinstance(shape_or_fid, int):
-            keys = topology.vertices(self.data).filter(F.col("fid") == shape_or_fid).select("xy_key")
-            rest = self.filter(F.col("fid") != shape_or_fid)
+            source = self.data.features.filter(F.col("fid") == shape_or_fid)
+            r = source.select("min_x", "min_y", "max_x", "max_y").first()
+            if r is None or r[0] is None:
+                return self.nothing()
+            keys = topology.vertices(self.data, source, shape_or_fid & 3 == ids.RELATION).select("xy_key")
+            near, rest = Box(*r), self.filter(F.col("fid") != shape_or_fid)
+        elif shape_or_fid.is_empty:
+            return self.nothing()
         else:
-            keys = self.data.spark.createDataFrame([(ids.pack(x, y),) for x, y in set(shape_or_fid.vertices())] or [(0,)], "xy_key long").filter(F.lit(not shape_or_fid.is_empty))
-            rest = self
-        shared = topology.vertices(self.data).join(keys.distinct(), "xy_key", "left_semi").select("fid").distinct()
-        return replace(rest, source=rest.df().join(shared, "fid", "left_semi"), predicates=(), kernels=())
+            keys = self.data.spark.createDataFrame([(ids.pack(x, y),) for x, y in set(shape_or_fid.vertices())], "xy_key long")
+            near, rest = shape_or_fid.bounds, self
+        rest = rest.within_box(near)
+        rows = rest.df()
+        shared = topology.vertices(self.data, rows, ids.RELATION in rest.ftypes and bool(rest.categories & {"a", "r"})).join(keys.distinct(), "xy_key", "left_semi").select("fid").distinct()
+        return replace(rest, source=rows.join(shared, "fid", "left_semi"), predicates=(), kernels=())
 
     # ------------------------------------------------------------------------------------------------------------ topology
 
@@ -174,8 +220,10 @@ class View:
         w = self.data.way_nodes.filter((F.col("way_id") == way_id) & F.col("node_id").isNotNull())
         return self.nodes()._restricted(w.select(ids.fid(F.lit(ids.NODE), F.col("node_id")).alias("fid")))
 
-    def members_of(self, rel_id: int) -> View:
+    def members_of(self, rel_id: int, role: str | None = None) -> View:
+        """Members of a relation; with ``role``, those that have it."""
         m = self.data.members.filter(F.col("rel_id") == rel_id)
+        m = m if role is None else m.filter(F.col("role") == role)
         return self._restricted(m.select(ids.fid(F.col("member_type"), F.col("member_id")).alias("fid")))
 
     def parents_of(self, ftype: int, id_: int) -> View:
@@ -199,13 +247,23 @@ class View:
 
     def df(self) -> DataFrame:
         rows = self._plain()
-        if not self.kernels:
+        open_ = []
+        for k in self.kernels:
+            if k.verdict is not None and self.ftypes <= k.decided:
+                rows = rows.filter(k.verdict)  # no shape is needed at all
+            else:
+                rows = rows if k.verdict is None else rows.filter(F.coalesce(k.verdict, F.lit(True)))
+                open_.append(k)
+        if not open_:
             return rows
         from terrane.operators.assembly import with_shapes
 
         drawn = with_shapes(self.data, rows, self.categories, self.ftypes)
-        for test, shape in self.kernels:
-            drawn = drawn.filter(matches(test, shape)("shape"))
+        for k in open_:
+            if k.verdict is None:
+                drawn = drawn.filter(matches(k.test, k.shape)("shape"))
+            else:  # what is decided goes by without its shape
+                drawn = drawn.filter(F.coalesce(k.verdict, matches(k.test, k.shape)(F.when(k.verdict.isNull(), F.col("shape")))))
         return drawn.drop("shape")
 
     def count(self) -> int:

@@ -69,8 +69,11 @@ class MapMaker:
         return m
 
     def add_features(self, rows: DataFrame, most: int = 10_000, **options) -> None:
-        """Nodes and ways of a result that is small enough to be looked at."""
-        for r in rows.filter("ftype < 2").limit(most).collect():
+        """Nodes and ways of a result that is small enough to be looked at; more than ``most`` are an error."""
+        found = rows.filter("ftype < 2").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} features for a map; narrow the query or raise the limit")
+        for r in found:
             pts = [(p["x"], p["y"]) for p in r["xy"]]
             shape = Shape.point(*pts[0]) if r["ftype"] == 0 else Shape.polygon(pts) if r["is_area"] else Shape.line(*pts)
             self.add(shape, html.escape(r["tags"].get("name", "")) or None, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terrane.functions.shapes import Shape, _Located
+from terrane.functions.shapes import Shape
 
 
 class PolyError(ValueError):
@@ -49,7 +49,7 @@ def read_poly(text: str, transform: Callable[[float, float], tuple] = identity)
         (holes if name.startswith("!") else shells).append(tuple(ring))
     polygons = [[s] for s in shells]
     for hole in holes:
-        home = next((p for p in polygons if _Located(Shape(polygons=((p[0],),))).at(hole[0]) < 2), None)
+        home = next((p for p in polygons if Shape(polygons=((p[0],),)).located.at(hole[0]) < 2), None)
         if home is None:
             raise PolyError(len(lines), "a hole lies in no ring")
         home.append(hole)

@@ -11,14 +11,24 @@ def _plain(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text[1:-1]) if text.startswith('"') else text
 
 
-def parse_tags(text: str) -> dict[str, str]:
-    """``k=v, k="v"``, separated by commas or line breaks; values stay texts."""
+def _typed(text: str) -> str | int | float | bool:
+    """A bare value as what it says: a number, yes and no being texts, true and false not."""
+    if re.fullmatch(r"-?[0-9]+", text):
+        return int(text)
+    if re.fullmatch(r"-?[0-9]*\.[0-9]+", text):
+        return float(text)
+    return {"true": True, "false": False}.get(text, text)
+
+
+def parse_tags(text: str, typed: bool = False) -> dict:
+    """``k=v, k="v"``, separated by commas or line breaks. Values are texts; if ``typed``, bare numbers and booleans are what they say."""
     out, at = {}, 0
     while text[at:].strip():
         m = _PAIR.match(text, at)
         if not m:
             raise ValueError(f"key=value expected at {text[at : at + 20]!r}")
-        out[_plain(m["key"])] = _plain(m["value"])
+        value = m["value"]
+        out[_plain(m["key"])] = _typed(value) if typed and not value.startswith('"') else _plain(value)
         at = m.end()
     return out
 
