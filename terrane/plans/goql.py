@@ -133,7 +133,7 @@ def _clause(r: _Reader) -> Clause:
         tests.append(_value(r, op))
         while r.kind == "mark" and r.value == ",":
             if op in ("<", "<=", ">", ">="):
-                r.fail(f"Multiple values are not allowed for {op}")
+                r.fail(f"{op} takes a single value")
             r.next()
             tests.append(_value(r, op))
     if r.take("mark", "]") is None:
@@ -145,7 +145,7 @@ def _merge(a: Clause, b: Clause) -> Clause:
     """Two clauses of one key."""
     if not (a.required or a.groups) or not (b.required or b.groups):  # [!k] is one of them
         if a.required or b.required:
-            raise QueryError(f"Conflicting clauses for key {a.key}")
+            raise QueryError(f"[!{a.key}] leaves nothing for the other tests of {a.key!r}")
         return Clause(a.key, False, False)
     # "no" is rejected if the key is only asked for by [k]
     asked = [c for c in (a, b) if c.required]
@@ -158,7 +158,7 @@ def _selector(r: _Reader) -> Selector:
         word, types = r.value, frozenset(r.value)
         for ch in word:
             if ch not in ALL:
-                r.fail(f"Unknown feature type '{ch}', should be 'n','w','a', or 'r'")
+                r.fail(f"{ch!r} is no type of feature; these are n, w, a and r")
         if len(types) != len(word):
             r.fail(f"Repeated feature type in {word!r}")
         r.next()
@@ -181,7 +181,7 @@ def parse(text: str, strict_parity: bool = False) -> tuple[Selector, ...]:
     if r.kind != "end":
         r.fail(f"Expected end of query instead of {r.value}")
     if strict_parity and len({s.types for s in out}) > 1:
-        raise QueryError("Polyform queries are not supported.")
+        raise QueryError("selectors of different types in one query")
     return tuple(out)
 
 
