@@ -4,11 +4,14 @@
    character shingles, cut into bands.
 2. Lines meet by band. A group of lines that share a band is known by its members; groups with equal members, which most
    bands of a group of near-copies are, count once.
-3. The lines of the groups are fetched from where they occur first, and their whole shingle sets compared (as 64-bit hashes). Large groups are cut into blocks, and each
-   two blocks meet in a task of their own.
+3. The lines of the groups are fetched from where they occur first, and their whole shingle sets compared (as 64-bit hashes). Large groups are cut into blocks; in
+   each, lines are compared with each other and with one line of the group, its centre. What is similar to the centre is one component
+   already, so that only the others go on to meet the other blocks.
 4. A distributed union-find joins the links; the first occurrence of a component stays, all others go.
 
-What is kept between steps is in the checkpoint folder; texts are shuffled twice (to fetch, and to remove), signatures once.
+A line is known by 64 bits of an XXH3 hash; before it goes as an equal of another one, 32 further bits must agree.
+
+What is kept between steps is in the checkpoint folder, compressed; texts are shuffled twice (to fetch, and to remove), signatures once.
 """
 
 from __future__ import annotations
@@ -17,17 +20,18 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, connected_components, cut, local_components, pieces, ranges, shuffle_partitions, text_bytes
+from .common import binary_rows, connected_components, cut, free_name, local_components, pieces, ranges, shuffle_partitions, stored, text_bytes
 from .words import _WHITE
 
 SHINGLE = 9
 #: A line pair at the threshold of 0.8 shares a band with probability 1 - (1 - 0.8**4)**10 = 0.995.
 BANDS, ROWS = 10, 4
-#: Lines of a group that meet another block of it in one task.
-BLOCK = 2000
+#: Lines of a group that are compared with each other in one task.
+BLOCK = 400
 
 _RNG = np.random.default_rng(10)
 _MUL = (_RNG.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
@@ -94,22 +98,21 @@ def split_lines(raw: np.ndarray, off: np.ndarray):
     return text, number, start, end, filled
 
 
-def line_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64 bits for each raw[start:end]: two polynomial hashes by prefix sums, mixed."""
-    out = (end - start).astype(np.uint64)
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        power = np.full(len(raw) + 1, np.uint64(base))
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw + np.uint64(1)) * power[:-1], out=sums[1:])
-        back = np.full(len(raw) + 1, np.uint64(pow(base, -1, 1 << 64)))
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        h = (sums[end] - sums[start]) * back[start]  # as if the line were all there is
-        out = (out ^ h ^ (h >> np.uint64(32))) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
+def line_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits, and 32 more, for each raw[start:end]."""
+    data = memoryview(raw.tobytes())
+    got = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())])
+    both = np.frombuffer(got, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].astype(np.uint32)
+
+
+def _line_bands(raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Band keys of lines of UTF-8 bytes."""
+    codes = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    before = np.zeros(len(raw) + 1, np.int32)  # code points before each byte place
+    np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
+    a, b = before[start].astype(np.int64), before[end].astype(np.int64)
+    return signatures(codes, a, b - a, ids)
 
 
 def _scan(batches):
@@ -118,21 +121,17 @@ def _scan(batches):
         ids = batch.column(0).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         keys = batch.column(1).to_numpy(zero_copy_only=False)
         raw, off = text_bytes(batch.column(2))
-        for i, j in pieces(off, 1_500_000):
+        for i, j in pieces(off, 500_000):
             part = raw[off[i] : off[j]]
             text, number, start, end, filled = split_lines(part, off[i : j + 1] - off[i])
             text, number, start, end = text[filled], number[filled], start[filled], end[filled]
             if not len(start):
                 continue
-            lid = line_hashes(part, start, end)
+            lid, check = line_hashes(part, start, end)
             distinct, first, at, counts = np.unique(lid, return_index=True, return_inverse=True, return_counts=True)
-            codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            # code points before each byte place
-            place = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-            a, b = place[start[first]], place[end[first]]
-            bands = signatures(codes, a, b - a, distinct)
+            bands = _line_bands(part, start[first], end[first], distinct)
             by = np.argsort(at, kind="stable")
-            occ = pa.StructArray.from_arrays([pa.array(ids[i:j][text[by]]), pa.array(keys[i:j][text[by]]), pa.array(number[by].astype(np.int32))], names=["d", "rk", "l"])
+            occ = pa.StructArray.from_arrays([pa.array(ids[i:j][text[by]]), pa.array(keys[i:j][text[by]]), pa.array(number[by].astype(np.int32)), pa.array(check[by].view(np.int32))], names=["d", "rk", "l", "c"])
             bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), binary_rows(_six(bands.ravel()), np.arange(len(distinct) + 1) * BANDS * 6), pa.ListArray.from_arrays(pa.array(bounds), occ)], names=["lid", "bands", "occ"])
 
@@ -247,7 +246,8 @@ def _common_large(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _compare(threshold: float, numbered):
     def run(table: pa.Table) -> pa.Table:
-        """Exact similarities within each task: a group, or two blocks of one; links that join what all similar pairs would."""
+        """Exact similarities within each task: links (a, b) that join what all similar pairs would, and for lines that are not similar to their
+        group's centre (side 2), where there is one, (a, null, gid). With lines of side 1, only those of side 0 are compared."""
         table = table.sort_by("task")
         lids, side, task = (table[c].to_numpy() for c in ("lid", "side", "task"))
         n = len(lids)
@@ -263,14 +263,22 @@ def _compare(threshold: float, numbered):
         for s, m in zip(start[many > SMALL], many[many > SMALL]):
             i, j = np.searchsorted(row, (s, s + m))
             both = _common_large(row[i:j] - s, hashes[i:j], m)
-            own = size[s : s + m]
-            a, b = np.nonzero(np.triu(both >= threshold * (own[:, None] + own - both), 1))
-            found.append((a + s, b + s))
+            own = size[s : s + m].astype(np.float32)  # whole numbers
+            a, b = np.nonzero(both >= np.float32(threshold) * (own[:, None] + own - both) * np.float32(1 - 1e-6))
+            exact = (a < b) & (both[a, b] >= threshold * (size[a + s] + size[b + s] - both[a, b]))
+            found.append((a[exact] + s, b[exact] + s))
         a, b = (np.concatenate(x) for x in zip(*found))
-        meet = (side[a] == 0) | (side[a] != side[b])
-        root = local_components(n, a[meet], b[meet])
+        meet = (side[a] != 1) | (side[b] != 1)
+        a, b = a[meet], b[meet]
+        root = local_components(n, a, b)
         moved = np.flatnonzero(root != np.arange(n))
-        return pa.table({"a": lids[moved], "b": lids[root[moved]]})
+        apart = np.isin(task, task[side == 2])  # in tasks that have a centre
+        apart[side == 2] = False
+        apart[a[side[b] == 2]] = False
+        apart[b[side[a] == 2]] = False
+        far = np.flatnonzero(apart)
+        none = lambda k: pa.nulls(k, pa.int64())
+        return pa.table({"a": np.concatenate([lids[moved], lids[far]]), "b": pa.concat_arrays([pa.array(lids[root[moved]]), none(len(far))]), "gid": pa.concat_arrays([none(len(moved)), pa.array(table["gid"].to_numpy()[far])]), "m": pa.array(table["m"].to_numpy()[np.concatenate([moved, far])])})
 
     return run
 
@@ -302,13 +310,32 @@ def _release(spark) -> None:
 
 def similar(groups: DataFrame, texts: DataFrame, threshold: float, *, block: int, numbered=_numbered) -> DataFrame:
     """Links (a, b) that join what all pairs of a group (gid, lid, m) of a similarity of at least ``threshold`` would. ``texts``: (lid, line),
-    of which ``numbered`` makes the shingles."""
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    tasks = own.withColumn("p", meet).select("gid", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("block") == F.col("p.i"), 1).otherwise(2).alias("side"), "lid")
-    tasks = tasks.withColumn("task", F.xxhash64("gid", "i", "j")).withColumn("pack", F.pmod("task", F.lit(8 * shuffle_partitions(groups.sparkSession))).cast("int"))  # many small groups at a time
-    return tasks.join(texts, "lid").select("pack", "task", "side", "lid", "line").groupBy("pack").applyInArrow(_compare(threshold, numbered), "a long, b long")
+    of which ``numbered`` makes the shingles.
+
+    No task has more than about two blocks of lines. Of a group of several blocks, lines that are similar to its centre (the
+    smallest lid) are one component, whatever else they are similar to; the pairs among them are made within blocks only. Lines apart from
+    it meet all blocks."""
+    packs = 8 * shuffle_partitions(groups.sparkSession)  # many small tasks at a time
+    group = ["gid", "m"]
+    own = groups.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+
+    def compared(rows: DataFrame, *task: str) -> DataFrame:
+        rows = rows.withColumn("task", F.xxhash64(*group, *task)).withColumn("pack", F.pmod("task", F.lit(packs)).cast("int"))
+        met = rows.select("pack", "task", "side", *group, "lid").join(texts, "lid").select("pack", "task", "side", *group, "lid", "line")
+        return met.groupBy("pack").applyInArrow(_compare(threshold, numbered), "a long, b long, gid long, m int")
+
+    centres = own.filter("blocks > 1").groupBy(*group, "blocks").agg(F.min("lid").alias("lid")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = cut(compared(own.select(*group, "i", "lid", F.lit(0).alias("side")).unionByName(centres.select(*group, "i", "lid", F.lit(2).alias("side"))), "i"))
+    links = first.filter("b is not null").select("a", "b")
+    far = first.filter("b is null").select(*group, F.col("a").alias("lid"))
+    if far.isEmpty():
+        return links
+    many = cut(far.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("others")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = far.join(many, group).withColumn("k", F.pmod(F.xxhash64("lid", F.lit(1)), F.col("others")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1)))
+    asked = own.join(many, group).withColumn("k", every("others"))
+    rows = asking.select(*group, "i", "k", "lid", F.lit(0).alias("side")).unionByName(asked.select(*group, "i", "k", "lid", F.lit(1).alias("side")))
+    return links.unionByName(compared(rows, "i", "k").filter("b is not null").select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,12 +344,14 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     Lines are what is between line breaks; equal lines and lines whose sets of 9-character shingles have a Jaccard similarity of at
     least ``threshold`` are linked, and of each component the first line stays, in the order of id (null last), then of a hash
     of the row, then of place. Blank lines always stay. Rows with equal id and text are one document, and both keep what
-    it keeps. A null text stays null; a text whose lines all go becomes empty. An empty table gives no rows."""
+    it keeps. A null text stays null; a text whose lines all go becomes empty. An empty table gives no rows. Other columns stay, whatever
+    their names. (Shingles are compared as 64-bit hashes; a pair of similar lines that are not equal becomes a candidate with
+    probability 0.995 or more.)"""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     docs = docs.drop("n_lines", "n_removed")
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    scan = cut(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), key.alias("rk"), F.col(text_col)).mapInArrow(_scan, "lid long, bands binary, occ array<struct<d:bigint,rk:bigint,l:int>>"))
+    scan = stored(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), key.alias("rk"), F.col(text_col)).mapInArrow(_scan, "lid long, bands binary, occ array<struct<d:bigint,rk:bigint,l:int,c:int>>"))
     distinct = scan.groupBy("lid").agg(F.first("bands").alias("bands"))
     groups = distinct.mapInArrow(_deal_bands(n), "bucket int, keys binary, lids binary").groupBy("bucket").applyInArrow(_groups, "gid long, lid long, m int")
     groups = cut(groups.distinct())
@@ -333,18 +362,19 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     found = cut(found.join(groups.select(F.col("lid").alias("g")).distinct(), F.col("lid") == F.col("g"), "left").filter("n > 1 or g is not null"))
     wanted = found.filter("g is not null").groupBy("first.rk").agg(F.collect_list(F.struct("lid", "first.l")).alias("w"))
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), key.alias("rk")).join(wanted, "rk").select("t", "w").mapInArrow(_fetch, "lid long, line string").dropDuplicates(["lid"])
-    texts = cut(texts)
+    texts = stored(texts)
     _release(spark)
     links = similar(groups, texts, threshold, block=BLOCK)
     comps = connected_components(links)
 
     rooted = found.join(comps, found.lid == comps.node, "left").select("lid", "first", "n", F.coalesce("component", "lid").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).filter("all > 1")
-    stays = rooted.join(best, "root").select("lid", "stays")
-    gone = scan.select("lid", "occ").join(stays, "lid").select("stays", F.explode("occ").alias("o")).filter("o <> stays").groupBy("o.rk").agg(F.collect_set("o.l").alias("removed"))
+    stays = rooted.join(best, "root").select("lid", "stays", F.col("first.c").alias("check"))
+    gone = scan.select("lid", "occ").join(stays, "lid").select("stays", "check", F.explode("occ").alias("o")).filter("o <> stays and o.c = check").groupBy("o.rk").agg(F.collect_set("o.l").alias("removed"))
     gone = cut(gone)
     _release(spark)
-    joined = docs.withColumn("rk__", key).join(gone.withColumnRenamed("rk", "rk__"), "rk__", "left").drop("rk__")
+    name = free_name(docs, "rk")
+    joined = docs.withColumn(name, key).join(gone.withColumnsRenamed({"rk": name, "removed": free_name(docs, "removed")}), name, "left").drop(name)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_drop(docs.columns, docs.columns.index(text_col)), f"{shape}, n_lines long, n_removed long")
 

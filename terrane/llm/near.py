@@ -1,8 +1,8 @@
 """Near-dedup of documents by shingles of words: those with a Jaccard similarity of at least 0.8 are near copies.
 
-A pair at 0.8 differs in about 10 of 64 SimHash bits and often in more, too many for tables of segments. MinHash bands bring the candidates
-together instead, as for lines; the sets of candidates are fetched and compared completely. Texts with the same shingles, each as
-often, are one node.
+Candidates are what the SimHash tables join (fingerprints over the same runs of words, chains of at most 2 bits), and, as a pair at 0.8 differs in
+about 10 of 64 bits, too many for tables of segments, what shares a MinHash band. The sets of all candidates are fetched and compared
+completely, as for lines. Texts with the same shingles, each as often, are one node.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lines
-from .common import binary_rows, connected_components, cut, pieces, shuffle_partitions, text_bytes
+from .common import binary_rows, connected_components, cut, keep_rows, pieces, row_key, shuffle_partitions, stored, text_bytes
+from .simhash import fingerprint_components, majority_bits
 from .words import Words, xxh64
 
-#: Documents of a group that meet another block of it in one task.
-BLOCK = 500
+#: Documents of a group that are compared with each other in one task.
+BLOCK = 250
 _MIX = lines._MIX
 
 
@@ -56,13 +57,13 @@ def bands(h: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _scan(words: int):
-    """(lid, bands, row)."""
+    """(lid, fp, bands, row)."""
 
     def run(batches):
         for batch in batches:
             for i, j, h, many in _shingles(batch, words):
                 keys = lines._six(bands(h, many).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(text_hashes(h, many).view(np.int64)), binary_rows(keys, np.arange(j - i + 1) * lines.BANDS * 6), batch.column(0).slice(i, j - i)], names=["lid", "bands", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(text_hashes(h, many).view(np.int64)), pa.array(majority_bits(h, many).view(np.int64)), binary_rows(keys, np.arange(j - i + 1) * lines.BANDS * 6), batch.column(0).slice(i, j - i)], names=["lid", "fp", "bands", "row"])
 
     return run
 
@@ -90,18 +91,20 @@ def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col
     equal rows, any). Columns stay as they are.
 
     Near copies are texts whose sets of runs of ``words`` lower-cased words (the whole text if it has fewer) have a Jaccard similarity of at least
-    ``similarity``; a pair at 0.8 becomes a candidate with probability 0.995. All null and blank texts are one component."""
+    ``similarity``; a pair at 0.8 becomes a candidate with probability 0.995. All null and blank texts are one component. An empty table gives no
+    rows."""
     n = shuffle_partitions(docs.sparkSession)
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), key.alias("rk")).alias("row"), F.col(text_col).alias("text"))
-    scan = rows.mapInArrow(_scan(words), f"lid long, bands binary, row {rows.schema['row'].dataType.simpleString()}")
-    nodes = cut(scan.groupBy("lid").agg(F.first("bands").alias("bands"), F.min("row").alias("least")))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), row_key(docs).alias("rk")).alias("row"), F.col(text_col).alias("text"))
+    scan = rows.mapInArrow(_scan(words), f"lid long, fp long, bands binary, row {rows.schema['row'].dataType.simpleString()}")
+    nodes = stored(scan.groupBy("lid").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("least")))
     groups = nodes.select("lid", "bands").mapInArrow(lines._deal_bands(n), "bucket int, keys binary, lids binary").groupBy("bucket").applyInArrow(lines._groups, "gid long, lid long, m int")
-    groups = cut(groups.distinct())
+    alike = nodes.select("lid", "fp").join(fingerprint_components(nodes.select("fp")), "fp")
+    many = alike.groupBy("root").agg(F.count("*").cast("int").alias("m")).filter("m > 1")
+    alike = alike.join(many, "root").select(F.xxhash64("root").alias("gid"), "lid", "m")
+    groups = cut(groups.unionByName(alike).distinct())
     wanted = nodes.join(groups.select("lid").distinct(), "lid", "left_semi").select("lid", F.col("least.rk").alias("rk"))
-    texts = docs.select(key.alias("rk"), F.col(text_col).alias("text")).join(wanted, "rk").dropDuplicates(["lid"]).select("lid", "text")
-    texts = cut(texts.mapInArrow(_fetch(words), "lid long, line binary"))
+    texts = docs.select(row_key(docs).alias("rk"), F.col(text_col).alias("text")).join(wanted, "rk").dropDuplicates(["lid"]).select("lid", "text")
+    texts = stored(texts.mapInArrow(_fetch(words), "lid long, line binary"))
     comps = connected_components(lines.similar(groups, texts, similarity, numbered=_numbered, block=BLOCK))
     roots = nodes.join(comps, nodes.lid == comps.node, "left").select("least", F.coalesce("component", "lid").alias("root"))
-    stay = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rk").alias("rk__"))
-    return docs.withColumn("rk__", key).join(stay, "rk__", "left_semi").dropDuplicates(["rk__"]).drop("rk__")
+    return keep_rows(docs, roots.groupBy("root").agg(F.min("least").alias("least")).select("least.rk"))
