@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import mercator as M
+
 
 def bounds(xy: Column) -> Column:
     """A struct of min_x, min_y, max_x, max_y; of nulls for no vertices."""
@@ -33,3 +35,13 @@ def long_steps(xy: Column) -> Column:
     n = F.greatest(F.size(xy) - 1, F.lit(1))
     step = lambda i: F.when(far(F.get(xy, i - 1).x.cast("long"), F.get(xy, i).x.cast("long")) | far(F.get(xy, i - 1).y.cast("long"), F.get(xy, i).y.cast("long")), 1).otherwise(0)
     return F.when(F.size(xy) > 1, F.aggregate(F.transform(F.sequence(F.lit(1), n), step), F.lit(0), lambda s, v: s + v)).otherwise(0)
+
+
+def to_lonlat(xy: Column, digits: int = 7) -> Column:
+    """Vertices in degrees: structs of lon and lat, rounded to so many digits."""
+    return F.transform(xy, lambda p: F.struct(F.round(M.lon_from_x(p.x), digits).alias("lon"), F.round(M.lat_from_y(p.y), digits).alias("lat")))
+
+
+def from_lonlat(spots: Column) -> Column:
+    """Structs of lon and lat as vertices."""
+    return F.transform(spots, lambda p: F.struct(M.x_from_lon(p.lon).alias("x"), M.y_from_lat(p.lat).alias("y")))

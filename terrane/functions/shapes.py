@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .box import Box
+from .mercator import lat_to_y, lon_to_x
 
 POINT, LINE, SHELL, HOLE = range(4)
 XY = tuple[int, int]
@@ -68,6 +69,10 @@ class Shape:
     def point(cls, x: int, y: int) -> Shape:
         return cls(points=((x, y),))
 
+    @classmethod
+    def at_lonlat(cls, lon: float, lat: float) -> Shape:
+        return cls.point(lon_to_x(lon), lat_to_y(lat))
+
     @classmethod
     def line(cls, *p: XY) -> Shape:
         return cls(lines=(tuple(p),))

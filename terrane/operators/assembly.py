@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
+from fractions import Fraction
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import ids
-from terrane.functions.shapes import Shape, drawn_shape
+from terrane.functions.shapes import Shape, _cuts, _Edges, drawn_shape, intersects, relate
 from terrane.sources.dataset import Dataset, nested_relations
 
 
@@ -50,8 +52,49 @@ def _area(ring) -> int:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])))
 
 
+def merge_rings(rings: list[tuple]) -> list[tuple]:
+    """The rings around what any of ``rings`` encloses: all edges are cut at all crossings, and the pieces with that on one side only are chained. Places
+    of crossings are rounded to whole units."""
+    located = [Shape(polygons=((r,),)).located for r in rings]
+    edges = _Edges([s for where in located for s in where.rings.segs])
+    pieces: dict = {}
+    for i, (p, q) in enumerate(edges.segs):
+        dx, dy = q[0] - p[0], q[1] - p[1]
+        on = {p, q, *(x for j in edges.near(p, q) if j != i for x in _cuts((p, q), edges.segs[j]))}
+        chain = sorted(on, key=lambda r: (r[0] - p[0]) * dx + (r[1] - p[1]) * dy)  # noqa: B023
+        for u, v in zip(chain, chain[1:]):
+            pieces[min(u, v), max(u, v)] = (dx, dy)
+    kept = []
+    for (u, v), d in pieces.items():
+        middle = (Fraction(u[0] + v[0]) / 2, Fraction(u[1] + v[1]) / 2)
+        sides = [where.sides(middle, d) for where in located]
+        if any(a == 0 for a, _ in sides) != any(b == 0 for _, b in sides):
+            ends = [tuple(math.floor(c + Fraction(1, 2)) for c in p) for p in (u, v)]
+            if ends[0] != ends[1]:
+                kept.append(ends)
+    return chain_rings(kept)
+
+
+def _apart(rings: list[tuple]) -> list[tuple]:
+    """Rings that overlap, or share more than a point, merged."""
+    shapes = [Shape(polygons=((r,),)) for r in rings]
+    meet = [(i, j) for i in range(len(rings)) for j in range(i) if intersects(shapes[i], shapes[j]) and relate(shapes[i], shapes[j])[0:5:4] not in ("F0", "FF")]
+    if not meet:
+        return rings
+    group = list(range(len(rings)))
+    for i, j in meet:
+        a, b = group[i], group[j]
+        group = [a if g == b else g for g in group]
+    out = []
+    for g in dict.fromkeys(group):
+        mine = [r for r, k in zip(rings, group) if k == g]
+        out += mine if len(mine) == 1 else merge_rings(mine)
+    return out
+
+
 def build_polygons(outer: list, inner: list) -> Shape:
-    """Every inner ring goes to the smallest outer ring that holds it; those that none holds are left out. No outer ring: empty."""
+    """Every inner ring goes to the smallest outer ring that holds it; those that none holds are left out. Inner rings of one outer ring that overlap
+    or share an edge are merged; what a merged one encloses but no inner ring covers is a polygon of its own. No outer ring: empty."""
     shells = sorted(chain_rings(outer), key=_area)
     holes = defaultdict(list)
     located = [Shape(polygons=((s,),)).located for s in shells]
@@ -61,7 +104,15 @@ def build_polygons(outer: list, inner: list) -> Shape:
             if 2 not in at and _area(ring) < _area(shells[k]):
                 holes[k].append(ring)
                 break
-    return Shape(polygons=tuple((s, *holes[k]) for k, s in enumerate(shells)))
+    polygons = []
+    for k, s in enumerate(shells):
+        merged = sorted(_apart(holes[k]), key=_area, reverse=True) if len(holes[k]) > 1 else holes[k]
+        if merged is not holes[k]:
+            within_ = lambda r, o: all(Shape(polygons=((o,),)).located.at(p) < 2 for p in r)
+            islands = [r for i, r in enumerate(merged) if r not in holes[k] and any(within_(r, o) for o in merged[:i])]
+            merged, polygons = [r for r in merged if r not in islands], polygons + [(r,) for r in islands]
+        polygons.append((s, *merged))
+    return Shape(polygons=tuple(polygons))
 
 
 def _assemble(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,6 +132,14 @@ def area_shapes(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
     return parts.groupBy("fid").applyInPandas(_assemble, "fid long, shape array<int>")
 
 
+def line_shapes(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
+    """(fid, shape) of relations: their member ways as lines, in order."""
+    rel = (data.features if relations is None else relations).filter("ftype = 2").select("fid", F.col("id").alias("rel_id"))
+    ways = data.features.filter("ftype = 1").select(F.col("id").alias("member_id"), drawn_shape(F.col("xy"), F.col("ftype"), F.lit(False)).alias("part"))
+    parts = data.members.filter("member_type = 1").join(rel, "rel_id").join(ways, "member_id")
+    return parts.groupBy("fid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda p: p.part)).alias("shape"))
+
+
 def area_rings(data: Dataset, relations: DataFrame | None = None) -> DataFrame:
     """(fid, hole, xy): the closed rings of area relations, each a row."""
 

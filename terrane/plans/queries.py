@@ -13,8 +13,11 @@ from terrane.functions.box import Box
 from terrane.functions.shapes import Shape
 from terrane.operators import assembly, measure, spatial, topology
 from terrane.sources import dataset, derived, export
+from terrane.sources import poly as polygon_files
 from terrane.streaming import filters
 
+from . import goql
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -129,9 +132,16 @@ _add("f4_box", lambda s, d: _fids(_world(s, d).nodes().within_box(BOX)), f"SELEC
 _add("f4_box_roads", lambda s, d: _fids(_world(s, d).select("w[highway]").within_box(BOX)), f"SELECT fid FROM f WHERE category = 'w' AND highway <> 'no' AND {_IN}")
 _add("f5_box_members", lambda s, d: _fids(_world(s, d).members_of(3).within_box(BOX)), f"SELECT f.fid FROM f JOIN members USING (fid) WHERE rel_id = 3 AND {_IN}")
 _add("f7_both", lambda s, d: _fids(_world(s, d).select("w[bridge]").both(_world(s, d).select("w[highway=primary]"))), "SELECT fid FROM f WHERE bridge = 'yes' AND highway = 'primary'")
-_add("f10_by_id", lambda s, d: _world(s, d).filter((F.col("ftype") == 1) & (F.col("id") == 1000005)).df().select("fid", "category"), "SELECT fid, category FROM f WHERE ftype = 1 AND id = 1000005")
+_add("f10_by_id", lambda s, d: s.createDataFrame([(r := _world(s, d).get(ids.WAY, 1000005)) and (r["fid"], r["category"])], "fid long, category string"), "SELECT fid, category FROM f WHERE ftype = 1 AND id = 1000005")
 _add("f11_contains", lambda s, d: _world(s, d).select("a[building]").df().select("fid").join(_world(s, d).select("[name]").df().select("fid"), "fid", "left_semi"), "SELECT fid FROM f WHERE building = 'yes' AND name IS NOT NULL")
 
+_add("f11_contains_fid", lambda s, d: s.createDataFrame([(f, (v := _world(s, d).select("a[building]")).contains(f)) for f in _ASKED], "fid long, held boolean"), f"SELECT q.fid, f.fid IS NOT NULL AS held FROM (SELECT unnest({[ids.make_fid(1, 1000005), ids.make_fid(0, 5), ids.make_fid(1, 8), ids.make_fid(2, 2011)]}) AS fid) q LEFT JOIN f ON f.fid = q.fid AND f.building = 'yes'")
+_ASKED = [ids.make_fid(1, 1000005), ids.make_fid(0, 5), ids.make_fid(1, 8), ids.make_fid(2, 2011)]
+
+_BAD = ["[!k][k]", "[!k][k=v]", "[k>1,2]", "[k>\"a\"]", "[!]", "x[k]", "w[k", "nn", "[k=1]]"]
+_GOOD = ["*", "w", "na[k=v,2]", "[k][k!=no]", "[!k][!k]", "w[k~\"a|b\"], n"]
+_add("g20_errors", lambda s, d: s.createDataFrame([(q, _is_error(q)) for q in _BAD + _GOOD], "query string, error boolean"), "SELECT unnest([" + ", ".join("'" + q + "'" for q in _BAD + _GOOD) + f"]) AS query, unnest({[True] * len(_BAD) + [False] * len(_GOOD)}) AS error", base=False)
+
 # spatial predicates against a box: the buildings are boxes too
 _BOX_SHAPE = Shape.of_box(BOX)
 _b = {"x1": BOX.min_x, "y1": BOX.min_y, "x2": BOX.max_x, "y2": BOX.max_y}
@@ -178,6 +188,14 @@ def _beside(spark, sf_dir):
     return Shape.of_box(Box(r["max_x"], r["min_y"], r["max_x"] + 4_000_000, r["max_y"]))
 
 
+def _is_error(query: str) -> bool:
+    try:
+        goql.parse(query)
+    except goql.QueryError:
+        return True
+    return False
+
+
 def _at5(spark, sf_dir):
     r = _data(spark, sf_dir).features.filter(F.col("fid") == ids.make_fid(0, 5)).select("x", "y").first()
     return r["x"], r["y"]
@@ -212,6 +230,7 @@ _add("j12_spatial_join", lambda s, d: spatial.spatial_join(rows := assembly.with
 # terminals, measures, functions
 _add("a1_count", lambda s, d: _data(s, d).features.groupBy("category").agg(F.count("*").alias("n")), "SELECT category, count(*) AS n FROM f GROUP BY category")
 _add("a2_first", lambda s, d: _world(s, d).select("a[building]").ways().df().orderBy("fid").limit(1).select("fid"), "SELECT min(fid) AS fid FROM f WHERE building = 'yes'")
+_add("a3_terminals", lambda s, d: s.createDataFrame([((v := _world(s, d).select("a[building]")).count(), v.is_empty(), v.nothing().is_empty(), v.first()["fid"], len(v.select("[brand=\"*3\"]").to_list()), sum(1 for _ in v.select("[brand=\"*3\"]")))], "n long, empty boolean, nothing boolean, first long, listed int, walked int"), "SELECT count(*) AS n, false AS empty, true AS nothing, min(fid) AS first, CAST(count(*) FILTER (ends_with(brand, '3')) AS INTEGER) AS listed, CAST(count(*) FILTER (ends_with(brand, '3')) AS INTEGER) AS walked FROM f WHERE building = 'yes'")
 _add("a6_sums", lambda s, d: _world(s, d).select("w[highway]").df().groupBy(F.col("tags")["highway"].alias("highway")).agg(F.count("*").alias("n"), F.round(F.sum(measure.length_m(F.col("xy"), F.col("is_area"))), 0).alias("meters")), f"{_LEN} SELECT highway, count(*) AS n, round(sum(meters), 0) AS meters FROM f JOIN len ON way_id = id AND ftype = 1 WHERE highway <> 'no' GROUP BY highway")
 _add("a6_tag_bytes", lambda s, d: _world(s, d).nodes("n[shop]").df().agg(F.sum(F.octet_length(F.col("tags")["name"])).alias("name_bytes"), F.sum(F.aggregate(F.map_values("tags"), F.lit(0), lambda a, v: a + F.octet_length(v))).alias("value_bytes")), "SELECT CAST(sum(strlen(name)) AS BIGINT) AS name_bytes, CAST(sum(strlen(name) + strlen(shop) + coalesce(strlen(wheelchair), 0)) AS BIGINT) AS value_bytes FROM f WHERE shop IS NOT NULL")
 _add("a7_bounds", lambda s, d: _world(s, d).select("w[highway]").df().agg(*[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]), "SELECT min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM f WHERE highway <> 'no'")
@@ -297,6 +316,8 @@ _add("p16_intersecting", lambda s, d: _fids(_buildings(s, d).intersecting(_tri))
 _add("p16_within", lambda s, d: _fids(_buildings(s, d).within(_tri)), f"SELECT fid FROM f WHERE building = 'yes' AND {_wholly}")
 _add("p16_disjoint", lambda s, d: _fids(_buildings(s, d).disjoint(_tri)), f"SELECT fid FROM f WHERE building = 'yes' AND (NOT ({_tbox}) OR {_apart})")
 _add("p16_nodes_covered", lambda s, d: _fids(_world(s, d).nodes().covered_by(_tri)), f"SELECT fid FROM f WHERE ftype = 0 AND {_wholly}")
+_add("s7_polygon_file", lambda s, d: _fids(_world(s, d).nodes().covered_by(polygon_files.read_poly(polygon_files.write_poly(_tri, transform=polygon_files.to_degrees()), polygon_files.to_units))), f"SELECT fid FROM f WHERE ftype = 0 AND {_wholly}")
+_add("s12_wkt", lambda s, d: _fids(_buildings(s, d).intersecting(Shape.of_wkt(_tri.wkt()))), f"SELECT fid FROM f WHERE building = 'yes' AND {_tbox} AND NOT ({_apart})")
 _add("p5_points_in_relations", lambda s, d: spatial.points_in_areas(_world(s, d).nodes("n[shop]").df(), _world(s, d).select("a").df(), _data(s, d)), """
 , ring AS (SELECT brand_id, x1, y1, x2, y2 FROM bld UNION ALL SELECT brand_id, x - p_size * 10000, y - p_size * 10000, x + p_size * 10000, y + p_size * 10000 FROM bld WHERE p_size >= 40)
 SELECT p.fid AS point_fid, a.fid AS area_fid FROM f p JOIN f a ON p.shop IS NOT NULL AND a.building = 'yes' AND a.min_x <= p.min_x AND a.max_x > p.min_x AND a.min_y <= p.min_y AND a.max_y > p.min_y
@@ -315,6 +336,13 @@ SELECT fid, round(a2 / 2E0 * m * m, 0) AS m2 FROM a2 JOIN k USING (fid)
 """)
 
 # vertices and texts
+_add("m18_lines", lambda s, d: _total(assembly.line_shapes(_data(s, d))), _ALL_VERTICES + """
+SELECT rel_id * 4 + 2 AS fid, CAST(sum(2 * n + 2) AS BIGINT) AS numbers, CAST(sum(1 + n + total) AS BIGINT) AS total, CAST(1 AS BIGINT) AS least
+FROM mem JOIN (SELECT way_id, count(*) AS n, sum(CAST(x AS BIGINT) + y) AS total FROM v GROUP BY way_id) ON t = 1 AND m = way_id GROUP BY rel_id
+""")
+_add("s9_lonlat", lambda s, d: _degrees(s, d), _ALL_VERTICES + """
+SELECT way_id * 4 + 1 AS fid, CAST(sum(CAST(round(round(x * 360E0 / 4294967294.9999E0, 6) * 1E6) AS BIGINT)) AS BIGINT) AS lon, CAST(sum(CAST(round(round(degrees(atan(exp(y * pi() * 2 / 4294967294.9999E0))) * 2 - 90, 6) * 1E6) AS BIGINT)) AS BIGINT) AS lat, true AS near FROM v GROUP BY way_id
+""")
 _add("m17_repaired", lambda s, d: _repaired(s, d))
 SQL["m17_repaired"] = BASE + """
 , g AS (SELECT rn.way_id, rn.seq, rn.x AS x0, rn.y AS y0, CASE WHEN rn.x = dep.x AND rn.y = dep.y THEN NULL ELSE CAST(rn.x AS BIGINT) END AS x FROM rn, dep WHERE dep.id = 5),
@@ -370,3 +398,13 @@ def _repaired(spark, sf_dir):
     rows = _data(spark, sf_dir).features.filter((F.col("ftype") == 1) & _v("highway").isNotNull())
     fixed = coordinates.repaired(F.col("xy"), x, y)
     return rows.select("fid", F.aggregate(F.transform(fixed, lambda p: p.x.cast("long")), F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.size("xy").alias("vertices"), coordinates.is_closed(F.col("xy")).alias("closed"), coordinates.long_steps(F.col("xy")).alias("long_steps"))
+
+
+def _degrees(spark, sf_dir):
+    """Ways in degrees, and whether these lead back to the same place."""
+    rows = _data(spark, sf_dir).features.filter("ftype = 1")
+    spots = coordinates.to_lonlat(F.col("xy"), 6)
+    total = lambda field: F.aggregate(F.transform("spots", lambda p: F.round(p[field] * 1e6).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    near = F.forall(F.zip_with("xy", "back", lambda p, q: (F.abs(p.x - q.x) <= 13) & (F.abs(p.y - q.y) <= 19)), lambda ok: ok)
+    rows = rows.select("fid", "xy", spots.alias("spots")).withColumn("back", coordinates.from_lonlat(F.col("spots")))
+    return rows.select("fid", total("lon").alias("lon"), total("lat").alias("lat"), near.alias("near"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from terrane.functions import mercator as M
 from terrane.functions.shapes import Shape
 
 
@@ -16,6 +17,20 @@ def identity(x: float, y: float) -> tuple[float, float]:
     return x, y
 
 
+def to_units(lon: float, lat: float) -> tuple[int, int]:
+    """Degrees in a file as coordinates."""
+    return M.lon_to_x(lon), M.lat_to_y(lat)
+
+
+def to_degrees(digits: int = 9) -> Callable[[float, float], tuple]:
+    """Coordinates as degrees in a file, rounded to so many digits (nine lead back to the same place)."""
+    return lambda x, y: (round(M.x_to_lon(x), digits), round(M.y_to_lat(y), digits))
+
+
+def _whole(v: float) -> float:
+    return int(v) if v == int(v) else v
+
+
 def read_poly(text: str, transform: Callable[[float, float], tuple] = identity) -> Shape:
     """Rings are closed if they aren't; each hole goes to the shell that holds its first vertex. A number that can't be read is an
     error, as is a ring of fewer than three points."""
@@ -37,7 +52,7 @@ def read_poly(text: str, transform: Callable[[float, float], tuple] = identity)
                     x, y = map(float, words)
                 except ValueError:
                     raise PolyError(i + 1, f"two numbers expected: {lines[i].strip()!r}") from None
-                ring.append(transform(x, y))
+                ring.append(tuple(map(_whole, transform(x, y))))
             i += 1
         if i >= len(lines):
             raise PolyError(i + 1, f"END of ring {name} expected")

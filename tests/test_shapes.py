@@ -89,9 +89,32 @@ def test_rings():
     assert build_polygons([], [[(2, 2), (3, 2), (3, 3), (2, 2)]]).is_empty
 
 
+def test_overlapping_holes_are_merged(spark):
+    reader = spark._jvm.org.locationtech.jts.io.WKTReader()
+    rng = random.Random(3)
+    shell = [(0, 0), (1000, 0), (1000, 1000), (0, 1000), (0, 0)]
+    for _ in range(25):
+        inner, jts = [], None
+        for _ in range(rng.randint(2, 6)):
+            x, y, w, h = rng.randint(1, 80) * 10, rng.randint(1, 80) * 10, rng.randint(1, 18) * 10, rng.randint(1, 18) * 10
+            ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)] if rng.random() < 0.6 else [(x, y), (x + w, y), (x, y + h), (x, y)]
+            inner.append(ring)
+            g = reader.read(Shape.polygon(ring).wkt())
+            jts = g if jts is None else jts.union(g)
+        built = build_polygons([shell], inner)
+        assert abs(built.planar_area() - (10**6 - jts.getArea())) < 0.5 * sum(len(r) for p in built.polygons for r in p) * 40, (inner, built.wkt())
+    ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    frame = [ring(10, 10, 80, 10), ring(10, 80, 80, 10), ring(10, 10, 10, 80), ring(80, 10, 10, 80)]
+    built = build_polygons([shell], frame)  # an island within merged holes
+    assert sorted(len(p) for p in built.polygons) == [1, 2] and built.planar_area() == 10**6 - 6400 + 3600
+    assert [len(p) for p in build_polygons([shell], [ring(10, 10, 5, 5), ring(15, 15, 5, 5)]).polygons] == [3]  # they share a point only
+
+
 def test_poly_files():
     s = Shape.polygon([(0, 0), (9, 0), (9, 9), (0, 9)], [(2, 2), (3, 2), (3, 3)])
     assert poly.read_poly(poly.write_poly(s)) == s
+    far = Shape.polygon([(M.lon_to_x(7.1234567), M.lat_to_y(47.7654321)), (M.lon_to_x(8), M.lat_to_y(47)), (M.lon_to_x(-170.5), M.lat_to_y(80))])
+    assert poly.read_poly(poly.write_poly(far, transform=poly.to_degrees()), poly.to_units) == far
     assert len(poly.read_poly("x\na\n 0 0\n 1E1 0\n 1E1 1E1\nEND\nEND\n").polygons) == 1
     for bad in ("x\na\n 0 0\n 1 x\nEND\nEND", "x\na\n 0 0\n 1 1\nEND\nEND", "x\na\n 0 0\n 1 1\n 2 0\n"):
         with pytest.raises(poly.PolyError):
