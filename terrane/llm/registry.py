@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
+    "op4_suffix_dedup": suffix.SQL,
     "op5_top_k": topk.SQL,
     "op7_chat_rotation": chat.SQL,
 }

@@ -76,7 +76,7 @@ class Block:
         self.ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         self.length, self.buckets = length, buckets
         parts = []
-        for i, j in pieces(self.off, 1_000_000):
+        for i, j in pieces(self.off, 100_000):
             t, lo, hi, a, h = anchor_runs(self.raw[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i], length)
             parts.append((t + i, lo + self.off[i], hi + self.off[i], a + self.off[i], h))
         self.text, self.lo, self.hi, self.at, self.hash = (np.concatenate(x) for x in zip(*parts)) if parts else anchor_runs(self.raw[:0], np.zeros(1, np.int64), length)
@@ -178,7 +178,7 @@ def _segments(buckets: int, finer: int, length: int):
 
 class Suffixes:
     """Compares suffixes of ``buf`` by their first ``length`` bytes (a number for each suffix, or one for all): prefix polynomial hashes,
-    modulo 2**64. Suffixes of a group have one length, and ``buf`` has as many bytes from each."""
+    modulo 2**64. Suffixes of a group have one length, of eight or more, and ``buf`` has as many bytes from each."""
 
     def __init__(self, buf: np.ndarray):
         self.buf = buf
@@ -268,31 +268,31 @@ class Suffixes:
         return order, np.flatnonzero(np.concatenate([[True], ~equal]))
 
     def _neighbours(self, at: np.ndarray, group: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each two neighbours of a group: are they equal, are they in the wrong order."""
+        """For each two neighbours of a group: are they equal, are they in the wrong order. Eight bytes at a time are compared, the last eight of a length
+        as they are (what is before them agrees by then)."""
+        eight = np.ndarray((len(self.buf) - 7,), "<u8", self.buf, 0, (1,))
         equal, wrong = np.zeros(len(at) - 1, bool), np.zeros(len(at) - 1, bool)
-        inner = np.arange(int(length.max()))
-        for i in range(0, len(at) - 1, 50_000):
-            j = min(i + 50_000, len(at) - 1)
-            inside = inner < length[i : j + 1, None]
-            rows = np.where(inside, self.buf[np.minimum(at[i : j + 1, None] + inner, len(self.buf) - 1)], 0)
-            differ = rows[1:] != rows[:-1]
-            some, k = differ.any(1), differ.argmax(1)
-            pick = np.arange(j - i)
-            same = group[i + 1 : j + 1] == group[i:j]
-            equal[i:j] = ~some & same
-            wrong[i:j] = some & same & (rows[1:][pick, k] < rows[:-1][pick, k])
+        live = np.flatnonzero(group[1:] == group[:-1])
+        for k in range(0, int(length.max()), 8):
+            step = np.minimum(k, length[live] - 8)
+            a, b = eight[at[live] + step], eight[at[live + 1] + step]
+            differ = a != b
+            wrong[live[differ]] = a[differ].byteswap() > b[differ].byteswap()
+            live = live[~differ]
+        equal[live] = True
         return equal, wrong
 
 
-def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that share all keys with another row, by key; numbers of their groups, ascending)."""
-    by = np.lexsort(keys)
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that share their key with another row, by key; numbers of their groups, ascending)."""
+    by = np.argsort(key)
     if not len(by):
         return by, by
-    new = np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], 0)])
-    group = np.cumsum(new) - 1
-    several = np.bincount(group)[group] > 1
-    return by[several], group[several]
+    key = key[by]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    several = ~new
+    several[:-1] |= ~new[1:]
+    return by[several], (np.cumsum(new) - 1)[several]
 
 
 def _smaller(length: int):
@@ -310,9 +310,11 @@ def _smaller(length: int):
 
         # equal segments of several blocks are one: they have the same anchor at the same place, and as many bytes
         least, one = doc.copy(), np.arange(len(doc))  # of each segment, its smallest id and which segment stands for it
-        rows, group = _grouped(size, places, anchor)
+        rows, group = _grouped((anchor ^ (size * 256 + places).astype(np.uint64)) * _MIX)
         if len(rows):
-            order, runs = text.verified_runs(starts[rows], group, size[rows])
+            own = size[rows]
+            group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (own[1:] != own[:-1])]))  # keys that collide meet as windows
+            order, runs = text.verified_runs(starts[rows], group, own)
             rows, many = rows[order], np.diff(np.append(runs, len(order)))
             least[rows] = np.repeat(np.minimum.reduceat(doc[rows], runs), many)
             one[rows] = np.repeat(rows[runs], many)
@@ -324,9 +326,10 @@ def _smaller(length: int):
         offsets = np.concatenate([[0], np.cumsum(w)])
         low = np.repeat(least[first], w)
         mine, _ = _grouped(anchor[first])
+        mine.sort()
         at = ranges(starts[first][mine], w[mine])
         to_anchor = np.repeat(starts[first][mine] + places[first][mine], w[mine]) - at
-        rows, group = _grouped(to_anchor, np.repeat(anchor[first][mine], w[mine]))
+        rows, group = _grouped((np.repeat(anchor[first][mine], w[mine]) ^ to_anchor.astype(np.uint64)) * _MIX)
         if len(rows):
             order, runs = text.verified_runs(at[rows], group, length)
             rows = ranges(offsets[mine], w[mine])[rows[order]]
@@ -395,3 +398,26 @@ def dedup_substrings(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes are pairs of hexadecimal digits here.
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)
+), least AS (
+  SELECT s, min(coalesce(doc_id, 9223372036854775807)) AS m FROM w GROUP BY s
+), hit AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM w JOIN least USING (s) WHERE coalesce(doc_id, 9223372036854775807) > m
+), run AS (
+  SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM hit
+), span AS (
+  SELECT r, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY r, k
+), gap AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM (SELECT * FROM span UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM d)
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b DESC) AS k, sum(b - a) AS n_removed, count(*) FILTER (b > a) AS n_spans FROM gap JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept JOIN d USING (r)
+"""
