@@ -5,8 +5,6 @@ Nothing here brings documents, links or labels to the driver; the only values co
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources.lineage import cut, ensure_checkpoint_dir
+
 #: ASCII white space; what is between runs of it is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,22 +22,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names. Only where a single process runs everything (local tests) is a temporary one set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="terrane-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder: it survives lost executors and later steps don't recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the checkpoint folder; like ``cut``, for what is wide."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -126,7 +110,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     step is a map-side combined minimum and an equi-join, which AQE can split where a hub is hot; the state goes through
     ``checkpoint()``. Each partition first contracts its own edges to stars, so that long chains are short before
     the first shuffle."""
-    spark = edges.sparkSession
     x, y = edges.columns[:2]
     e = edges.select(F.greatest(x, y).cast("long").alias("a"), F.least(x, y).cast("long").alias("b")).filter("a <> b")
     e = cut(e.mapInArrow(_forest, "a long, b long").distinct())
