@@ -11,7 +11,8 @@ same for all texts.
 The second layer learns along each text, from its start: it mixes the first layer's prediction, what came last in this very text after the same
 bytes (hashed, with how often in a row that came), and what came in the training documents after the same REACH bytes (hashed; one
 such context in EVERY, chosen by its content, predicts the SPAN bytes after it). The gate: how sure the last two are. Weights change after every CHUNK bytes
-by the errors in them, so that no bit is predicted from itself or from what follows. The bits' costs add up to the cost of the text.
+by the errors in them, so that no bit is predicted from itself or from what follows. A training text's own occurrence is left out of the counts after long contexts, which
+would else be all that most of them have seen. The bits' costs add up to the cost of the text.
 
 Counts come from all training documents; those of the orders are exact, no two contexts share one. They are gathered as counts of byte strings
 of one more than the highest order, from which everything follows. Strings with the same last SHARED bytes before the current
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,9 @@ SHARED = 3
 #: Bytes of text for each block of documents and each bucket of contexts.
 BLOCK, BUCKET = 5_000_000, 16_000_000
 #: Long contexts: their bytes, one in how many is kept, and for how many bytes it predicts.
-REACH, EVERY, SPAN = 16, 64, 16
+REACH, EVERY, SPAN = 16, 64, 24
 #: Bytes after which the second layer's weights change, its step, and the unit of its quantised predictions.
-CHUNK, STEP, UNIT = 64, np.float32(0.0015), np.float32(12 / 127)
+CHUNK, STEP, UNIT = 256, np.float32(0.0015), np.float32(12 / 127)
 #: The second layer's weights at the start, by how sure a long context (rows: none, seen once, more often) and the text itself are.
 START = np.array([[[1, 0, 0], [1, 0.1, 0], [0.9, 0.25, 0]], [[0.5, 0, 0.8], [0.5, 0.1, 0.8], [0.45, 0.2, 0.8]], [[0.4, 0, 0.9], [0.4, 0.1, 0.9], [0.35, 0.2, 0.9]]], np.float32)
 #: Distinct byte strings that a task holds before it passes them on.
@@ -90,32 +92,50 @@ def buckets_of(strings: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by bucket, the buckets that occur, and their bounds."""
-    by = np.argsort(bucket, kind="stable")
-    ids, first = np.unique(bucket[by], return_index=True)
-    return by, ids, np.append(first, len(by))
+    by = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65536 else bucket, kind="stable")  # small numbers sort faster
+    placed = bucket[by]
+    first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]])[: len(placed)])
+    return by, placed[first], np.append(first, len(by))
 
 
 def byte_strings(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each text's stream, it and the ``order`` bytes before it, as one number; and the texts' bounds. Before
     the start of a text are zero bytes."""
-    n = len(words.first) - 1
-    count = np.diff(words.first)
-    starts = np.where(count > 0, words.start[np.minimum(words.first[:-1], max(len(words.start) - 1, 0))] if len(words.start) else 0, 0)
-    ends = np.where(count > 0, words.end[words.first[1:] - 1] + 1 if len(words.end) else 0, 0)
-    size = ends - starts + 1  # with the end byte
-    off = np.concatenate([[0], np.cumsum(size)])
-    body = np.zeros(off[-1] + n * order, np.uint8)
-    at = off[:-1] + np.arange(1, n + 1) * order
-    inner = np.arange(len(body))
-    text = np.repeat(np.arange(n), size + order)
-    inside = inner - at[text]
-    real = (inside >= 0) & (inside < (size - 1)[text])
-    body[real] = words.buf[(starts[text] + inside)[real]]
-    out = np.zeros(len(body), np.uint64)
-    wide = body.astype(np.uint64)
-    for k in range(order + 1):
-        out[k:] |= wide[: len(body) - k] << np.uint64(8 * k)
-    return out[inside >= 0], off
+    n, data = len(words.first) - 1, memoryview(words.buf)
+    some = np.diff(words.first) > 0
+    starts, ends = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts[some], ends[some] = words.start[words.first[:-1][some]], words.end[words.first[1:][some] - 1] + 1
+    blank = bytes(order)
+    body = np.frombuffer(b"".join([x for a, b in zip(starts.tolist(), ends.tolist()) for x in (blank, data[a:b], b"\0")]), np.uint8)
+    off = np.concatenate([[0], np.cumsum(ends - starts + 1)])  # with the end byte
+    out, have, last, span = None, 0, body.astype(np.uint64), 1
+    while span <= order + 1:  # the last 1, 2, 4, 8 bytes, of which the wanted number is made
+        if (order + 1) & span:
+            if out is None:
+                out = last.copy()
+            else:
+                out[have:] |= last[: len(last) - have] << np.uint64(8 * have)
+            have += span
+        if span * 2 <= order + 1:
+            longer = last.copy()
+            longer[span:] |= last[:-span] << np.uint64(8 * span)
+            last = longer
+        span *= 2
+    real = np.ones(len(body), bool)
+    real[((off[:-1] + np.arange(n) * order)[:, None] + np.arange(order)).ravel()] = False
+    return out[real], off
+
+
+def pack(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Compressed values[bounds[i]:bounds[i+1]], first bytes of all first."""
+    to, width = zstandard.ZstdCompressor(level=1), values.itemsize
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
+    return pa.array([to.compress(np.ascontiguousarray(raw[i:j].T)) for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
+def unpack(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
 # ------------------------------------------------------------------------------------------------------------- learning
@@ -126,7 +146,7 @@ def count_strings(docs: DataFrame, order: int, buckets: int) -> DataFrame:
 
     def blobs(strings, counts):
         by, ids, bounds = by_bucket(buckets_of(strings, buckets))
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), binary_rows(strings[by], bounds), binary_rows(counts[by].astype(np.int64), bounds)], names=["bucket", "strings", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pack(strings[by], bounds), pack(counts[by].astype(np.int64), bounds)], names=["bucket", "strings", "counts"])
 
     def run(batches):
         held, rows = [], 0
@@ -134,9 +154,8 @@ def count_strings(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             raw, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
                 strings, _ = byte_strings(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), order)
-                got = pc.value_counts(pa.array(strings))
-                held.append((got.field(0).to_numpy(), got.field(1).to_numpy()))
-                rows += len(got)
+                held.append(_counted(strings))
+                rows += len(held[-1][0])
                 if rows > HELD:
                     held = [merge_counts(held)]
                     rows = len(held[0][0])
@@ -149,6 +168,13 @@ def count_strings(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, strings binary, counts binary")
 
 
+def _counted(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings in order, and how often each occurs."""
+    strings = np.sort(strings)
+    first = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]])[: len(strings)])
+    return strings[first], np.diff(np.append(first, len(strings)))
+
+
 def merge_counts(parts) -> tuple[np.ndarray, np.ndarray]:
     s, c = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(s, kind="stable")
@@ -158,9 +184,15 @@ def merge_counts(parts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    parts = [(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64)) for s, c in zip(table["strings"].to_pylist(), table["counts"].to_pylist())]
-    s, c = merge_counts(parts)
-    return pa.table({"bucket": table["bucket"][:1], "strings": pa.array([s.tobytes()], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary())})
+    s, c = merge_counts(list(_blobs(table)))
+    whole = np.array([0, len(s)])
+    return pa.table({"bucket": table["bucket"][:1], "strings": pack(s, whole), "counts": pack(c, whole)})
+
+
+def _blobs(table):
+    """Strings and counts of a table, or a batch, of (bucket, strings, counts)."""
+    for s, c in zip(table.column("strings").to_pylist(), table.column("counts").to_pylist()):
+        yield unpack(s, np.uint64), unpack(c, np.int64)
 
 
 def _slot_counts(order: int, block: int):
@@ -168,8 +200,8 @@ def _slot_counts(order: int, block: int):
 
     def run(batches):
         for batch in batches:
-            for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
+            for strings, counts in _blobs(batch):
+                counts = counts.astype(np.float64)
                 last = (strings & np.uint64(255)).astype(np.int64)
                 for k in range(min(order + 1, SHARED)):
                     ctx = (suffixes(strings, k) >> np.uint64(8) << np.uint64(8)).astype(np.int64)
@@ -317,9 +349,9 @@ def _learn_weights(model_of, rate: float):
     def run(batches):
         model = model_of()
         for batch in batches:
-            for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for strings, counts in _blobs(batch):
                 steps, weights, seen = 0.0, model.weights.astype(np.float64).ravel().copy(), np.full(model.weights.size, 1e-3)
-                strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
+                counts = counts.astype(np.float64)
                 model.over(strings, counts)
                 mix = np.argsort((strings * _A) ^ (strings * _B) >> np.uint64(29), kind="stable")
                 for i in range(0, len(mix), 8192):
@@ -343,8 +375,8 @@ def _learn_refinement(model_of):
         model = model_of()
         hit, all_ = np.zeros(256 * 33), np.zeros(256 * 33)
         for batch in batches:
-            for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                strings, counts = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64).astype(np.float64)
+            for strings, counts in _blobs(batch):
+                counts = counts.astype(np.float64)
                 model.over(strings, counts)
                 for i in range(0, len(strings), 65_536):
                     part, w = strings[i : i + 65_536], counts[i : i + 65_536]
@@ -367,7 +399,7 @@ class Trained:
 
     def __call__(self) -> Model:
         """The model of all strings, which come to the driver; for small corpora."""
-        got = [(np.frombuffer(r["strings"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in self.strings.toLocalIterator()]
+        got = [(unpack(r["strings"], np.uint64), unpack(r["counts"], np.int64)) for r in self.strings.toLocalIterator()]
         return self.model().over(*merge_counts(got)) if got else self.model()
 
 
@@ -412,7 +444,7 @@ _SHIFTS = np.arange(7, -1, -1, dtype=np.uint8)
 #: By how often in a row, and by the bits in which a byte differs from the guess: what the guess says of each bit as it is (8 numbers of 8
 #: bits); bits after the first one that differs are not guessed.
 _DIFFER = np.arange(256, dtype=np.uint8)[:, None] >> _SHIFTS
-_GUESS = (_LAST[:, None, None] * ((_DIFFER == 0).astype(np.int8) - (_DIFFER == 1).astype(np.int8))).view(np.int64)[:, :, 0]
+_GUESS = (_LAST[:, None, None] * ((_DIFFER == 0).astype(np.int8) - (_DIFFER == 1).astype(np.int8))).view(np.int64).ravel()
 
 
 def few(counts: np.ndarray) -> np.ndarray:
@@ -437,16 +469,28 @@ def long_contexts(stream: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     return at[inside] + REACH, h[inside]
 
 
-def following(stream: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The SPAN bytes from each place on as two numbers; zeros after the end of its text."""
-    end = off[np.searchsorted(off, at, "right")]
-    both = []
-    for half in range(2):
-        x = np.zeros(len(at), np.uint64)
-        for k in range(8 * half, 8 * half + 8):
-            x = x << np.uint64(8) | np.where(at + k < end, stream[np.minimum(at + k, len(stream) - 1)], 0).astype(np.uint64)
-        both.append(x)
-    return both[0], both[1]
+def following(stream: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SPAN bytes from each place on as numbers of eight bytes; zeros after the end of its text."""
+    if not len(at):
+        return np.zeros((0, SPAN // 8), np.uint64)
+    place = at[:, None] + np.arange(SPAN)
+    byte = stream[np.minimum(place, len(stream) - 1)]
+    byte[place >= off[np.searchsorted(off, at, "right")][:, None]] = 0
+    return byte.view(">u8").astype(np.uint64)
+
+
+def ordered(ctx: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by context and by what follows it, and which of them, in that order, differ from the one before."""
+    by = np.argsort(ctx)
+    new = np.ones(len(by), bool)
+    new[1:] = ctx[by][1:] != ctx[by][:-1]
+    several = ~new
+    several[:-1] |= ~new[1:]
+    some = by[several]  # most contexts have one entry; the others are put in order among themselves
+    by[several] = some[np.lexsort((*after[some].T[::-1], ctx[some]))]
+    at = np.flatnonzero(~new)
+    new[at] = (after[by[at]] != after[by[at - 1]]).any(1)
+    return by, new
 
 
 def _leading(x: np.ndarray) -> np.ndarray:
@@ -460,7 +504,7 @@ def _leading(x: np.ndarray) -> np.ndarray:
     return n + (x == 0)
 
 
-def long_counts(ctx: np.ndarray, high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def long_counts(ctx: np.ndarray, after: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For entries of (context, SPAN bytes after it, how often in training documents), sorted and distinct: of those whose context has one entry only, the
     level of its count, else 255; and for the latter, in order, the levels of zeros and ones (4 bits each) of every bit after the context and
     the bits before it."""
@@ -468,143 +512,159 @@ def long_counts(ctx: np.ndarray, high: np.ndarray, low: np.ndarray, counts: np.n
     group = np.cumsum(new) - 1
     several = np.bincount(group, minlength=1)[group] > 1
     head = np.where(several, 255, few(counts)).astype(np.uint8)
-    c, h, lo, n = ctx[several], high[several], low[several], counts[several]
+    c, bits, n = ctx[several], after[several], counts[several]
     body = np.zeros((len(c), 8 * SPAN), np.uint8)
     if len(c):
-        upper = _leading(h[1:] ^ h[:-1])
-        agree = np.concatenate([[-1], np.where(c[1:] != c[:-1], -1, np.where(upper < 64, upper, 64 + _leading(lo[1:] ^ lo[:-1])))])
+        differ = bits[1:] ^ bits[:-1]
+        word = (differ != 0).argmax(1)
+        agree = 64 * word + _leading(differ[np.arange(len(word)), word])
+        agree = np.concatenate([[-1], np.where(c[1:] != c[:-1], -1, agree)])
         for d in range(8 * SPAN):
             starts = np.flatnonzero(agree < d)
-            bit = ((h if d < 64 else lo) >> np.uint64(63 - d % 64)) & np.uint64(1)
+            bit = bits[:, d // 64] >> np.uint64(63 - d % 64) & np.uint64(1)
             ones = np.add.reduceat(n * bit.astype(np.int64), starts)
             every = np.add.reduceat(n, starts)
             body[:, d] = np.repeat(few(every - ones) << 4 | few(ones), np.diff(np.append(starts, len(c))))
     return head, body
 
 
-def spread_long(stream: np.ndarray, off: np.ndarray, at: np.ndarray, head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What long contexts say of each bit of the streams as it is, in UNITs, and how sure they are of each byte (0 to 2). ``head``, ``body``: of
-    the places ``at``, as from ``long_counts``. The last context before a byte counts."""
-    out, sure = np.zeros((len(stream), 8), np.int8), np.zeros(len(stream), np.uint8)
-    if not len(at):
-        return out, sure
-    end = np.minimum(np.minimum(at + SPAN, np.append(at[1:], len(stream))), off[np.searchsorted(off, at, "right")])
-    row = np.cumsum(head == 255) - 1  # of the body
-    for k in range(SPAN):
-        some = np.flatnonzero(at + k < end)
-        place, one = at[some] + k, head[some] != 255
-        out[place[one]] = _LONG[head[some][one], 0][:, None]
-        sure[place[one]] = np.minimum(head[some][one], 2)
-        place, some = place[~one], some[~one]
-        pair = body[row[some], 8 * k : 8 * k + 8]
-        zeros, ones = pair >> 4, pair & 15
-        bits = (stream[place][:, None] >> _SHIFTS & 1).astype(bool)
-        out[place] = np.where(bits, _LONG[ones, zeros], _LONG[zeros, ones])
-        sure[place] = np.minimum(_FEW[zeros[:, 0]] + _FEW[ones[:, 0]], 2)
-    return out, sure
-
-
-def last_seen(strings: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the same bytes before it were followed by last in the same text says of each bit as it is, in UNITs, and how sure that is of each byte (0 to 2).
-    ``strings``: of all texts' bytes, each after those before it."""
-    out, sure = np.zeros((len(strings), 8), np.int8), np.zeros(len(strings), np.uint8)
+def spread_long(stream: np.ndarray, off: np.ndarray, at: np.ndarray, head: np.ndarray, body: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What long contexts say of each bit of the streams as it is, in UNITs, as a table (8 numbers of 8 bits a row) and the row of each byte, and how sure they
+    are of each byte (0 to 2). ``head``, ``body``: of the places ``at``, as from ``long_counts``. The last context before a byte counts. ``learnt``: of
+    each text, whether the counts hold it; its own occurrence is left out then (counts above 8 are about as large without it)."""
+    row, sure = np.zeros(len(stream), np.int32), np.zeros(len(stream), np.uint8)
+    tables = [np.repeat(_LONG[:, :1], 8, 1)]  # one row for each level of a context with one entry; at level 0 it says nothing
+    if len(at):
+        end = np.minimum(np.minimum(at + SPAN, np.append(at[1:], len(stream))), off[np.searchsorted(off, at, "right")])
+        inside = np.cumsum(head == 255) - 1  # of the body
+        own = learnt[np.searchsorted(off, at, "right") - 1]
+        head = head - (own & (head > 0) & (head <= 8))
+        rows = len(tables[0])
+        for k in range(SPAN):
+            some = np.flatnonzero(at + k < end)
+            place, one = at[some] + k, head[some] != 255
+            row[place[one]] = head[some][one]
+            sure[place[one]] = np.minimum(head[some][one], 2)
+            place, some = place[~one], some[~one]
+            pair = body[inside[some], 8 * k : 8 * k + 8]
+            bits = (stream[place][:, None] >> _SHIFTS & 1).astype(bool)
+            zeros, ones, less = pair >> 4, pair & 15, own[some][:, None]
+            zeros, ones = zeros - (less & ~bits & (zeros > 0) & (zeros <= 8)), ones - (less & bits & (ones > 0) & (ones <= 8))
+            tables.append(np.where(bits, _LONG[ones, zeros], _LONG[zeros, ones]))
+            row[place] = rows + np.arange(len(place))
+            sure[place] = np.minimum(_FEW[zeros[:, 0]] + _FEW[ones[:, 0]], 2)
+            rows += len(place)
+    return np.concatenate(tables).astype(np.int8), row, sure
+
+
+def last_seen(strings: np.ndarray, place: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte, how often in a row the same bytes before it were followed by what they were followed by last in the same text, and the bits in which it
+    differs from that (a row of _GUESS); and how sure that is (0 to 2). ``strings[place]``: of all texts' bytes, each after those before it;
+    ``strings`` are in order."""
+    before = strings >> np.uint64(8)
+    context = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))[: len(strings)].astype(np.uint64)
+    byte = (strings & np.uint64(255)).astype(np.uint8)
+    row, sure = np.zeros(len(place), np.int16), np.zeros(len(place), np.uint8)
     for i, j in pieces(off, 200_000):
         part = slice(off[i], off[j])
-        out[part], sure[part] = _last_seen(strings[part], off[i : j + 1] - off[i])
-    return out, sure
-
-
-def _last_seen(strings: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(strings)
-    own = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
-    key = ((strings >> np.uint64(8)) + np.uint64(1)) * _A ^ (own + np.uint64(1)) * _B
-    key = (key ^ (key >> np.uint64(32))) * _A
-    mask = np.uint64((1 << n.bit_length()) - 1)
-    key = np.sort(key & ~mask | np.arange(n, dtype=np.uint64))  # by text and context, then by place
+        row[part], sure[part] = _last_seen(context.take(place[part]), byte.take(place[part]), off[i : j + 1] - off[i])
+    return row, sure
+
+
+def _last_seen(context: np.ndarray, byte: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(context)
+    bits, width = n.bit_length(), int(context.max(initial=0)).bit_length()
+    if bits + width + len(off).bit_length() > 64:
+        raise OverflowError("a block is too large")
+    mask = np.uint64((1 << bits) - 1)
+    key = context << np.uint64(bits)
+    key |= np.repeat(np.arange(len(off) - 1, dtype=np.uint64) << np.uint64(bits + width), np.diff(off))
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()  # by text and context, then by place
     order = (key & mask).astype(np.int64)
-    byte = (strings & np.uint64(255)).astype(np.uint8)
-    sorted_, before, text = byte[order], strings[order] >> np.uint64(8), own[order]
-    same = np.zeros(n, bool)
-    same[1:] = (before[1:] == before[:-1]) & (text[1:] == text[:-1])
-    run = np.ones(n, bool)
+    key >>= np.uint64(bits)
+    sorted_ = byte.take(order)
+    same, run = np.zeros(n, bool), np.ones(n, bool)
+    np.equal(key[1:], key[:-1], out=same[1:])
     run[1:] = ~same[1:] | (sorted_[1:] != sorted_[:-1])
     run = np.flatnonzero(run)
     inner = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))  # how often in a row it came before
     often, guess = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     later = np.flatnonzero(same)
-    often[order[later]] = np.minimum(inner[later - 1] + 1, 8)
-    guess[order[later]] = sorted_[later - 1]
-    return _GUESS[often, guess ^ byte].view(np.int8).reshape(n, 8), np.where(often > 2, 2, np.minimum(often, 1)).astype(np.uint8)
+    to = order.take(later)
+    often[to] = np.minimum(inner.take(later - 1) + 1, 8)
+    guess[to] = sorted_.take(later - 1)
+    return often.astype(np.int16) << 8 | (guess ^ byte), np.where(often > 2, 2, np.minimum(often, 1)).astype(np.uint8)
 
 
-def learn_along(inputs: list[np.ndarray], gate: np.ndarray, off: np.ndarray, step: np.float32 = STEP, lanes: int = 64) -> np.ndarray:
-    """The natural logarithm of each text's probability. ``inputs``: what each predictor says of each bit of all streams as it is, in UNITs; ``gate``: of each byte.
-    Texts of about one length go through their chunks side by side, so many at a time; each has weights of its own."""
+def learn_along(inputs: list[tuple[np.ndarray, np.ndarray]], gate: np.ndarray, off: np.ndarray, step: np.float32 = STEP, lanes: int = 64) -> np.ndarray:
+    """The natural logarithm of each text's probability. ``inputs``: for each predictor, what it says of each bit as it is, in UNITs, as a table and the row of each
+    byte of all streams; ``gate``: of each byte. Texts of about one length go through their chunks side by side, so many at a time; each has weights of
+    its own."""
     by = np.argsort(-np.diff(off), kind="stable")
-    words = [np.ascontiguousarray(x).view(np.int64).ravel() for x in inputs]
+    inputs = [(table.view(np.int64).ravel(), row) for table, row in inputs]
     out = np.zeros(len(by))
     for k in range(0, len(by), lanes):
         some = by[k : k + lanes]
-        out[some] = _along(words, gate, off[some], off[some + 1] - off[some], step * UNIT * UNIT)
+        out[some] = _along(inputs, gate, off[some], off[some + 1] - off[some], step * UNIT * UNIT)
     return out
 
 
-def _along(words: list[np.ndarray], gate: np.ndarray, start: np.ndarray, size: np.ndarray, step: np.float32) -> np.ndarray:
+def _along(inputs: list[tuple[np.ndarray, np.ndarray]], gate: np.ndarray, start: np.ndarray, size: np.ndarray, step: np.float32) -> np.ndarray:
     """Texts of descending size. Weights are kept in UNITs; the bits of a byte are apart (first axis), so that all else is one long row."""
-    gates = START.reshape(-1, len(words)).shape[0]
-    weights = np.tile(START.reshape(-1, len(words)) * UNIT, (len(start), 1))
+    first = START.reshape(-1, len(inputs))
+    gates = len(first)
+    weights = [np.tile(first[:, j] * UNIT, len(start)) for j in range(len(inputs))]
     total, inner, part = np.zeros(len(start)), np.arange(CHUNK), np.empty((8, CHUNK * len(start)), np.float32)
     for k in range(-(-int(size[0]) // CHUNK)):
         live = int(np.searchsorted(-size, -k * CHUNK, "left"))
         here = (inner < (size[:live] - k * CHUNK)[:, None]).ravel()
         at = (start[:live, None] + (k * CHUNK + inner)).ravel()
-        if not here.all():
+        whole = here.all()
+        if not whole:
             at[~here] = 0
-        cell = np.repeat(np.arange(live) * gates, CHUNK) + gate[at]
-        x = [w[at].view(np.int8).reshape(-1, 8).T.astype(np.float32) for w in words]
-        own = weights.take(cell, 0).T
-        dot = x[0] * own[0]
-        for v, w in zip(x[1:], own[1:]):
-            dot += np.multiply(v, w, out=part[:, : len(at)])
-        np.clip(dot, -12, 12, out=dot)
+        cell = np.repeat(np.arange(0, live * gates, gates), CHUNK)
+        cell += gate.take(at)
+        x = [np.ascontiguousarray(table.take(row.take(at)).view(np.int8).reshape(-1, 8).T).astype(np.float32) for table, row in inputs]
+        dot = x[0] * weights[0].take(cell)
+        scratch = part[:, : len(at)]
+        for v, w in zip(x[1:], weights[1:]):
+            dot += np.multiply(v, w.take(cell), out=scratch)
+        np.clip(dot, -10, 10, out=dot)
         np.exp(np.negative(dot, out=dot), out=dot)
         dot += 1
         p = np.reciprocal(dot, out=dot)
-        cost = np.log(p[0] * p[1] * p[2] * p[3]) + np.log(p[4] * p[5] * p[6] * p[7])
+        half = np.multiply(p[:4], p[4:], out=scratch[:4])  # eight probabilities of 4e-5 or more have a product that is held
+        np.multiply(half[:2], half[2:], out=half[:2])
+        cost = np.log(half[0] * half[1])
         error = np.subtract(1, p, out=p)
-        if not here.all():
+        if not whole:
             cost *= here
             error *= here
         total[:live] += cost.reshape(live, CHUNK).sum(1, dtype=np.float64)
-        for j, v in enumerate(x):
+        for v, w in zip(x, weights):
             v *= error
-            v = v[:4] + v[4:]
-            v = v[:2] + v[2:]
-            weights[: live * gates, j] += step * np.bincount(cell, v[0] + v[1], live * gates).astype(np.float32)
-        np.clip(weights, -UNIT, 3 * UNIT, out=weights)
+            np.add(v[:4], v[4:], out=v[:4])
+            np.add(v[:2], v[2:4], out=v[:2])
+            v[0] += v[1]
+            w[: live * gates] += step * np.bincount(cell, v[0], live * gates).astype(np.float32)
+            np.clip(w, -UNIT, 3 * UNIT, out=w)
     return total
 
 
 # -------------------------------------------------------------------------------------------------------------- scoring
 
 
-def _tokens(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """All words of all texts, and how many each has."""
-    text = pc.ascii_lower(column.combine_chunks().fill_null("").cast(pa.large_string()))
-    parts = pc.ascii_split_whitespace(text)
-    words, own = parts.flatten(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-    real = pc.greater(pc.binary_length(words), 0)
-    return words.filter(real), np.bincount(own[real.to_numpy(zero_copy_only=False)], minlength=len(parts))
-
-
 def _distinct(table: pa.Table):
-    """A block's words as numbers, with the distinct words in an order that depends on the words only."""
-    words, many = _tokens(table["text"])
-    coded = words.dictionary_encode()
+    """A block's distinct words, each with a space after it, in an order that depends on the words only; of all words in order, which they are; and how many
+    each text has."""
+    words = Words(*text_bytes(table["text"]))
+    bounds = np.append(words.start, words.end[-1] + 1) if len(words.start) else np.zeros(1, np.int64)  # words follow each other, a space apart
+    coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(words.buf)]).dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)], many
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)], np.diff(words.first)
 
 
 def _spread(names: pa.Array, buckets: int) -> np.ndarray:
@@ -617,31 +677,40 @@ def _spread(names: pa.Array, buckets: int) -> np.ndarray:
 
 
 class Streams:
-    """The byte strings of a block of texts: the distinct ones in order, the place of each byte's among them, the bytes, and the bounds of texts."""
+    """The byte strings of a block of texts: the distinct ones in order, the bytes, and the bounds of texts; with ``places``, each byte's string
+    among them."""
 
-    def __init__(self, texts, order: int):
+    def __init__(self, texts, order: int, places: bool = True):
         raw, off = text_bytes(texts)
-        parts, bounds = [], [np.zeros(1, np.int64)]
+        parts, lasts, bounds = [np.zeros(0, np.uint64)], [], [np.zeros(1, np.int64)]
+        coded = []
         for i, j in pieces(off, 1_000_000):
             strings, cuts = byte_strings(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), order)
-            coded = pa.array(strings).dictionary_encode()
-            parts.append((coded.dictionary.to_numpy(), coded.indices.to_numpy()))
             bounds.append(bounds[-1][-1] + cuts[1:])
+            if places:
+                coded.append(pa.array(strings).dictionary_encode())
+                parts.append(coded[-1].dictionary.to_numpy())
+            else:
+                parts.append(_counted(strings)[0])
+                lasts.append((strings & np.uint64(255)).astype(np.uint8))
         self.off = np.concatenate(bounds)
-        self.distinct, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
-        first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
-        self.place = np.concatenate([np.zeros(0, np.int32), *(back[k : k + len(p[0])].astype(np.int32)[p[1]] for k, p in zip(first, parts))])
-        self.bytes = (self.distinct & np.uint64(255)).astype(np.uint8)[self.place]
+        if places:
+            self.distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
+            cuts = np.cumsum([len(p) for p in parts])
+            self.place = np.concatenate([np.zeros(0, np.int32), *(back[a:b].astype(np.int32)[c.indices.to_numpy()] for a, b, c in zip(cuts[:-1], cuts[1:], coded))])
+            self.bytes = (self.distinct & np.uint64(255)).astype(np.uint8)[self.place]
+        else:
+            self.distinct = _counted(np.concatenate(parts))[0]
+            self.bytes = np.concatenate([np.zeros(0, np.uint8), *lasts])
 
     def long(self):
-        """Places of long contexts, which entry each is, and the distinct entries: contexts and the two halves of what follows, in order."""
+        """Places of long contexts, which entry each is, and the distinct entries, in order: contexts and what follows."""
         at, ctx = long_contexts(self.bytes, self.off)
-        high, low = following(self.bytes, self.off, at)
-        by = np.lexsort((low, high, ctx))
-        new = np.concatenate([[True], (ctx[by][1:] != ctx[by][:-1]) | (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])])[: len(by)]
+        after = following(self.bytes, self.off, at)
+        by, new = ordered(ctx, after)
         entry = np.empty(len(by), np.int64)
         entry[by] = np.cumsum(new) - 1
-        return at, entry, ctx[by][new], high[by][new], low[by][new]
+        return at, entry, ctx[by][new], after[by][new]
 
 
 def _block_words(order: int, buckets: int):
@@ -652,51 +721,40 @@ def _block_words(order: int, buckets: int):
         names, at, many = _distinct(table)
         train = table["train"].to_numpy()
         counts = np.bincount(at[np.repeat(train, many)], minlength=len(names))
-        streams = Streams(table["text"], order)
-        place, entry, ctx, high, low = streams.long()
+        streams = Streams(table["text"], order, places=False)
+        place, entry, ctx, after = streams.long()
         seen = np.bincount(entry[train[np.searchsorted(streams.off, place, "right") - 1]], minlength=len(ctx))
         keys = [_spread(names, buckets), buckets_of(streams.distinct, buckets), (ctx % np.uint64(buckets)).astype(np.int64)]
-        ids = np.unique(np.concatenate(keys))
-        by = [np.argsort(k, kind="stable") for k in keys]
+        placed = [by_bucket(k) for k in keys]
+        by, ids = [p[0] for p in placed], np.unique(np.concatenate([p[1] for p in placed]))
         cuts = [np.append(np.searchsorted(k[b], ids), len(b)) for k, b in zip(keys, by)]
-        lists = pa.ListArray.from_arrays(pa.array(cuts[0].astype(np.int32)), names.take(pa.array(by[0])).cast(pa.string()))
-        after = np.column_stack([high, low])[by[2]]
+        lists = pa.ListArray.from_arrays(pa.array(cuts[0].astype(np.int32)), names.take(pa.array(by[0])).cast(pa.binary()))
         return pa.table({
-            "bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "words": pc.binary_join(lists, " "), "counts": binary_rows(counts[by[0]].astype(np.int64), cuts[0]),
-            "strings": binary_rows(streams.distinct[by[1]], cuts[1]), "ctx": binary_rows(_six(ctx[by[2]]), cuts[2] * 6), "after": binary_rows(after.ravel(), cuts[2] * 2), "seen": binary_rows(seen[by[2]].astype(np.int32), cuts[2]),
+            "bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "words": pc.binary_join(lists, pa.scalar(b"", pa.binary())).cast(pa.string()), "counts": pack(counts[by[0]].astype(np.int64), cuts[0]),
+            "strings": pack(streams.distinct[by[1]], cuts[1]), "ctx": pack(ctx[by[2]], cuts[2]), "after": pack(after[by[2]].ravel(), cuts[2] * (SPAN // 8)), "seen": pack(seen[by[2]].astype(np.int32), cuts[2]),
         })
 
     return run
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    """The lower six bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _long_replies(ctx: list[bytes], after: list[bytes], seen: list[bytes]) -> list[bytes]:
     """For the long contexts of each block, ``long_counts`` over all blocks, in the block's own order: heads, then bodies."""
-    size = [len(x) // 6 for x in ctx]
-    c, n = _wide(b"".join(ctx)), np.frombuffer(b"".join(seen), np.int32).astype(np.int64)
-    high, low = np.frombuffer(b"".join(after), np.uint64).reshape(-1, 2).T
-    by = np.lexsort((low, high, c))
-    new = np.flatnonzero(np.concatenate([[True], (c[by][1:] != c[by][:-1]) | (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])])[: len(by)])
+    ctx, seen = [unpack(x, np.uint64) for x in ctx], [unpack(x, np.int32) for x in seen]
+    size = [len(x) for x in ctx]
+    c, n = np.concatenate(ctx), np.concatenate(seen).astype(np.int64)
+    after = np.concatenate([unpack(x, np.uint64) for x in after]).reshape(-1, SPAN // 8)
+    by, new = ordered(c, after)
+    new = np.flatnonzero(new)
     entry = np.empty(len(by), np.int64)
     entry[by] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(by))))
     one = by[new]
     total = np.bincount(entry, n, len(one)).astype(np.int64)
-    heads, body = long_counts(c[one], high[one], low[one], total)
+    heads, body = long_counts(c[one], after[one], total)
     row = np.cumsum(heads == 255) - 1
     out, bounds = [], np.concatenate([[0], np.cumsum(size)])
     for i, j in zip(bounds[:-1], bounds[1:]):
         mine = entry[i:j]
-        out.append(heads[mine].tobytes() + body[row[mine][heads[mine] == 255]].tobytes())
+        out.append(zstandard.compress(heads[mine].tobytes() + body[row[mine][heads[mine] == 255]].tobytes(), 1))
     return out
 
 
@@ -705,17 +763,17 @@ def _totals(model):
     back in each block's own order."""
 
     def run(table: pa.Table, learnt: pa.Table) -> pa.Table:
-        parts = [w.split(" ") if w else [] for w in table["words"].to_pylist()]
+        parts = [w[:-1].split(" ") if w else [] for w in table["words"].to_pylist()]
         coded = pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False)
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpack(c, np.int64) for c in table["counts"].to_pylist())])
         total = np.bincount(at, counts, len(coded.dictionary)).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         first = np.zeros(len(parts), np.int64)
         known, tokens = first.copy(), first.copy()
         known[:1], tokens[:1] = np.count_nonzero(total), total.sum()
 
-        blobs = [np.frombuffer(s, np.uint64) for s in table["strings"].to_pylist()]
+        blobs = [unpack(s, np.uint64) for s in table["strings"].to_pylist()]
         every, held, rows = np.zeros(0, np.uint64), [], 0
         for k, blob in enumerate(blobs):
             held.append(blob)
@@ -723,12 +781,12 @@ def _totals(model):
             if rows > HELD or k == len(blobs) - 1:
                 every, held, rows = np.unique(np.concatenate([every, *held])), [], 0
         m = model()
-        for s, c in zip(learnt["strings"].to_pylist(), learnt["counts"].to_pylist()):
-            m.over(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64))
-        said = m.predictions(every)
-        back = pa.array([said[np.searchsorted(every, blob)].tobytes() for blob in blobs], pa.binary())
+        for strings, seen in _blobs(learnt):
+            m.over(strings, seen)
+        said = m.predictions(every).view(np.int64).ravel()
+        back = pa.concat_arrays([pack(said[np.searchsorted(every, blob)], np.array([0, len(blob)])) for blob in blobs])
         long = pa.array(_long_replies(*(table[x].to_pylist() for x in ("ctx", "after", "seen"))), pa.binary())
-        return pa.table({"blk": table["blk"], "bucket": table["bucket"], "totals": binary_rows(total[at], bounds), "said": back, "long": long, "known": known, "tokens": tokens})
+        return pa.table({"blk": table["blk"], "bucket": table["bucket"], "totals": pack(total[at], bounds), "said": back, "long": long, "known": known, "tokens": tokens})
 
     return run
 
@@ -737,36 +795,36 @@ def _score_block(order: int, buckets: int, kind: pa.DataType):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         came = {b: x for b, *x in zip(*(totals[x].to_pylist() for x in ("bucket", "totals", "said", "long")))}
 
-        def back(bucket, which, kind, width):
+        def back(bucket, which):
             by, ids, bounds = by_bucket(bucket)
-            out = np.zeros((len(bucket), width), kind)
+            out = np.zeros(len(bucket), np.int64)
             for b, i, j in zip(ids.tolist(), bounds[:-1], bounds[1:]):
-                out[by[i:j]] = np.frombuffer(came[b][which], kind).reshape(-1, width)
+                out[by[i:j]] = unpack(came[b][which], np.int64)
             return out
 
         names, at, many = _distinct(docs)
-        c = back(_spread(names, buckets), 0, np.int64, 1)[:, 0]
+        c = back(_spread(names, buckets), 0)
         own = np.repeat(np.arange(len(many)), many)
         base = np.bincount(own, np.log10(c + 0.1)[at], len(many))
         known = np.bincount(own, (c > 0)[at].astype(np.float64), len(many))
 
         streams = Streams(docs["text"], order)
-        said = back(buckets_of(streams.distinct, buckets), 1, np.int8, 8)
+        said = back(buckets_of(streams.distinct, buckets), 1)
         place, entry, ctx, *_ = streams.long()
-        head, row, bodies = np.zeros(len(ctx), np.uint8), np.zeros(len(ctx), np.int64), [np.zeros((0, 8 * SPAN), np.uint8)]
+        head, at_body, bodies = np.zeros(len(ctx), np.uint8), np.zeros(len(ctx), np.int64), [np.zeros((0, 8 * SPAN), np.uint8)]
         by, ids, bounds = by_bucket((ctx % np.uint64(buckets)).astype(np.int64))
         held = 0
         for b, i, j in zip(ids.tolist(), bounds[:-1], bounds[1:]):
-            blob = np.frombuffer(came[b][2], np.uint8)
+            blob = np.frombuffer(zstandard.decompress(came[b][2]), np.uint8)
             head[by[i:j]] = blob[: j - i]
             bodies.append(blob[j - i :].reshape(-1, 8 * SPAN))
-            row[by[i:j][blob[: j - i] == 255]] = held + np.arange(len(bodies[-1]))
+            at_body[by[i:j][blob[: j - i] == 255]] = held + np.arange(len(bodies[-1]))
             held += len(bodies[-1])
         body = np.concatenate(bodies)
         heads = head[entry]
-        long, sure = spread_long(streams.bytes, streams.off, place, heads, body[row[entry][heads == 255]])
-        last, often = last_seen(streams.distinct[streams.place], streams.off)
-        score = learn_along([said[streams.place], last, long], (3 * sure + often).astype(np.int64), streams.off) / np.log(10)
+        long, row, sure = spread_long(streams.bytes, streams.off, place, heads, body[at_body[entry][heads == 255]], docs["train"].to_numpy())
+        last, often = last_seen(streams.distinct, streams.place, streams.off)
+        score = learn_along([(said, streams.place), (_GUESS, last), (long, row)], 3 * sure + often, streams.off) / np.log(10)
         n = len(many)
         out = {"doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy()), "words": pa.array(many), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(score), "bytes": pa.array(np.diff(streams.off))}
         stats = {"doc_id": pa.nulls(1, kind), "held_out": pa.nulls(1, pa.bool_()), "words": pa.array([pc.sum(totals["tokens"]).as_py() or 0]), "known": pa.array([pc.sum(totals["known"]).as_py() or 0]), "base": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64()), "bytes": pa.nulls(1, pa.int64())}
