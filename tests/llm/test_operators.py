@@ -54,6 +54,18 @@ def test_components(spark):
     assert all(got.get(i, i) == want[i] for i in range(600))
 
 
+def test_components_with_hubs(spark):
+    """Stars of many nodes around small and around large ones, joined by chains."""
+    rng = random.Random(2)
+    e = [(0, i) for i in range(1, 900)] + [(5000, i) for i in range(2000, 2900)] + [(2950, i) for i in range(2900, 2950)] + [(899, 2000), (2899, 3000)] + [(i, i + 1) for i in range(3000, 3080)] + [(9000, 9001)]
+    e = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in e]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(e, "a long, b long").repartition(9)).collect()}
+    nodes = sorted({n for p in e for n in p})
+    at = {n: k for k, n in enumerate(nodes)}
+    want = local_components(len(nodes), np.array([at[a] for a, _ in e]), np.array([at[b] for _, b in e]))
+    assert all(got.get(n, n) == nodes[want[at[n]]] for n in nodes)
+
+
 def test_mixing(docs, rows):
     out = mixing.mix_sources(docs).toPandas()
     assert sorted(out["size"]) == sorted(len(WORD.findall(t or "")) for _, t, _ in rows)
@@ -79,8 +91,23 @@ def test_mixing(docs, rows):
     again = mixing.mix_sources(docs.repartition(3)).toPandas()
     key = ["doc_id", "size", "taken"]
     assert sorted(map(repr, out[key].values.tolist())) == sorted(map(repr, again[key].values.tolist()))
-    # the mix itself is shuffled by whole rows, so that its end differs
-    assert abs(mixing.take_mix(docs).agg(F.sum(F.regexp_count("text", F.lit(WORD.pattern)))).first()[0] - out["taken"].sum()) <= longest * len(names)
+    check_take(docs)
+
+
+def check_take(docs):
+    """``take_mix`` returns the rows that ``mix_sources`` takes, as often as it takes them, and no other columns."""
+    taken, mix = Counter(), mixing.take_mix(docs)
+    for r in mixing.mix_sources(docs).filter("size > 0").collect():
+        taken[r.doc_id, r.source, r.size] += r.taken // r.size
+    got = mix.withColumn("words", F.regexp_count("text", F.lit(WORD.pattern))).collect()
+    assert Counter((r.doc_id, r.source, r.words) for r in got) == +taken and mix.columns == docs.columns
+
+
+def test_mixing_takes_repeated_rows(spark):
+    rows = [(1, "a b c d e f g h i", "x", 0)] * 4 + [(2, "a b", "x", 1), (3, "c d e", "y", 2), (None, "w " * 40, None, 3), (None, "v " * 40, None, 4), (5, None, "y", 5), (6, " ", "y", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rk long").withColumns({c: F.lit(1) for c in ("rk__", "times", "many", "copy__", "size")})
+    check_take(df)
+    assert mixing.take_mix(df.limit(0)).isEmpty() and mixing.mix_sources(df.limit(0)).isEmpty()
 
 
 def test_mixing_small_budget_range(spark):
@@ -132,6 +159,156 @@ def test_lm(docs, rows):
     assert len(alike) == 2 and alike["score"].nunique() == 1
 
 
+def test_bpe_keeps_no_long_pieces(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = bpe.Encoder(bpe.read_ranks(None, path), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    for _ in range(50):
+        enc.encode(" ".join("".join(rng.choices("abcxyz", k=n)) for n in (3, 60, 900)))
+    assert max(len(w) for m in (enc.pieces, enc.first, enc.later) for w in m) <= bpe.LONGEST
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).isEmpty()
+
+
+def brute_lm(texts, train, model, order):
+    """log10 of the probability of each text, bit by bit."""
+    ln = lambda a, b: math.log(a / b)
+    streams = ["".join(w + " " for w in WORD.findall((t or "").translate(LOW))).encode() + b"\0" for t in texts]
+    seen, after = defaultdict(lambda: [0, 0]), defaultdict(Counter)
+
+    def chosen(b, t):
+        h = 0
+        for x in b[t - lm.REACH : t]:
+            h = (h * int(lm._A) + x + 1) % 2**64
+        h = (h ^ h >> 31) * int(lm._B) % 2**64
+        h ^= h >> 29
+        return h >> 16 if h % lm.EVERY == 0 else None
+
+    for b, known in zip(streams, train):
+        padded = b"\0" * order + b
+        for t in range(len(b)):
+            for k in range(order + 1) if known else ():
+                ctx = padded[t + order - k : t + order]
+                for i in range(8):
+                    seen[ctx, k, (b[t] | 256) >> (8 - i)][b[t] >> (7 - i) & 1] += 1
+            if known and t >= lm.REACH and (c := chosen(b, t)) is not None:
+                after[c][b[t : t + lm.SPAN].ljust(lm.SPAN, b"\0")] += 1
+    few = lambda n: max(x for x in lm._FEW.tolist() if x <= n)
+    unit, out = 12 / 127, []
+    for b, known in zip(streams, train):
+        padded, total, last = b"\0" * order + b, 0.0, {}
+        weights = lm.START.astype(float).reshape(9, 3).tolist()
+        steps, start, entries = [[0.0] * 3 for _ in range(9)], None, None
+        for t in range(len(b)):
+            if t >= lm.REACH and (c := chosen(b, t)) is not None:
+                start, entries = t, after.get(c, Counter())
+            ctx5 = padded[t : t + order]
+            guess, often = last.get(ctx5, (0, 0))
+            far = start is not None and t < start + lm.SPAN
+            sure = 0
+            for i in range(8):
+                bit, node = b[t] >> (7 - i) & 1, (b[t] | 256) >> (8 - i)
+                dot, above = 0.0, 0
+                for k in range(order, -1, -1):
+                    n0, n1 = (float(lm._LEVELS[lm.to_levels(np.array([n]))[0]]) for n in seen[padded[t + order - k : t + order], k, node])
+                    x = ln(n1 + model.delta, n0 + model.delta) if n0 + n1 else 0.0
+                    gate = min(math.ceil(math.log2(n0 + n1 + 1)), lm.GATES - 1)
+                    dot += float(model.weights[k, gate, above]) * x
+                    above = 0 if not n0 + n1 else 1 if n0 + n1 <= 3 else 2 if not min(n0, n1) else 3
+                dot = min(max(dot, -12), 12)
+                g = (dot + 12) * 32 / 24
+                low = min(int(g), 31)
+                p = (1 / (1 + math.exp(-dot)) + model.refine[node, low] * (1 - g + low) + model.refine[node, low + 1] * (g - low)) / 2
+                p = min(max(p, 1e-6), 1 - 1e-6)
+                first = min(max(round(ln(p, 1 - p) / unit), -127), 127) * (2 * bit - 1)
+                upper = (guess ^ b[t]) >> (7 - i)
+                second = round(ln(min(often, 8) + 0.4, 0.4) / unit) * {0: 1, 1: -1}.get(upper, 0)
+                third = 0
+                if far:
+                    sofar = int.from_bytes(b[start:t], "big") << 8 | b[t]
+                    d = 8 * (t - start) + i
+                    value = sofar >> (7 - i)
+                    n = [0, 0]
+                    for e, m in entries.items():
+                        mine = int.from_bytes(e, "big") >> (8 * lm.SPAN - d - 1)
+                        if mine >> 1 == value >> 1:
+                            n[mine & 1] += m
+                    n = [few(x) for x in n]
+                    n[bit] -= known and 0 < n[bit] <= 8  # its own
+                    third = min(max(round(ln(n[bit] + 0.05, n[1 - bit] + 0.05) / unit), -127), 127)
+                    if not i:
+                        sure = min(sum(n), 2)
+                cell = 3 * sure + (0 if not often else 1 if often <= 2 else 2)
+                xs = [first * unit, second * unit, third * unit]
+                dot = min(max(sum(w * x for w, x in zip(weights[cell], xs)), -10), 10)
+                total -= math.log1p(math.exp(-dot))
+                for j in range(3):
+                    steps[cell][j] += xs[j] / (1 + math.exp(dot))
+            last[ctx5] = (b[t], min(often + 1, 8) if often and guess == b[t] else 1)
+            if (t + 1) % lm.CHUNK == 0:
+                weights = [[min(max(w + float(lm.STEP) * s, -1), 3) for w, s in zip(a, c)] for a, c in zip(weights, steps)]
+                steps = [[0.0] * 3 for _ in range(9)]
+        out.append(total / math.log(10))
+    return out
+
+
+@pytest.fixture(scope="module")
+def lm_texts(rows):
+    texts = [(t or "")[:700] for _, t, _ in rows[:24]]
+    texts += [texts[2], texts[2][:300] + texts[5][300:], texts[7], "", " ", None, "x", texts[9] + "\n" + texts[9], texts[3] + " and so on"]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def test_lm_against_brute_force(spark, lm_texts):
+    """At the query's order, with long contexts that several texts go on from differently."""
+    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in lm_texts]
+    df = spark.createDataFrame(lm_texts, "doc_id long, text string")
+    model = lm.train(df.filter(F.col("doc_id").isin([i for (i, _), k in zip(lm_texts, train) if k])).select(F.coalesce("text", F.lit("")).alias("text"))).model()
+    got = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    want = brute_lm([t for _, t in lm_texts], train, model, 5)
+    assert np.allclose([got[i].score for i, _ in lm_texts], want, rtol=2e-4, atol=1e-3)
+    for (i, t), x in zip(lm_texts, want):
+        n = len("".join(w + " " for w in WORD.findall(t or "")).encode()) + 1
+        assert got[i].n_bytes == n and math.isclose(got[i].bits_per_byte, -got[i].score * math.log2(10) / n)
+    assert len(set(train)) == 2 and abs(brute_lm([lm_texts[24][1]], [True], model, 5)[0] - want[24]) > 1
+
+
+def test_lm_scores_do_not_follow_the_layout(spark, docs, monkeypatch):
+    """The same scores from any number of partitions; and nearly the same from small blocks, in other buckets."""
+    monkeypatch.setattr(lm, "BUCKET", 150_000)
+    score = lambda df: df.toPandas().sort_values(["doc_id", "n_bytes", "score"])["score"].to_numpy()
+    a = score(lm.score_documents(docs))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        b = score(lm.score_documents(docs.repartition(3)))
+        monkeypatch.setattr(lm, "BLOCK", 40_000)
+        c = score(lm.score_documents(docs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert np.allclose(a, b, rtol=1e-5) and np.allclose(a, c, rtol=1e-5)
+
+
+def test_lm_without_training_rows_or_rows(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    out = lm.score_documents(spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string")).collect()
+    assert len(out) == len(ids) and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in out)
+    assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_lm_learns_along_the_text_and_knows_copies(spark):
+    """Repetition within a text, and a copy among the training texts, cost less."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(60)]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:20]
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 != 0]
+    once = " ".join(word() for _ in range(60))
+    data = [*zip(free, texts), *((i, texts[k] if k < 8 else " ".join(word() for _ in range(150))) for k, i in enumerate(held[:16])), (held[16], " ".join([once] * 6)), (held[17], once)]
+    bits = {r.doc_id: r.bits_per_byte for r in lm.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert max(bits[i] for i in held[:8]) < min(bits[i] for i in held[8:16]) and bits[held[16]] < 0.5 * bits[held[17]]
+
+
 def test_lm_model_is_a_distribution(docs):
     """The probabilities of all bytes after any context add up to 1."""
     model = lm.train(docs.select(F.coalesce("text", F.lit("")).alias("text")), order=3)()
@@ -151,7 +328,7 @@ def test_lm_counts_are_exact(spark):
     assert np.ptp(learnt().log10(strings)) < 1e-9
     buckets = {}
     for r in learnt.strings.collect():
-        for x in np.frombuffer(r["strings"], np.uint64).tolist():
+        for x in lm.unpack(r["strings"], np.uint64).tolist():
             assert buckets.setdefault(x >> 8 & 0xFFFFFF, r["bucket"]) == r["bucket"]
     model, seen = learnt(), Counter()
     for t in texts:
@@ -181,7 +358,11 @@ def brute_suffix(rows, n=50):
     return sorted(out)
 
 
-def test_suffix(spark, rows):
+@pytest.mark.parametrize("size", [3_000, 5_000_000])
+def test_suffix(spark, rows, monkeypatch, size):
+    """In many small blocks, and in one."""
+    for name, times in (("BLOCK", 1), ("SEGMENTS", 2), ("ANCHORS", 4)):
+        monkeypatch.setattr(suffix, name, size * times)
     rng = random.Random(5)
     base = " ".join(t for _, t, _ in rows[:20])
     some = [(i, t) for i, t, _ in rows[:60]] + ODD + [(7001, "a" * 1000), (7002, "a" * 49), (7003, "b" + "a" * 60 + "c"), (7004, "ab" * 300), (3, "ab" * 40)]
@@ -198,12 +379,13 @@ def test_suffix_order_survives_collisions(monkeypatch):
     buf = rng.integers(0, 3, 4000).astype(np.uint8)
     at, group = rng.permutation(3900)[:900], np.sort(rng.integers(0, 9, 900))
     for broken in (False, True):
-        s = suffix.Suffixes(buf, 12)
-        if broken:
-            monkeypatch.setattr(s, "extension", lambda x, y: np.full(len(x), 12))
-        order, runs = s.verified_runs(at, group)
-        keys = [(group[k], buf[at[i] : at[i] + 12].tobytes()) for k, i in enumerate(order)]
-        assert keys == sorted(keys) and set(runs) == {k for k in range(900) if not k or keys[k] != keys[k - 1]}
+        for length in (np.full(900, 12), 8 + group):
+            s = suffix.Suffixes(buf)
+            if broken:
+                monkeypatch.setattr(s, "extension", lambda x, y, n: n)
+            order, runs = s.verified_runs(at, group, length)
+            keys = [(group[k], buf[at[i] : at[i] + length[k]].tobytes()) for k, i in enumerate(order)]
+            assert keys == sorted(keys) and set(runs) == {k for k in range(900) if not k or keys[k] != keys[k - 1]}
 
 
 def test_top_k(spark):
@@ -223,6 +405,21 @@ def test_top_k(spark):
             want[i] += [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items() if v}
     assert topk.top_k(df.limit(0)).isEmpty()
+    with pytest.raises(Exception, match="63 bits"):
+        topk.top_k(spark.createDataFrame([(0, [4e6] * 64), (1, [4e6] * 64)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_in_chunks_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(900, 6)) * rng.lognormal(size=(900, 1)) * 40).astype(int)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    got = defaultdict(list)
+    for r in topk.top_k(df, k=7, every=9, scale=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in range(0, 900, 9):
+        assert got[q] == [(s, i) for s, i in sorted(((int(x[q] @ x[i]), i) for i in range(900) if i != q), key=lambda p: (-p[0], p[1]))[:7]]
 
 
 def fingerprint(text):
@@ -260,6 +457,41 @@ def test_simhash_large_entries(spark):
     assert len({(mine[int(x)], c) for x, c in zip(f.view(np.int64), root)}) == len(set(root)) == len(set(mine.values()))
 
 
+def test_simhash_entries_of_look_ups_only():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    a, b = simhash._large_entry(0, fp, np.ones(200, bool))
+    assert not len(a) and not len(b)
+    key = np.zeros(200, np.int64)
+    assert not len(simhash._entry_links(key, fp, np.ones(200, bool))[0])
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_simhash_hot_entries_are_split(spark, monkeypatch, hot):
+    """One segment that almost all fingerprints share: found components equal those of all pairs."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(9)
+    low, got = rng.getrandbits(32), [rng.getrandbits(32)]
+    for _ in range(700):
+        x = rng.choice(got)
+        for _ in range(rng.randint(1, 4)):
+            x ^= 1 << rng.randrange(32)
+        got.append(x)
+    f = np.array([(x << 32) | (low ^ (1 << rng.randrange(32)) if k % 5 == 0 else low) for k, x in enumerate(dict.fromkeys(got))], np.uint64)
+    f = np.unique(np.concatenate([f, [(int(x) >> 32) | (int(x) & 0xFFFFFFFF) << 32 for x in f[:200]]]).astype(np.uint64))
+    root = local_components(len(f), *np.nonzero(np.bitwise_count(f[:, None] ^ f) <= 2))
+    out = simhash.fingerprint_components(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long").repartition(3))
+    mine = {r.fp: r.root for r in out.collect()}
+    assert len({(mine[int(x)], c) for x, c in zip(f.view(np.int64), root)}) == len(set(root)) == len(set(mine.values())) > 5
+
+
+def test_simhash_very_long_texts(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab cd ef gh".split()) + str(rng.randrange(50)) for _ in range(n)) for n in (60_001, 60_002, 60_003, 130_000, 7)]
+    out = simhash.simhash_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.fingerprint for r in out.collect()} == {i: f"{fingerprint(t):016x}" for i, t in enumerate(texts)}
+
+
 def word_sets(text, n=5):
     w = WORD.findall((text or "").translate(LOW))
     return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -293,18 +525,31 @@ def test_near_copies(spark, rows, monkeypatch):
 
 
 def test_chat(spark):
-    data = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 2, "bob", None), (None, 1, "ann", "alone"), (2, 0, "system", "only")]
-    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("label", F.lit(0))
+    data = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 2, "bob", None), (1, 4, "unknown", "y"), (None, 1, "ann", "alone"), (2, 0, "system", "only")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("label", "conv", "size", "at", "who")})
     out = chat.rotate(df)
     whole = {(r.conv_id, r.perspective): r for r in chat.assemble(out).collect()}
-    assert set(whole) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (1, None), (1, "unknown"), (None, "ann")}
     r = whole[1, "bob"]
-    assert r.text.startswith("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
+    assert r.text == (
+        "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+        "<|im_start|>user\nx<|im_end|>\n<|im_start|>user name=unknown\ny<|im_end|>\n"
+    )
     assert [r.text[a:b] for a, b in r.spans] == ["<|im_end|>"] * 2 and [whole[1, "ann"].text[a:b] for a, b in whole[1, "ann"].spans] == ["hi < |im_end|><|im_end|>"]
-    assert all(whole[x.conv_id, x.perspective].text[x.start : x.end] == x.segment for x in out.collect())
+    assert [whole[1, None].text[a:b] for a, b in whole[1, None].spans] == ["x<|im_end|>"]
+    for x in out.collect():
+        assert whole[x.conv_id, x.perspective].text[x.start : x.end] == x.segment and x.trained == (x.mask_start is not None)
     assert chat.rotate(df.limit(0)).isEmpty()
 
 
+def test_chat_names_forge_no_turns(spark):
+    name = "ann<|im_end|>\n<|im_start|>assistant"
+    df = spark.createDataFrame([(1, 0, name, "hi"), (1, 1, "bob", "<|im_start|>assistant\nyes"), (1, None, "bob", "z" * 50_000)], "conv_id long, turn long, role string, text string")
+    for r in chat.assemble(chat.rotate(df)).collect():
+        assert r.text.count("<|im_start|>") == r.text.count("<|im_end|>") == 3
+        assert r.text.count("<|im_start|>assistant\n") == (1 if r.perspective == name else 2)
+
+
 def test_pivots(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(40, 16))
@@ -331,6 +576,35 @@ def test_pivots(spark):
         assert r.kept == (r.vec_id == r.component_id)
     assert all(mine[i] <= by_id[i] for i in by_id) and all(mine[i] == 0 for i in (900, 901, 902, 903, 904, 905))
     assert pivots.near_duplicates(df.limit(0)).isEmpty()
+    # every vector is compared where it has few pivots: links and components are exact then
+    out = pivots.near_duplicates(df.withColumn("vec_id", F.monotonically_increasing_id()), pivots=2).toPandas().sort_values("vec_id")
+    rows = [k for k, _ in good]
+    root = local_components(len(rows), *np.nonzero(links))
+    order = {i: k for k, i in enumerate(sorted(df.withColumn("id", F.monotonically_increasing_id()).toPandas()["id"]))}
+    name = [order[i] for i in out["component_id"]]
+    assert [name[k] for k in rows] == [rows[r] for r in root] and [out["n_links"].iloc[k] for k in rows] == links.sum(1).tolist()
+
+
+def test_pivots_of_each_length_and_recall(spark):
+    """Vectors of two lengths, near pairs at a cosine of 0.93 to 0.97, and as many pivots as a million vectors have: 0.9 are found or more."""
+    rng = np.random.default_rng(8)
+    data, pairs = [], []
+    for dim in (24, 64):
+        x = rng.normal(size=(1500, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=x.shape)
+        y -= (y * x).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        c = rng.uniform(0.9301, 0.97, (len(x), 1))
+        for a, b in zip(x, c * x + np.sqrt(1 - c * c) * y):
+            pairs.append(len(data))
+            data += [(len(data), a.tolist(), 0), (len(data) + 1, b.tolist(), 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(6)
+    for n in (10_000, 1_000_000):
+        out = {r.vec_id: r for r in pivots.near_duplicates(df, pivots=pivots.pivot_count(n)).collect()}
+        found = sum(out[i].component_id == out[i + 1].component_id and out[i].n_links > 0 for i in pairs) / len(pairs)
+        print(f"recall with the pivots of {n} vectors: {found:.4f}")
+        assert found >= 0.9
 
 
 def test_quality(spark, docs):
@@ -343,7 +617,73 @@ def test_quality(spark, docs):
     assert (held["predicted"] == held["quality"]).mean() > 0.8  # of some twenty rows
     none = quality.classify(docs, labels.limit(0)).toPandas()
     assert np.allclose(none["score"], 0.5) and quality.classify(docs.limit(0), labels).isEmpty()
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.keep_good(docs, labels).columns == docs.columns and quality.keep_good(docs.limit(0), labels).isEmpty()
+    # ids that repeat teach the same, however the table lies
+    twice = docs.unionByName(docs)
+    models = [quality.train(d, labels, most=100) for d in (twice, twice.repartition(7))]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].tables, models[1].tables))
+
+
+def brute_gam(x, y, bins, rounds, rate, reg):
+    """Cyclic boosting of trees of up to three leaves over one feature at a time, cut by cut, row by row."""
+    base = math.log((y.sum() + 0.5) / (len(y) + 0.5 - y.sum()))
+    f = [base] * len(y)
+    edges = [sorted(set(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for k in range(x.shape[1])]
+    at = [[sum(v >= e for e in edges[k]) for v in x[:, k]] for k in range(x.shape[1])]
+    for _ in range(rounds):
+        for k in range(x.shape[1]):
+            p = [1 / (1 + math.exp(-v)) for v in f]
+            g, h = [a - b for a, b in zip(y, p)], [max(b * (1 - b), 1e-6) for b in p]
+            sums = lambda a, b, v: sum(w for w, t in zip(v, at[k]) if a <= t < b)  # noqa: E731, B023
+            gain = lambda a, b: sums(a, b, g) ** 2 / (sums(a, b, h) + reg)  # noqa: E731, B023
+            spans = [(0, len(edges[k]) + 1)]
+            while len(spans) < 3:
+                cuts = [(gain(a, m) + gain(m, b) - gain(a, b), a, m, b) for a, b in spans for m in range(a + 1, b) if sums(a, m, h) >= 2 and sums(m, b, h) >= 2]
+                won = max(cuts, default=(0,))
+                if won[0] <= 1e-9:
+                    break
+                spans.remove((won[1], won[3]))
+                spans += [(won[1], won[2]), (won[2], won[3])]
+            for a, b in spans:
+                step = rate * sums(a, b, g) / (sums(a, b, h) + reg)
+                f = [v + step if a <= t < b else v for v, t in zip(f, at[k])]
+    return [1 / (1 + math.exp(-v)) for v in f]
+
+
+def test_quality_boosting_against_brute_force():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 3))
+    y = (x[:, 0] + np.abs(x[:, 1]) + rng.normal(size=150) * 0.4 > 0.7).astype(float)
+    model = quality.fit(x, y, bins=9, rounds=5, pairs=0)
+    assert np.allclose(model.score(x), brute_gam(x, y, 9, 5, 0.12, 4.0), atol=1e-9)
+    with_pairs = quality.fit(x, y, bins=9, rounds=5)
+    loss = lambda m: -np.log(np.where(y == 1, m.score(x), 1 - m.score(x))).mean()
+    assert with_pairs.pairs and loss(with_pairs) < loss(model)
+
+
+def brute_features(text):
+    raw = (text or "").encode()
+    words = [w.encode() for w in WORD.findall((text or "").translate(LOW))]
+    n, w = max(len(raw), 1), max(len(words), 1)
+    if not raw:
+        return {}
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    upper, lower = share(range(65, 91)), share(range(97, 123))
+    return {
+        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(words)), "word_length": sum(map(len, words)) / w, "upper": upper / max(upper + lower, 1), "digits": share(range(48, 58)) / n,
+        "exclaims": share(b"!") / n, "commas": share(b",") / w, "entropy": -sum(c / n * math.log2(c / n) for c in Counter(raw).values()), "distinct_words": len(set(words)) / w,
+        "top_word": max(Counter(words).values(), default=0) / w, "repeats": sum(a == b for a, b in zip(words, words[1:])) / w, "distinct_pairs": len(set(zip(words, words[1:]))) / max(len(words) - 1, 1),
+    }
+
+
+def test_quality_features_against_brute_force(rows):
+    texts = [t for _, t, _ in rows]
+    raw = "".join(t or "" for t in texts).encode()
+    off = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in texts])])
+    got = quality.features(np.frombuffer(raw, np.uint8), off)
+    for t, x in zip(texts, got):
+        for name, value in brute_features(t).items():
+            assert math.isclose(x[quality.FEATURES.index(name)], value, abs_tol=1e-9), (name, t)
 
 
 def brute_lines(rows, threshold=0.8):
@@ -387,9 +727,27 @@ def test_lines(spark, rows):
     assert [r.text for r in twice] == ["same line here"] * 2 and lines.dedup_lines(df.limit(0)).isEmpty()
 
 
+def test_lines_with_equal_hashes_stay(spark, monkeypatch):
+    """Lines whose 64 bits agree by accident are told apart by 32 further bits."""
+    real = lines.xxhash.xxh3_128_digest
+
+    def weak(x):
+        return b"\1" * 8 + real(x)[8:] if bytes(x).startswith(b"clash") else real(x)
+
+    monkeypatch.setattr(lines.xxhash, "xxh3_128_digest", weak)
+    a, b = lines.line_hashes(np.frombuffer(b"clash one and more|clash two and others", np.uint8), np.array([0, 19]), np.array([18, 39]))
+    assert a[0] == a[1] and b[0] != b[1]
+
+
 def test_lines_in_blocks(spark, monkeypatch):
+    """Groups of several blocks, with lines like the centre of their group and lines apart from it."""
     monkeypatch.setattr(lines, "BLOCK", 7)
     rng = random.Random(8)
     base = "the quick brown fox jumps over the lazy dog and then some more words follow it"
-    some = [(i, base[: (p := rng.randrange(len(base)))] + rng.choice("xyz") + base[p + 1 :]) for i in range(60)]
+    some = []
+    for i in range(160):
+        y = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            y[rng.randrange(len(y))] = rng.choice("xyz")
+        some.append((i, "".join(y)))
     assert sorted((repr(r.doc_id), r.text or "") for r in lines.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()) == brute_lines(some)
