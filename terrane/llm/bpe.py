@@ -7,7 +7,7 @@ merging by rank would leave the boundary between them, which is decided by undoi
 rank down; decisions are memoised. A sequence whose neighbours are all compatible is the one that the merges produce, and
 every byte position is given up at most once, so that the work is linear in the piece.
 
-Encoded pieces are memoised per worker in a dictionary of bounded size.
+Encoded pieces are memoised per worker in dictionaries of bounded size: so many entries, none of them long.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import binary_rows, ranges
 
-#: Pieces that a worker remembers; when there are more, it starts anew.
-MEMO = 400_000
+#: Pieces that a worker remembers, and their characters at most; when there are more, it starts anew, and longer ones aren't kept.
+MEMO, LONGEST = 400_000, 48
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -141,6 +141,8 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         """The ids of a piece as 32-bit numbers."""
         got = self.pieces.get(piece)
+        if got is None and len(piece) > LONGEST:
+            return array("i", self.encode_piece(piece)).tobytes()
         if got is None:
             if len(self.pieces) > MEMO:
                 self.pieces.clear()
@@ -159,7 +161,9 @@ class Encoder:
                     ids = memo.get(w)
                     if ids is None:
                         parts = [lead + w] if self.letters and w.isascii() and w.isalpha() else self.findall(lead + w)
-                        ids = memo[w] = b"".join(map(self.piece, parts))
+                        ids = b"".join(map(self.piece, parts))
+                        if len(w) <= LONGEST:
+                            memo[w] = ids
                     got[i] = ids
         return got
 
