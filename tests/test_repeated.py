@@ -23,7 +23,7 @@ def repeated(tmp_path_factory):
     return str(folder), con
 
 
-NAMES = ["m4_polygons", "m9_area_relations"]
+NAMES = ["m4_polygons", "m9_area_relations", "p5_containing_relations"]
 
 
 @pytest.mark.parametrize("name", NAMES)
