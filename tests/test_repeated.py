@@ -25,7 +25,7 @@ def repeated(tmp_path_factory):
     return str(folder), con
 
 
-NAMES = ["m4_polygons", "m9_area_relations", "p5_containing_relations", "j12_spatial_join"]
+NAMES = ["m4_polygons", "m9_area_relations", "p5_containing_relations", "j12_spatial_join", "p5_points_in_relations"]
 
 
 @pytest.mark.parametrize("name", NAMES)
