@@ -3,16 +3,18 @@
 Each 50-byte window belongs to the 24-byte string of least hash in it, its anchor; equal windows have equal anchors at equal places. So
 windows meet by anchor, and a run of neighbouring windows with the same anchor travels as one segment:
 
-1. distinct anchor hashes of a block of documents meet by hash; a bit for each says whether another document has it;
-2. segments of such anchors, distinct within their block and with its smallest id, meet by hash. There suffixes are sorted, first those that
-   are whole segments, then those at which the windows of segments that differ start: comparisons find the common extension by
-   binary search over prefix polynomial hashes, in a merge sort that runs over all groups at once. The bytes of every two
-   neighbours are then compared, so that a collision can't pass (a group with one is sorted by its bytes). Runs of equal
-   segments, then of equal windows, get their smallest id;
+1. distinct anchor hashes of a block of documents meet by hash, with how often they occur; two bits for each say whether another document
+   has it, and whether it is hot, that is, in very many windows' runs of the corpus;
+2. segments of such anchors, distinct within their block and with its smallest id, meet by the anchor's hash; a hot anchor, which would bring
+   all that stands around a frequent passage to one place, has each of its windows as a segment, and these meet by the window's hash. There
+   suffixes are sorted, first those that are whole segments, then those at which the windows of segments that differ start: by eight
+   bytes at a time from the left, for all groups at once, so that only what agrees so far is looked at further. Runs of equal segments, then
+   of equal windows, get their smallest id;
 3. a bit for each window returns to the block: there is a smaller id.
 
 Blocks are numbered by a hash of the id and dealt out once; how many there are, and how many buckets, follows from the size of the texts
-alone, so that tasks are of one size at every scale. What is exchanged is in blobs whose order both sides know, so that answers are bits. A
+alone, so that tasks are of one size at every scale. What is exchanged is in blobs whose order both sides know, so that answers are bits; it follows from
+ids and texts, not from the order in which rows are fetched. A
 string with any number of copies costs one entry for each block.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,28 @@ from .common import binary_rows, block_of, pieces, ranges, text_bytes, text_size
 ANCHOR = 24
 #: Bytes of text for each block, each bucket of segments and each bucket of anchors.
 BLOCK, SEGMENTS, ANCHORS = 5_000_000, 8_000_000, 40_000_000
+#: An anchor of about as many runs of windows is hot. (Blocks give their counts rounded down to powers of two, 2**15 at most.)
+HOT = 16_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Stands for a null id, which is larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 
 
+def words_of(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of ``raw``, as little-endian numbers."""
+    return np.ndarray((max(0, len(raw) - 7),), "<u8", raw, 0, (1,))
+
+
+def hashes(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes (eight or more) from each place, by all of ``words_of``; the same wherever they are."""
+    h = np.zeros(len(at), np.uint64)
+    for k in range(0, size, 8):
+        h = (h ^ words[at + min(k, size - 8)]) * _MIX
+        h ^= h >> np.uint64(32)
+    return h * _R
+
+
 def anchor_runs(raw: np.ndarray, off: np.ndarray, length: int):
     """(text, first window, last window, anchor, anchor's hash) of each run of windows with one anchor."""
     none = np.zeros(0, np.int64)
@@ -68,11 +87,14 @@ def anchor_runs(raw: np.ndarray, off: np.ndarray, length: int):
 
 
 class Block:
-    """The anchors of a block of texts and the order in which what they stand for is exchanged."""
+    """The anchors of a block of texts and the order in which what they stand for is exchanged. Its rows, which come in another order each time that they
+    are fetched, are in order of id and text here."""
 
     def __init__(self, table: pa.Table, buckets: int, length: int):
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+        self.doc_id = table["doc_id"]
         self.raw, self.off = text_bytes(table["text"])
-        ids = table["doc_id"].combine_chunks().cast(pa.int64())
+        ids = self.doc_id.combine_chunks().cast(pa.int64())
         self.ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         self.length, self.buckets = length, buckets
         parts = []
@@ -80,11 +102,10 @@ class Block:
             t, lo, hi, a, h = anchor_runs(self.raw[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i], length)
             parts.append((t + i, lo + self.off[i], hi + self.off[i], a + self.off[i], h))
         self.text, self.lo, self.hi, self.at, self.hash = (np.concatenate(x) for x in zip(*parts)) if parts else anchor_runs(self.raw[:0], np.zeros(1, np.int64), length)
-        bucket = self.bucket_of(self.hash)
-        order = np.lexsort((self.hash, bucket))
+        order = np.argsort((self.hash << np.uint64(40)) | (self.hash >> np.uint64(24)))  # buckets follow from the lower 24 bits
         new = np.concatenate([[True], self.hash[order][1:] != self.hash[order][:-1]]) if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        #: of each run of windows, the number of its anchor hash in the order of (bucket, hash)
+        #: of each run of windows, the number of its anchor hash in an order by bucket
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
         self.distinct = self.hash[order][first]
@@ -93,6 +114,7 @@ class Block:
         if len(first):
             low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
         self.several = low != high
+        self.times = np.diff(np.append(first, len(order)))
 
     def bucket_of(self, h: np.ndarray, buckets: int | None = None) -> np.ndarray:
         return ((h & np.uint64(0xFFFFFF)) * np.uint64(buckets or self.buckets) >> np.uint64(24)).astype(np.int64)
@@ -102,48 +124,63 @@ class Block:
         ids, first = np.unique(self.bucket_of(hashes, buckets), return_index=True)
         return ids, np.append(first, len(hashes))
 
-    def segments(self, shared: np.ndarray, buckets: int):
-        """Of the runs of windows with shared anchors, the distinct contents by bucket: (content of each such run, the runs,
-        per content: smallest id, first window, last window, anchor, hash)."""
+    def segments(self, flags: np.ndarray, buckets: int):
+        """Of the runs of windows with shared anchors, the distinct contents by bucket: (content of each such run, the runs' texts, first windows and
+        last windows, per content: smallest id, first window, last window, anchor, hash). ``flags``: of each anchor, is it shared, is it hot. Each window
+        of a hot anchor is a run of its own, whose hash is that of the window."""
+        shared, hot = flags.reshape(-1, 2).T
         runs = np.flatnonzero(shared[self.number])
+        text, lo, hi, at, h = self.text[runs], self.lo[runs], self.hi[runs], self.at[runs], self.hash[runs]
+        alone = hot[self.number[runs]]
+        if alone.any():
+            many = np.where(alone, hi - lo + 1, 1)
+            text, at, h, alone, hi = (np.repeat(x, many) for x in (text, at, h, alone, hi))
+            lo = ranges(lo, many)
+            hi[alone] = lo[alone]
+            h[alone] = hashes(words_of(self.raw), lo[alone], self.length)
         data = self.raw.tobytes()
-        lo, hi, at = self.lo[runs], self.hi[runs], self.at[runs]
         seen: dict = {}
-        key = np.fromiter((seen.setdefault(data[a : b + self.length], len(seen)) for a, b in zip(lo.tolist(), hi.tolist())), np.int64, len(runs))
-        doc = self.ids[self.text[runs]]
+        key = np.fromiter((seen.setdefault(data[a : b + self.length], len(seen)) for a, b in zip(lo.tolist(), hi.tolist())), np.int64, len(lo))
         least = np.full(len(seen), NULL_ID)
-        np.minimum.at(least, key, doc)
+        np.minimum.at(least, key, self.ids[text])
         first = np.empty(len(seen), np.int64)
-        first[key[::-1]] = np.arange(len(runs))[::-1]
-        order = np.lexsort((first, self.bucket_of(self.hash[runs][first], buckets)))
+        first[key[::-1]] = np.arange(len(lo))[::-1]
+        order = np.lexsort((first, self.bucket_of(h[first], buckets)))
         place = np.empty(len(seen), np.int64)
         place[order] = np.arange(len(seen))
         first = first[order]
-        return place[key], runs, least[order], lo[first], hi[first], at[first], self.hash[runs][first]
+        return place[key], text, lo, hi, least[order], lo[first], hi[first], at[first], h[first]
 
 
 def _anchors(buckets: int, length: int):
     def run(table: pa.Table) -> pa.Table:
         b = Block(table, buckets, length)
         ids, bounds = b.bounds(b.distinct)
-        packed = (b.distinct >> np.uint64(17) << np.uint64(1)) | b.several.astype(np.uint64)
+        log = np.minimum(np.frexp(b.times)[1] - 1, 15)
+        packed = (b.distinct >> np.uint64(21) << np.uint64(5)) | (b.several * 16 + log).astype(np.uint64)
         six = np.ascontiguousarray(packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
         return pa.table({"bucket": pa.array(ids.astype(np.int32)), "blk": pa.array(np.full(len(ids), table["blk"][0].as_py(), np.int32)), "anchors": binary_rows(six, bounds * 6)})
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """For each anchor of each block, whether it is in another document: a bit."""
-    blobs = table["anchors"].to_pylist()
-    n = [len(x) // 6 for x in blobs]
-    wide = np.zeros((sum(n), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    v = wide.view("<u8").ravel()
-    _, at, counts = np.unique(v >> np.uint64(1), return_inverse=True, return_counts=True)
-    flags = (counts > 1) | (np.bincount(at, (v & np.uint64(1)).astype(np.float64), len(counts)) > 0)
-    cuts = np.cumsum(n)[:-1]
-    return pa.table({"blk": table["blk"], "bucket": table["bucket"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(flags[at], cuts)], pa.binary())})
+def _shared(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each anchor of each block, whether it is in another document and whether it is hot: two bits."""
+        blobs = table["anchors"].to_pylist()
+        n = [len(x) // 6 for x in blobs]
+        wide = np.zeros((sum(n), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+        v = wide.view("<u8").ravel()
+        _, at, counts = np.unique(v >> np.uint64(5), return_inverse=True, return_counts=True)
+        several = (v & np.uint64(16)) > 0
+        shared = (counts > 1) | (np.bincount(at, several, len(counts)) > 0)
+        times = np.bincount(at, np.left_shift(1, (v & np.uint64(15)).astype(np.int64)), len(counts))
+        flags = np.stack([shared, shared & (times >= hot)], 1)[at]
+        cuts = np.cumsum(n)[:-1]
+        return pa.table({"blk": table["blk"], "bucket": table["bucket"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(flags, cuts)], pa.binary())})
+
+    return run
 
 
 def _answer(bounds, ids, replies: pa.Table, total: int, sizes=None) -> np.ndarray:
@@ -159,8 +196,7 @@ def _segments(buckets: int, finer: int, length: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         b = Block(docs, buckets, length)
         ids, bounds = b.bounds(b.distinct)
-        mask = _answer(bounds, ids, shared, len(b.distinct))
-        _, _, least, lo, hi, at, h = b.segments(mask, finer)
+        *_, least, lo, hi, at, h = b.segments(_answer(bounds * 2, ids, shared, 2 * len(b.distinct)), finer)
         ids, bounds = b.bounds(h, finer)
         size = hi - lo + length
         text = b.raw[ranges(lo, size)]
@@ -177,110 +213,50 @@ def _segments(buckets: int, finer: int, length: int):
 
 
 class Suffixes:
-    """Compares suffixes of ``buf`` by their first ``length`` bytes (a number for each suffix, or one for all): prefix polynomial hashes,
-    modulo 2**64. Suffixes of a group have one length, of eight or more, and ``buf`` has as many bytes from each."""
+    """Sorts suffixes of ``buf`` by their first ``length`` bytes (a number for each suffix, or one for all). Suffixes of a group have one length, of
+    eight or more, and ``buf`` has as many bytes from each."""
 
     def __init__(self, buf: np.ndarray):
-        self.buf = buf
-        power = np.full(len(buf) + 1, _R)
-        power[0] = 1
-        self.power = np.multiply.accumulate(power, out=power)  # R**i; R is odd, so multiplying by it loses nothing
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf + np.uint64(1)) * self.power[:-1], out=self.sums[1:])
-
-    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Of each buf[at:at+size], the same wherever it is."""
-        back = pow(int(_R), -1, 1 << 64)
-        inverse = np.full(len(self.buf) + 1, np.uint64(back))
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        h = (self.sums[at + size] - self.sums[at]) * inverse[at]
-        return (h ^ (h >> np.uint64(32))) * _MIX
+        self.buf, self.words = buf, words_of(buf)
 
     def extension(self, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How many bytes from x and from y agree, up to ``length``: a binary search over equality of hashes."""
-        sx, sy, px, py = self.sums[x], self.sums[y], self.power[x], self.power[y]
-        agree = lambda n: (self.sums[x + n] - sx) * py == (self.sums[y + n] - sy) * px
-        low, high = np.zeros(len(x), np.int64), length.copy()
-        whole = agree(high)
-        low[whole] = high[whole]
-        live = np.flatnonzero(~whole)
-        x, y, sx, sy, px, py = x[live], y[live], sx[live], sy[live], px[live], py[live]
-        lo, hi = low[live], high[live] - 1
-        for _ in range(int(hi.max(initial=0)).bit_length()):
-            mid = (lo + hi + 1) >> 1
-            same = agree(mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        low[live] = lo
-        return low
-
-    def less(self, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
-        e = self.extension(x, y, length)
-        inside = np.minimum(e, length - 1)
-        return (e < length) & (self.buf[x + inside] < self.buf[y + inside])
-
-    def sort(self, at: np.ndarray, group: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The order of the suffixes ``at`` within groups (numbers in ascending order): a bottom-up merge sort whose merges
-        are done for all groups at once; an element's place is its own rank plus its rank in the neighbouring run."""
-        n = len(at)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.append(first, n))
-        begin, inner = np.repeat(first, size), np.arange(n) - np.repeat(first, size)
-        many, order, run = np.repeat(size, size), np.arange(n), 1
-        while run < size.max():
-            live = np.flatnonzero(many > run)  # in groups that have a second run
-            b, k, m = begin[live], inner[live], many[live]
-            left = (k // run) % 2 == 0
-            other = np.where(left, (k // run + 1) * run, (k // run - 1) * run)  # where the neighbouring run starts
-            low = np.minimum(other, m)
-            high = np.minimum(other + run, m)
-            base, mine, size_of = low.copy(), at[order[live]], length[live]
-            while True:  # binary search for the rank in the neighbouring run
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    break
-                mid = (low[open_] + high[open_]) >> 1
-                theirs = at[order[b[open_] + mid]]
-                own = mine[open_]
-                is_left = left[open_]
-                first_, second = np.where(is_left, theirs, own), np.where(is_left, own, theirs)
-                smaller = self.less(first_, second, size_of[open_])
-                before = np.where(is_left, smaller, ~smaller)  # left runs go first when equal
-                low[open_] = np.where(before, mid + 1, low[open_])
-                high[open_] = np.where(before, high[open_], mid)
-            place = b + (k // (2 * run)) * (2 * run) + k % run + (low - base)
-            moved = order.copy()
-            moved[place] = order[live]
-            order, run = moved, run * 2
-        return order
+        """How many bytes from x and from y agree, up to ``length``: what orders can be checked with."""
+        out, live = length.copy(), np.arange(len(x))
+        for k in range(int(length.max(initial=0))):
+            live = live[length[live] > k]
+            differ = self.buf[x[live] + k] != self.buf[y[live] + k]
+            out[live[differ]] = k
+            live = live[~differ]
+        return out
 
     def verified_runs(self, at: np.ndarray, group: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """(order, starts of runs of equal suffixes). Neighbours' bytes are compared; where a hash collision misled the sort, the group
-        is sorted by its bytes."""
+        """(the order of the suffixes ``at`` within groups (numbers in ascending order), starts of runs of equal suffixes): a radix sort from the left,
+        all bytes of which are compared, eight at a time, the last eight of a length as they are (what is before them agrees by then). Groups in which
+        all eight bytes are the same need no sorting; others are sorted by them and fall apart into the groups of the next eight."""
         length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
-        order = self.sort(at, group, length)
-        equal, wrong = self._neighbours(at[order], group, length)
-        if wrong.any():
-            for g in np.unique(group[1:][wrong]):
-                rows = np.flatnonzero(group == g)
-                order[rows] = sorted(order[rows].tolist(), key=lambda i: self.buf[at[i] : at[i] + length[i]].tobytes())
-            equal, wrong = self._neighbours(at[order], group, length)
-        return order, np.flatnonzero(np.concatenate([[True], ~equal]))
-
-    def _neighbours(self, at: np.ndarray, group: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each two neighbours of a group: are they equal, are they in the wrong order. Eight bytes at a time are compared, the last eight of a length
-        as they are (what is before them agrees by then)."""
-        eight = np.ndarray((len(self.buf) - 7,), "<u8", self.buf, 0, (1,))
-        equal, wrong = np.zeros(len(at) - 1, bool), np.zeros(len(at) - 1, bool)
-        live = np.flatnonzero(group[1:] == group[:-1])
+        order = np.arange(len(at))
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        live = np.arange(len(at))  # places in groups of several whose bytes agree so far
         for k in range(0, int(length.max()), 8):
-            step = np.minimum(k, length[live] - 8)
-            a, b = eight[at[live] + step], eight[at[live + 1] + step]
-            differ = a != b
-            wrong[live[differ]] = a[differ].byteswap() > b[differ].byteswap()
-            live = live[~differ]
-        equal[live] = True
-        return equal, wrong
+            start = new[live]
+            several = ~start
+            several[:-1] |= ~start[1:]
+            live = live[several & (length[live] > k)]
+            if not len(live):
+                break
+            first = np.flatnonzero(new[live])
+            size = np.diff(np.append(first, len(live)))
+            own = order[live]
+            word = self.words[at[own] + np.minimum(k, length[live] - 8)]
+            mixed = np.logical_or.reduceat(word != np.repeat(word[first], size), first)
+            rows = np.flatnonzero(np.repeat(mixed, size))
+            if len(rows):
+                number = np.repeat(np.arange(int(mixed.sum())), size[mixed])
+                by = np.lexsort((word[rows].byteswap(), number))
+                order[live[rows]] = own[rows][by]
+                word = word[rows][by]
+                new[live[rows[1:]]] |= word[1:] != word[:-1]
+        return order, np.flatnonzero(new)
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +282,7 @@ def _smaller(length: int):
         size = windows + length - 1
         starts = np.cumsum(size) - size
         text = Suffixes(buf)
-        anchor = text.hashes(starts + places, ANCHOR)
+        anchor = hashes(text.words, starts + places, ANCHOR)
 
         # equal segments of several blocks are one: they have the same anchor at the same place, and as many bytes
         least, one = doc.copy(), np.arange(len(doc))  # of each segment, its smallest id and which segment stands for it
@@ -349,16 +325,16 @@ def _remove(buckets: int, finer: int, length: int):
         shared, smaller = (replies.filter(pa.array(step == k)) for k in (1, 2))
         b = Block(docs, buckets, length)
         ids, bounds = b.bounds(b.distinct)
-        key, runs, least, lo, hi, _, h = b.segments(_answer(bounds, ids, shared, len(b.distinct)), finer)
+        key, text, first, last, least, lo, hi, _, h = b.segments(_answer(bounds * 2, ids, shared, 2 * len(b.distinct)), finer)
         windows = hi - lo + 1
         offsets = np.concatenate([[0], np.cumsum(windows)])
         ids, bounds = b.bounds(h, finer)
         flags = _answer(offsets[bounds], ids, smaller, int(offsets[-1]))
         # a copy with a larger id than the block's least has all its windows in a smaller one
-        many = b.hi[runs] - b.lo[runs] + 1
-        hit = flags[ranges(offsets[key], many)] | np.repeat(b.ids[b.text[runs]] > least[key], many)
+        many = last - first + 1
+        hit = flags[ranges(offsets[key], many)] | np.repeat(b.ids[text] > least[key], many)
         change = np.zeros(len(b.raw) + 1, np.int64)
-        at = ranges(b.lo[runs], many)[hit]
+        at = ranges(first, many)[hit]
         change[at] += 1
         change[at + length] -= 1
         gone = np.cumsum(change)[:-1] > 0
@@ -373,7 +349,7 @@ def _remove(buckets: int, finer: int, length: int):
         counts = np.bincount(text, minlength=len(docs))
         spans = pa.StructArray.from_arrays([pa.array(s - b.off[text]), pa.array(e - b.off[text])], names=["start", "end"])
         kept = np.concatenate([[0], np.cumsum(keep)])[b.off]
-        return pa.table({"doc_id": docs["doc_id"], "n_bytes": pa.array(np.diff(b.off)), "kept": binary_rows(b.raw[keep], kept), "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)})
+        return pa.table({"doc_id": b.doc_id, "n_bytes": pa.array(np.diff(b.off)), "kept": binary_rows(b.raw[keep], kept), "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)})
 
     return run
 
@@ -388,7 +364,7 @@ def dedup_substrings(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id
     n, finer, buckets = (max(1, -(-size // x)) for x in (BLOCK, SEGMENTS, ANCHORS))
     placed = rows.withColumn("blk", block_of(n, "doc_id")).repartition(n, "blk")
     anchors = placed.groupBy("blk").applyInArrow(_anchors(buckets, length), "bucket int, blk int, anchors binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared, "blk int, bucket int, bits binary")
+    shared = anchors.groupBy("bucket").applyInArrow(_shared(HOT), "blk int, bucket int, bits binary")
     segments = placed.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_segments(buckets, finer, length), "bucket int, blk int, docs binary, windows binary, places binary, text binary")
     smaller = segments.groupBy("bucket").applyInArrow(_smaller(length), "blk int, bucket int, bits binary, step int")
     replies = smaller.unionByName(shared.withColumn("step", F.lit(1)))

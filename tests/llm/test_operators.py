@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -374,6 +375,39 @@ def test_suffix(spark, rows, monkeypatch, size):
     assert suffix.dedup_substrings(df.limit(0)).isEmpty()
 
 
+def test_suffix_hot_anchors(spark, monkeypatch):
+    """One passage in all documents, each with other words around it: its edges differ everywhere, and don't all go to one bucket."""
+    for name, size in (("BLOCK", 6_000), ("SEGMENTS", 6_000), ("ANCHORS", 30_000), ("HOT", 40)):
+        monkeypatch.setattr(suffix, name, size)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(20))
+    few = [word() for _ in range(3)]
+    some = [(i if i % 90 else None, " ".join([*(rng.choice(few) for _ in range(3)), *(word() for _ in range(5)), passage, *(word() for _ in range(5)), "the " * rng.randint(5, 30)])) for i in range(500)]
+    most = []
+    for hot in (40, 1 << 60):
+        blocks = [pa.table({"doc_id": pa.array([i for i, _ in some[k::4]], pa.int64()), "text": pa.array([t.encode() for _, t in some[k::4]]), "blk": pa.array([k] * 125, pa.int32())}) for k in range(4)]
+        shared = suffix._shared(hot)(pa.concat_tables([suffix._anchors(1, 50)(docs) for docs in blocks]))
+        sent = pa.concat_tables([suffix._segments(1, 50, 50)(docs, shared.slice(k, 1)) for k, docs in enumerate(blocks)])
+        size = np.bincount(sent["bucket"].to_numpy(), [len(x) for x in sent["text"].to_pylist()])
+        most.append(size.max() / size.mean())
+    assert most[0] < 2 < 5 < most[1], most  # the largest bucket, in times the mean
+    out = suffix.dedup_substrings(spark.createDataFrame(some, "doc_id long, text string")).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in out) == brute_suffix(some)
+
+
+def test_suffix_rows_in_any_order(rows):
+    """A block's rows come in another order each time that they are fetched; what is sent and what is answered must fit nevertheless."""
+    some = [(i, t) for i, t, _ in rows[:60]] + [(5, "x" * 70), (5, "y" * 70), (None, "x" * 70), (None, None), (None, "z" * 90), (5, None)] + [(10_000 + i, t) for i, t, _ in rows[:60]]
+    table = lambda x: pa.table({"doc_id": pa.array([i for i, _ in x], pa.int64()), "text": pa.array([t and t.encode() for _, t in x], pa.binary()), "blk": pa.array([0] * len(x), pa.int32())})
+    order = lambda seed: table(random.Random(seed).sample(some, len(some)))
+    shared = suffix._shared(1 << 60)(suffix._anchors(1, 50)(order(1)))
+    sent = suffix._segments(1, 1, 50)(order(2), shared)
+    replies = pa.concat_tables([suffix._smaller(50)(sent), shared.append_column("step", pa.array([1], pa.int32())).select(["blk", "bucket", "bits", "step"])])
+    out = suffix._remove(1, 1, 50)(order(3), replies).to_pylist()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), sha(r["kept"])) for r in out) == brute_suffix(some)
+
+
 def test_suffix_order_survives_collisions(monkeypatch):
     rng = np.random.default_rng(1)
     buf = rng.integers(0, 3, 4000).astype(np.uint8)
